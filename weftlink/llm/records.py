@@ -40,8 +40,8 @@ STREET_TYPES = {
     "colony": "col colny clny", "place": "pl", "way": "", "square": "sq", "terrace": "ter", "highway": "hwy", "parkway": "pkwy",
 }
 LEADING_TYPES = {"avenida": "avda avd", "calle": "cl cll c", "plaza": "pza plz pl", "rua": "r", "travessa": "tv trv tr trav", "rue": "", "chemin": "ch che chem", "praca": "", "paseo": "", "boulevard": "", "avenue": "", "rodovia": "", "place": ""}
-GLUED_TYPES = {"strasse": "str strase", "weg": "wg", "allee": "alee", "gasse": "", "platz": "", "ring": "", "damm": "", "ufer": ""}
-UNIT_WORDS = frozenset("unit suite ste apt apartment flat office shop gala floor piso local sala loja bureau bat batiment etage fl room rm stock wohnung whg buro".split())
+GLUED_TYPES = {"strasse": "str strase", "weg": "wg", "allee": "alee all", "gasse": "", "platz": "", "ring": "", "damm": "", "ufer": ""}
+UNIT_WORDS = frozenset("unit suite ste apt apartment flat office shop gala floor piso local sala loja bureau bat batiment etage fl room rm stock wohnung whg haus buro".split())
 NUMBER_MARKERS = frozenset("no num nr door plot h house hno number numero".split())
 LANDMARK_WORDS = frozenset("near opp opposite behind beside next".split())
 LANDMARK_NOUNS = frozenset("school temple talkies bank stand hospital market church mosque park station".split())
