@@ -8,6 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftlink.llm.graph_match import match_entities
 from weftlink.llm.leaks import find_leaks
 from weftlink.llm.lookalikes import consistent_texts, lookalike_pairs
 from weftlink.llm.mixture import mixture, sized, source_sizes
@@ -31,6 +32,15 @@ def vocabulary() -> str:
 FIELDS = ["business_name", "business_address"]
 
 
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    s1, s2, s3, known = (table(spark, d, t) for t in ("train_source1", "train_source2", "train_source3", "train_matches"))
+    return match_entities(s1, [s2, s3], known).withColumn("confidence", F.round("confidence", 6))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_matches(spark, d).select("s1_id", "target_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike_pairs(table(spark, d, "train_source1"), FIELDS, "entity_id")
 
@@ -102,7 +112,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_windows(table(spark, d, "documents")).select(F.col("doc").alias("doc_id")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_consistent, p3_found, p3_organisations, p5_found, p5_places, p6_found, p6_top, p7_found, p7_leaks, p8_found, p8_mix, p8_report, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_consistent, p3_found, p3_organisations, p5_found, p5_places, p6_found, p6_top, p7_found, p7_leaks, p8_found, p8_mix, p8_report, p9_found, p9_shared)}
 
 _TOP = """
 WITH clean AS (SELECT s1_id, target_id, scored_at, CASE WHEN isnan(retrieval_priority) THEN NULL ELSE retrieval_priority END AS p FROM pairs WHERE s1_id IS NOT NULL AND target_id IS NOT NULL),

@@ -36,7 +36,7 @@ TRADE_WORDS = {
 }
 # Street types as one code, with their short forms.
 STREET_TYPES = {
-    "street": "st str", "road": "rd", "avenue": "ave av aven", "court": "ct crt", "boulevard": "blvd bvd boul", "lane": "ln la lne", "drive": "dr drv", "cross": "crs cros x", "nagar": "ngr nagr", "marg": "mg mrg maarg",
+    "street": "st str", "road": "rd", "avenue": "ave av aven avn", "court": "ct crt", "boulevard": "blvd bvd boul", "lane": "ln la lne", "drive": "dr drv", "cross": "crs cros x", "nagar": "ngr nagr", "marg": "mg mrg maarg",
     "colony": "col colny clny", "place": "pl", "way": "", "square": "sq", "terrace": "ter", "highway": "hwy", "parkway": "pkwy",
 }
 LEADING_TYPES = {"avenida": "avda avd", "calle": "cl cll c", "plaza": "pza plz pl", "rua": "r", "travessa": "tv trv tr trav", "rue": "", "chemin": "ch che chem", "praca": "", "paseo": "", "boulevard": "", "avenue": "", "rodovia": "", "place": ""}
@@ -134,6 +134,7 @@ def sound(word: str) -> str:
     return word
 
 
+_DEVANAGARI = re.compile("[\u0900-\u097f]")
 _DOTTED = re.compile(r"\b[a-z](?:\.[a-z])+\b\.?")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -173,7 +174,7 @@ def parse_name(text: str | None) -> tuple[str, str, str]:
             else:
                 core.append(w)
             i += 1
-    if len(core) > 2 or len(core) == 2 and not trade:
+    if (len(core) > 2 or len(core) == 2 and not trade) and not _DEVANAGARI.search(text):
         kept = []
         for w in core:
             code = trade_near(w) if len(w) > 5 and w not in GIVEN_NAMES else None
@@ -182,6 +183,9 @@ def parse_name(text: str | None) -> tuple[str, str, str]:
             else:
                 kept.append(w)
         core = kept or core
+    if text and not text.isascii() and _DEVANAGARI.search(text):
+        # Trade and legal form are translated between scripts, so they compare with nothing.
+        trade, legal = [], []
     return " ".join(core), " ".join(sorted(set(trade))), " ".join(legal)
 
 
@@ -233,7 +237,11 @@ def parse_address(text: str | None) -> tuple[str, str, str, str, str, str]:
             i = j if j < n and words[j] in LANDMARK_NOUNS else min(j, i + 2) - (j < n and words[min(j, i + 2)] in (",", ";", "-"))
         elif w == "#":
             # '#40, 884 Tatgerrim' names a unit, '#665 Julgalket' the house.
-            if nxt.isdigit() and (i + 2 < n and words[i + 2] in (",", ";", "-")) and any((x.isdigit() and len(x) < 5 or x in NUMBER_WORDS) and y not in UNIT_WORDS for y, x in zip(words[i + 2 :], words[i + 3 :])):
+            after = words[i + 2] if i + 2 < n else ""
+            if nxt.isdigit() and after.isdigit() and len(after) < 5:
+                unit = nxt
+                i += 1
+            elif nxt.isdigit() and after in (",", ";", "-") and any((x.isdigit() and len(x) < 5 or x in NUMBER_WORDS) and y not in UNIT_WORDS for y, x in zip(words[i + 2 :], words[i + 3 :])):
                 unit = nxt
                 i += 1
         elif w in NUMBER_MARKERS and (nxt.isdigit() or nxt in NUMBER_MARKERS or nxt in NUMBER_WORDS or nxt == "#"):
