@@ -67,7 +67,7 @@ def cluster_spellings(nodes: DataFrame, block: list[str], word: str) -> DataFram
     met = forms.join(shared.select("form", "top"), "form").where(F.col("node") != F.col("top.node"))
     met = met.groupBy("node").agg(F.max("top").alias("top"), F.first("n").alias("n"), F.first(word).alias("w"))
     met = met.where(F.struct("n", "w", "node") < F.col("top")).withColumn("edits", near_udf("w", F.col("top.w"))).where("edits <= 2")
-    return roots(nodes, met.select("node", F.col("top.node").alias("parent")))
+    return roots(nodes, cut(met.select("node", F.col("top.node").alias("parent"))))
 
 
 def address_records(df: DataFrame, id_col: str, address_col: str, country_col: str) -> DataFrame:
@@ -88,7 +88,7 @@ def _same_house_streets(at_house: DataFrame, streets: DataFrame) -> DataFrame:
     a, b = (rows.join(weight, "sid").select("house", F.col("street").alias(f"street_{x}"), F.struct("n", "sid").alias(x)) for x in "ab")
     met = a.join(b, "house").where("a < b").withColumn("edits", near_udf("street_a", "street_b")).where("edits <= 2")
     parents = met.groupBy(F.col("a.sid").alias("node")).agg(F.max("b").alias("m")).select("node", F.col("m.sid").alias("parent"))
-    return roots(weight.select(F.col("sid").alias("node")), parents).select(F.col("node").alias("old"), F.col("root").alias("sid"))
+    return roots(weight.select(F.col("sid").alias("node")), cut(parents)).select(F.col("node").alias("old"), F.col("root").alias("sid"))
 
 
 def resolve_addresses(records: DataFrame) -> DataFrame:
@@ -108,13 +108,13 @@ def resolve_addresses(records: DataFrame) -> DataFrame:
     # Localities.
     cities = asked.where("city <> ''").groupBy("country", "city").agg(F.sum("n").alias("n")).withColumn("node", F.xxhash64("country", "city"))
     cities = cut(cities)
-    cities = cities.join(cluster_spellings(cities, ["country"], "city"), "node").select("country", "city", F.col("root").alias("loc"))
+    cities = cut(cities.join(cluster_spellings(cities, ["country"], "city"), "node").select("country", "city", F.col("root").alias("loc")))
     spelled = asked.where("city <> ''").join(cities, ["country", "city"])
     spelled = cut(spelled.withColumn("loc_cost", F.lit(0.0)))
     codes = spelled.where("postcode <> ''").groupBy("country", "postcode", "loc").agg(F.sum("n").alias("k"))
     share = Window.partitionBy("country", "postcode")
     codes = codes.withColumn("cost", -F.log(F.col("k") / F.sum("k").over(share)))
-    codes = codes.groupBy("country", "postcode").agg(F.slice(F.sort_array(F.collect_list(F.struct("cost", "loc"))), 1, BEAM).alias("locs"))
+    codes = cut(codes.groupBy("country", "postcode").agg(F.slice(F.sort_array(F.collect_list(F.struct("cost", "loc"))), 1, BEAM).alias("locs")))
 
     # Streets: typed spellings of addresses with a city, clustered within locality and type.
     streets = spelled.where("stype <> ''").groupBy("country", "loc", "street", "stype").agg(F.sum("n").alias("n"))
@@ -122,7 +122,7 @@ def resolve_addresses(records: DataFrame) -> DataFrame:
     streets = cut(streets.join(cluster_spellings(streets, ["country", "loc", "stype"], "street"), "node").withColumnRenamed("root", "sid"))
     at_house = spelled.join(streets.select("country", "loc", "street", "stype", "sid"), ["country", "loc", "street", "stype"])
     streets = cut(streets.withColumnRenamed("sid", "old").join(_same_house_streets(at_house, streets), "old"))
-    houses = spelled.join(streets.select("country", "loc", "street", "stype", "sid"), ["country", "loc", "street", "stype"]).select("country", "loc", "street", "sid", "number").distinct()
+    houses = cut(spelled.join(streets.select("country", "loc", "street", "stype", "sid"), ["country", "loc", "street", "stype"]).select("country", "loc", "street", "sid", "number").distinct())
     known = houses.select("sid", "number").distinct().withColumn("known", F.lit(1))
 
     exact = spelled.where("stype <> ''").join(streets.select("country", "loc", "street", "stype", "sid"), ["country", "loc", "street", "stype"]).select("q", "sid")
@@ -135,7 +135,7 @@ def resolve_addresses(records: DataFrame) -> DataFrame:
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("loc"))).where(F.col("r") <= BEAM).drop("r").withColumn("loc_cost", F.lit(1.0))
     open_ = cut(spelled.where("stype = ''").select(*asked.columns, "loc", "loc_cost").unionByName(by_code).unionByName(found.select(*asked.columns, "loc", "loc_cost")))
     entries = streets.select("country", "loc", "sid", "n", F.col("street").alias("e_street"), F.col("stype").alias("e_type"))
-    same = open_.withColumnRenamed("street", "e_street").join(entries, ["country", "loc", "e_street"]).withColumn("street", F.col("e_street"))
+    same = cut(open_.withColumnRenamed("street", "e_street").join(entries, ["country", "loc", "e_street"]).withColumn("street", F.col("e_street")))
     e_forms = entries.where(F.length("e_street") >= 5).withColumn("d", F.explode(deletions_udf("e_street")))
     q_forms = open_.join(same.select("q").distinct(), "q", "left_anti").where(F.length("street") >= 5).withColumn("d", F.explode(deletions_udf("street")))
     close = q_forms.join(e_forms.withColumnRenamed("n", "e_n"), ["country", "loc", "d"]).drop("d").withColumnRenamed("e_n", "m")
@@ -143,10 +143,10 @@ def resolve_addresses(records: DataFrame) -> DataFrame:
     readings = readings.where("stype = '' OR stype = e_type").withColumn("edits", F.when(F.col("street") == F.col("e_street"), 0).otherwise(near_udf("street", "e_street"))).where("edits <= 2")
     readings = readings.join(known, ["sid", "number"], "left")
     cost = F.col("edits") + 0.3 * F.col("loc_cost") + F.when(F.col("known").isNull(), 2.0).otherwise(0.0)
-    beam = readings.groupBy("q").agg(F.min(F.struct(cost.alias("cost"), "sid")).alias("best")).select("q", F.col("best.sid").alias("sid"))
+    beam = cut(readings.groupBy("q").agg(F.min(F.struct(cost.alias("cost"), "sid")).alias("best")).select("q", F.col("best.sid").alias("sid")))
     # What the gazetteer has no entry for stands for itself, under its likeliest locality.
     rest = open_.join(beam, "q", "left_anti").groupBy("q", "country", "street", "stype").agg(F.min(F.struct("loc_cost", "loc")).alias("l")).select("q", F.xxhash64("country", F.col("l.loc"), "street", "stype").alias("sid"))
-    resolved = exact.unionByName(beam).unionByName(rest)
+    resolved = cut(exact.unionByName(beam).unionByName(rest))
     resolved = asked.join(resolved, "q").select(F.col("as_country").alias("country"), F.col("country").alias("in_country"), "city", "postcode", "street", "stype", "number", "sid")
     out = records.join(resolved, ["country", "city", "postcode", "street", "stype", "number"])
     return out.withColumn("place", F.xxhash64("in_country", "sid", "number"))
