@@ -40,9 +40,9 @@ def roots(nodes: DataFrame, parents: DataFrame, rounds: int = 4) -> DataFrame:
     """
     at = cut(nodes.select("node").join(parents, "node", "left").select("node", F.coalesce("parent", "node").alias("root")))
     for _ in range(rounds):
-        up = at.where("node <> root").select("node", "root")
-        hop = at.select(F.col("node").alias("root"), F.col("root").alias("_up")).where("root <> _up")
-        if hop.join(up.select("root").distinct(), "root", "left_semi").isEmpty():
+        up = at.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("_up"))
+        at = cut(at.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("moved")))
+        if at.where("moved").isEmpty():
             break
-        at = cut(at.join(hop, "root", "left").select("node", F.coalesce("_up", "root").alias("root")))
-    return at
+        at = at.drop("moved")
+    return at.select("node", "root")
