@@ -39,8 +39,8 @@ def exact_top_k(queries: DataFrame, database: DataFrame, k: int) -> DataFrame:
     blocks = counts.select("country", F.ceil(F.col("n") / rows).cast("int").alias("blocks"))
     placed = database.where("vec IS NOT NULL").join(blocks, "country").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     packed = placed.groupBy("country", "block").agg(F.collect_list(F.struct("id", "vec")).alias("items"))
-    asked = queries.where("vec IS NOT NULL").join(blocks, "country").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    salted = asked.select(F.col("id").alias("s1_id"), "country", "vec", "block")
+    asked = queries.where("vec IS NOT NULL").select(F.col("id").alias("s1_id"), F.col("country").alias("area"), "vec").join(blocks.withColumnRenamed("country", "area"), "area")
+    salted = asked.select("s1_id", "area", "vec", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
     schema = "s1_id string, target_id string, country string, ann_score double"
 
     def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -58,7 +58,7 @@ def exact_top_k(queries: DataFrame, database: DataFrame, k: int) -> DataFrame:
             out.append(pd.DataFrame({"s1_id": np.repeat(part["s1_id"].to_numpy(), best.shape[1]), "target_id": ids[best].ravel(), "country": key[0], "ann_score": np.take_along_axis(scores, best, axis=1).ravel()}))
         return pd.concat(out)
 
-    found = salted.groupBy("country", "block").cogroup(packed.groupBy("country", "block")).applyInPandas(search, schema)
+    found = salted.groupBy("area", "part").cogroup(packed.groupBy("country", "block")).applyInPandas(search, schema)
     return _rounded_top(found, k)
 
 
