@@ -73,6 +73,16 @@ def near(a: str, b: str, most: int) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    # What both begin and end with costs nothing.
+    low, high = 0, min(len(a), len(b))
+    while low < high and a[low] == b[low]:
+        low += 1
+    tail = 0
+    while tail < high - low and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[low : len(a) - tail], b[low : len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row, twice = row, [i], before
@@ -123,15 +133,15 @@ def type_near(word: str) -> str | None:
     return _look_up(word, _TYPES, _TYPES_NEAR, 4)
 
 
-_SOUND = [(re.compile(p), r) for p, r in (("oo", "u"), ("ee", "i"), ("ph", "f"), ("ck", "k"), ("[cq]", "k"), ("w", "v"), ("y", "i"), (r"(.)\1+", r"\1"))]
+_SOUND_LETTERS = str.maketrans("cqwy", "kkvi")
+_DOUBLED = re.compile(r"(.)\1+")
 
 
 @lru_cache(maxsize=200_000)
 def sound(word: str) -> str:
     """The word with spellings of one sound made equal and doubled letters single."""
-    for pattern, by in _SOUND:
-        word = pattern.sub(by, word)
-    return word
+    word = word.replace("oo", "u").replace("ee", "i").replace("ph", "f").translate(_SOUND_LETTERS)
+    return _DOUBLED.sub(r"\1", word)
 
 
 _DEVANAGARI = re.compile("[\u0900-\u097f]")
