@@ -41,14 +41,14 @@ def test_leak_edges(spark):
     item = "One two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(1, item.upper().replace(" ", "-")), (1, item), (2, "one two three four five six seven"), (3, "x " * 100_000 + item), (None, item)], "doc_id bigint, text string")
     docs = docs.withColumn("item_id", F.lit("clash"))
-    items = spark.createDataFrame([(7, item), (7, item), (8, "short one"), (9, None)], "item_id bigint, item_text string")
+    items = spark.createDataFrame([(7, item), (7, item), (7, "another text of the same item that stands in none"), (8, "short one"), (9, None)], "item_id bigint, item_text string")
     assert {(r.doc_id, r.item_id, r.covered_share) for r in find_leaks(docs, items).collect()} == {(1, 7, 1.0), (3, 7, 1.0)}
     assert find_leaks(docs.limit(0), items).count() == 0 and find_leaks(docs, items.limit(0)).count() == 0
 
 
 def test_shift_never_passes_a_pattern():
     w = WuManber([(1, "a a a a a a a a a")])
-    assert w.search([b"a"] * 20) == {1: {0, 1}}
+    assert w.search([b"a"] * 20) == {0: {0, 1}}
 
 
 def test_items_in_several_blocks(spark, monkeypatch):

@@ -36,15 +36,16 @@ class WuManber:
 
     def __init__(self, items: list[tuple[int, str]], run: int = 8) -> None:
         self.run = run
-        self.sizes: dict[int, int] = {}
+        self.items = [item for item, _ in items]
+        self.sizes: list[int] = []
         self.patterns: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
         self.shift: dict[tuple[bytes, bytes], int] = {}
-        for item, text in items:
+        for k, (_, text) in enumerate(items):
             words = words_of(text)
-            self.sizes[item] = len(words)
+            self.sizes.append(len(words))
             for j in range(len(words) - run + 1):
                 pattern = tuple(words[j : j + run])
-                self.patterns.setdefault(pattern, []).append((item, j))
+                self.patterns.setdefault(pattern, []).append((k, j))
         for pattern in self.patterns:
             for k in range(1, run):
                 pair = pattern[k - 1 : k + 1]
@@ -52,7 +53,7 @@ class WuManber:
         self.last = {pair[1] for pair in self.shift}
 
     def search(self, words: list[bytes]) -> dict[int, set[int]]:
-        """Item → starts of its runs that the words contain."""
+        """Place of an item → starts of its runs that the words contain."""
         found: dict[int, set[int]] = {}
         run, shift, last, patterns = self.run, self.shift, self.last, self.patterns
         at, size, miss = run - 1, len(words), run - 1
@@ -66,20 +67,20 @@ class WuManber:
             if step:
                 at += step
                 continue
-            for item, j in patterns.get(tuple(words[at - run + 1 : at + 1]), ()):
-                found.setdefault(item, set()).add(j)
+            for k, j in patterns.get(tuple(words[at - run + 1 : at + 1]), ()):
+                found.setdefault(k, set()).add(j)
             at += 1
         return found
 
     def leaks(self, text: bytes, least: float) -> Iterator[tuple[int, int, int]]:
         """(item, covered words, words) of items covered to at least the share ``least``."""
-        for item, starts in self.search(words_of(text)).items():
+        for k, starts in self.search(words_of(text)).items():
             covered, end = 0, 0
             for j in sorted(starts):
                 covered += j + self.run - max(j, end)
                 end = j + self.run
-            if covered >= least * self.sizes[item]:
-                yield item, covered, self.sizes[item]
+            if covered >= least * self.sizes[k]:
+                yield self.items[k], covered, self.sizes[k]
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "item_text", run: int = 8, least: float = 0.5) -> DataFrame:
@@ -87,8 +88,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id",
 
     A pair counts if at least the share ``least`` of the item's words lie in runs of ``run`` or
     more consecutive words that item and document share. NULL ids or texts, texts without words
-    and items shorter than ``run`` words give nothing. Repeated rows of a document or item give
-    one row (the larger cover). Whole texts are searched. The items are the stated query set: they
+    and items shorter than ``run`` words give nothing. Repeated rows of a document or item, with
+    one text or several, give one row (the larger cover). Whole texts are searched. The items are the stated query set: they
     go to the executors in blocks of at most ``ITEM_BLOCK_BYTES``, one pass over the corpus each.
     """
     spark = documents.sparkSession
@@ -100,10 +101,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id",
     out = None
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        texts: dict[int, list[str]] = {}
-        for r in rows:
-            texts.setdefault(r.item_id, []).append(r.t)
-        automaton = spark.sparkContext.broadcast(WuManber([(i, t) for i, ts in texts.items() for t in ts[:1]], run))
+        automaton = spark.sparkContext.broadcast(WuManber([(r.item_id, r.t) for r in rows], run))
 
         def scan(batches: Iterator[pa.RecordBatch], automaton=automaton) -> Iterator[pa.RecordBatch]:
             search = automaton.value
