@@ -30,19 +30,20 @@ def different_pairs(rows: DataFrame, keys: list[str], id_col: str, text_col: str
     return pairs.select(*keys, F.least("_ia", "_ib").alias("id_a"), F.greatest("_ia", "_ib").alias("id_b")).distinct()
 
 
-def roots(nodes: DataFrame, parents: DataFrame, rounds: int = 4) -> DataFrame:
+def roots(nodes: DataFrame, parents: DataFrame, rounds: int = 6) -> DataFrame:
     """Root of every node of a forest: (node, root), by pointer doubling.
 
     ``parents`` has (node, parent), at most one row a node, with each parent of higher order than
-    its node, so there are no cycles. ``rounds`` doublings resolve chains of 2^rounds links; the
+    its node, so there are no cycles. ``rounds`` doublings resolve chains of 2^(rounds + 1) links; the
     attachment orders used here make longer ones impossible in practice, and what would be longer
     keeps an inner node as its root rather than being lost.
     """
-    at = cut(nodes.select("node").join(parents, "node", "left").select("node", F.coalesce("parent", "node").alias("root")))
+    above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
+    at = nodes.select("node").join(parents, "node", "left").join(above, "parent", "left")
+    at = cut(at.select("node", F.coalesce("_up", "parent", "node").alias("root"), F.col("_up").isNotNull().alias("moved")))
     for _ in range(rounds):
-        up = at.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("_up"))
-        at = cut(at.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("moved")))
         if at.where("moved").isEmpty():
             break
-        at = at.drop("moved")
+        up = at.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("_up"))
+        at = cut(at.drop("moved").join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("moved")))
     return at.select("node", "root")

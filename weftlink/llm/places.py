@@ -98,7 +98,7 @@ def resolve_addresses(records: DataFrame) -> DataFrame:
     city where nine tenths of the records of that city have it, else it is left out.
     """
     records = records.where("number <> '' AND street <> ''")
-    asked = cut(records.groupBy("country", "city", "postcode", "street", "stype", "number").agg(F.count("*").alias("n")))
+    asked = records.groupBy("country", "city", "postcode", "street", "stype", "number").agg(F.count("*").alias("n"))
     home = asked.where("country <> '' AND city <> ''").groupBy("city", "country").agg(F.sum("n").alias("n")).groupBy("city").agg(F.sum("n").alias("all"), F.max(F.struct("n", "country")).alias("m"))
     home = home.where("m.n >= 0.9 * all").select("city", F.col("m.country").alias("home"))
     lost = asked.where("country = ''").join(home, "city").select("city", "postcode", "street", "stype", "number", "n", F.lit("").alias("as_country"), F.col("home").alias("country"))
@@ -107,7 +107,6 @@ def resolve_addresses(records: DataFrame) -> DataFrame:
 
     # Localities.
     cities = asked.where("city <> ''").groupBy("country", "city").agg(F.sum("n").alias("n")).withColumn("node", F.xxhash64("country", "city"))
-    cities = cut(cities)
     cities = cut(cities.join(cluster_spellings(cities, ["country"], "city"), "node").select("country", "city", F.col("root").alias("loc")))
     spelled = asked.where("city <> ''").join(cities, ["country", "city"])
     spelled = cut(spelled.withColumn("loc_cost", F.lit(0.0)))
