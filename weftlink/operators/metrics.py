@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlink.operators.evaluation import thresholds_frame
 
 #: Thresholds tried: 0.05 to 0.90 by 0.01, then 0.905 to 0.995 by 0.001.
 SWEEP = tuple(round(0.05 + 0.01 * i, 3) for i in range(86)) + tuple(round(0.905 + 0.001 * i, 3) for i in range(91))
@@ -44,21 +43,28 @@ def macro_fbeta(entities: DataFrame, links: DataFrame, predicted: DataFrame, bet
 def threshold_sweep(entities: DataFrame, links: DataFrame, scored: DataFrame, thresholds: Sequence[float] = SWEEP, beta: float = 0.5) -> DataFrame:
     """(threshold, entities, macro_fbeta, predicted_links) for each threshold, in one pass over the pairs.
 
-    A pair counts from the first threshold on down; the pairs of an entity are cumulated over the
-    thresholds at which something changes, so rows grow with pairs and not with pairs times
-    thresholds before aggregation.
+    A pair enters at the highest threshold it reaches. Only there does its entity's score change,
+    so each entity contributes one difference a threshold it has pairs at, and the curve is the
+    running sum of the differences over the few thresholds. Predictions for other entities are
+    left out; of repeated pairs the best score counts.
     """
-    hit = scored.join(links.select("s1_id", "target_id").distinct().withColumn("t", F.lit(1)), ["s1_id", "target_id"], "left")
-    met = hit.join(thresholds_frame(scored, [float(t) for t in thresholds], "threshold"), F.col("score") >= F.col("threshold"))
-    n = met.groupBy("s1_id", "threshold").agg(F.count("*").alias("n_predicted"), F.count("t").alias("n_hits"))
-    true = links.select("s1_id", "target_id").distinct().groupBy("s1_id").agg(F.count("*").alias("n_true"))
-    base = entities.select("s1_id").distinct().join(true, "s1_id", "left").fillna(0, ["n_true"])
-    whole = base.agg(F.count("*").alias("entities"), F.count_if(F.col("n_true") == 0).alias("single"))
-    # Entities without a prediction score 1 if they have no link and 0 else.
-    some = n.join(base, "s1_id").withColumn("f", fbeta(F.col("n_hits"), F.col("n_true"), F.col("n_predicted"), beta))
-    some = some.groupBy("threshold").agg(F.sum("f").alias("f"), F.count_if(F.col("n_true") == 0).alias("single_hit"), F.sum("n_predicted").alias("predicted_links"))
-    out = thresholds_frame(scored, [float(t) for t in thresholds], "threshold").join(some, "threshold", "left").fillna(0).crossJoin(F.broadcast(whole))
-    return out.select("threshold", "entities", ((F.col("f") + F.col("single") - F.col("single_hit")) / F.col("entities")).alias("macro_fbeta"), "predicted_links")
+    steps = sorted({float(t) for t in thresholds})
+    pairs = scored.where("score IS NOT NULL").groupBy("s1_id", "target_id").agg(F.max("score").alias("score"))
+    true = links.select("s1_id", "target_id").distinct()
+    at = F.size(F.filter(F.array(*map(F.lit, steps)), lambda t: t <= F.col("score")))
+    hit = pairs.withColumn("at", at).where("at > 0").join(true.withColumn("t", F.lit(1)), ["s1_id", "target_id"], "left")
+    base = entities.select("s1_id").distinct().join(true.groupBy("s1_id").agg(F.count("*").alias("n_true")), "s1_id", "left").fillna(0, ["n_true"])
+    n = hit.groupBy("s1_id", "at").agg(F.count("*").alias("n"), F.count("t").alias("h")).join(base, "s1_id")
+    down = Window.partitionBy("s1_id").orderBy(F.desc("at"))
+    n = n.withColumn("f", fbeta(F.sum("h").over(down), F.col("n_true"), F.sum("n").over(down), beta))
+    start = F.when(F.col("n_true") == 0, 1.0).otherwise(0.0)
+    change = n.withColumn("d", F.col("f") - F.coalesce(F.lag("f").over(down), start)).groupBy("at").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    whole = base.agg(F.count("*").alias("entities"), F.sum(start).alias("s"))
+    frame = scored.sparkSession.createDataFrame([(i, t) for i, t in enumerate(steps, 1)], "at int, threshold double")
+    # As many rows as thresholds.
+    above = Window.orderBy(F.desc("at"))
+    out = frame.join(change, "at", "left").fillna(0).crossJoin(F.broadcast(whole))
+    return out.select("threshold", "entities", ((F.col("s") + F.sum("d").over(above)) / F.col("entities")).alias("macro_fbeta"), F.sum("n").over(above).alias("predicted_links"))
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Bytes of database vectors that one block of the exact search holds.
 BLOCK_BYTES = 32 << 20
+#: Queries that one block meets at once.
+QUERY_ROWS = 20_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,19 +30,22 @@ def _rounded_top(pairs: DataFrame, k: int) -> DataFrame:
 def exact_top_k(queries: DataFrame, database: DataFrame, k: int) -> DataFrame:
     """(s1_id, target_id, country, ann_score, ann_rank): ``k`` targets of the country with the largest product.
 
-    Inputs have id, country, vec. The database is cut into blocks of a bounded size within each
-    country; a block meets every query of its country as one matrix product in Arrow batches,
-    which keeps the best ``k`` of each query, so k rows a query and block are shuffled and not one
-    a pair. Scores are rounded to nine places and ties go by target id.
+    Inputs have id, country, vec. Within each country the database is cut into blocks and the
+    queries into parts of bounded size; each block meets each part in a task of its own as matrix
+    products, which keep the best ``k`` of a query, so k rows a query and block are shuffled and
+    not one a pair. Scores are rounded to nine places and ties go by target id.
     """
     width = database.select(F.size("vec").alias("n")).where("n > 0").limit(1).collect()
     rows = max(1, BLOCK_BYTES // (8 * (width[0].n if width else 1)))
     counts = database.groupBy("country").agg(F.count("*").alias("n"))
     blocks = counts.select("country", F.ceil(F.col("n") / rows).cast("int").alias("blocks"))
     placed = database.where("vec IS NOT NULL").join(blocks, "country").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    shares = queries.where("vec IS NOT NULL").groupBy("country").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("shares"))
     packed = placed.groupBy("country", "block").agg(F.collect_list(F.struct("id", "vec")).alias("items"))
+    packed = packed.join(shares, "country").select("country", "block", "items", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     asked = queries.where("vec IS NOT NULL").select(F.col("id").alias("s1_id"), F.col("country").alias("area"), "vec").join(blocks.withColumnRenamed("country", "area"), "area")
-    salted = asked.select("s1_id", "area", "vec", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    asked = asked.join(shares.withColumnRenamed("country", "area"), "area").withColumn("lot", F.pmod(F.xxhash64("s1_id"), F.col("shares")).cast("int"))
+    salted = asked.select("s1_id", "area", "vec", "lot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
     schema = "s1_id string, target_id string, country string, ann_score double"
 
     def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -58,7 +63,7 @@ def exact_top_k(queries: DataFrame, database: DataFrame, k: int) -> DataFrame:
             out.append(pd.DataFrame({"s1_id": np.repeat(part["s1_id"].to_numpy(), best.shape[1]), "target_id": ids[best].ravel(), "country": key[0], "ann_score": np.take_along_axis(scores, best, axis=1).ravel()}))
         return pd.concat(out)
 
-    found = salted.groupBy("area", "part").cogroup(packed.groupBy("country", "block")).applyInPandas(search, schema)
+    found = salted.groupBy("area", "part", "lot").cogroup(packed.groupBy("country", "block", "share")).applyInPandas(search, schema)
     return _rounded_top(found, k)
 
 
