@@ -3,8 +3,7 @@
 The gazetteer has localities (spellings of a city clustered within a country), streets (spellings
 clustered within a locality, one identifier a cluster and type) and house numbers of streets. An
 address is resolved by a beam over it: its readings of the locality (the city as spelled, else
-the cities its postcode is used in, else those that have its street and number), each with its
-readings of the street (as spelled, within one edit, the type left out), scored and cut to the
+the cities its postcode is used in), each with its readings of the street (as spelled, within one edit, the type left out), scored and cut to the
 best ``BEAM``; the best complete reading gives the street identifier. Addresses with one
 street identifier and house number are one place. Unit, floor and landmark are parsed off.
 """
@@ -77,77 +76,68 @@ def address_records(df: DataFrame, id_col: str, address_col: str, country_col: s
     return rows.select("id", "address", "country", *(f"p.{c}" for c in ADDRESS_PARTS))
 
 
-def _same_house_streets(at_house: DataFrame, streets: DataFrame) -> DataFrame:
-    """Streets two edits apart that share a house number and postcode become one: (old, sid).
+def _same_house_streets(typed: DataFrame) -> DataFrame:
+    """Streets two edits apart that share a house number and postcode become one: (node, root) of street ids.
 
     Two writings of one house agree in everything but the spelling; the rarer street joins the
     more frequent one. Blocks are houses, so they stay as small as a house has spellings.
     """
-    weight = streets.groupBy("sid").agg(F.sum("n").alias("n"))
-    rows = at_house.where("postcode <> ''").where(F.length("street") >= 5).select(F.xxhash64("country", "loc", "stype", "number", "postcode").alias("house"), "street", "sid").distinct()
-    a, b = (rows.join(weight, "sid").select("house", F.col("street").alias(f"street_{x}"), F.struct("n", "sid").alias(x)) for x in "ab")
+    rows = typed.where("postcode <> ''").where(F.length("street") >= 5).select(F.xxhash64("country", "loc", "stype", "number", "postcode").alias("house"), "street", F.struct("weight", "sid").alias("s")).distinct()
+    a, b = (rows.select("house", F.col("street").alias(f"street_{x}"), F.col("s").alias(x)) for x in "ab")
     met = a.join(b, "house").where("a < b").withColumn("edits", near_udf("street_a", "street_b")).where("edits <= 2")
-    parents = met.groupBy(F.col("a.sid").alias("node")).agg(F.max("b").alias("m")).select("node", F.col("m.sid").alias("parent"))
-    return roots(weight.select(F.col("sid").alias("node")), cut(parents)).select(F.col("node").alias("old"), F.col("root").alias("sid"))
+    parents = cut(met.groupBy(F.col("a.sid").alias("node")).agg(F.max("b").alias("m")).select("node", F.col("m.sid").alias("parent")))
+    return roots(typed.select(F.col("sid").alias("node")).distinct(), parents)
 
 
 def resolve_addresses(records: DataFrame) -> DataFrame:
     """Adds ``place`` to records of :func:`address_records`; without those that name no building.
 
-    An address needs a house number and a street. A record without a country takes that of its
-    city where nine tenths of the records of that city have it, else it is left out.
+    An address needs a house number, a street, and a city or a postcode. A record without a country
+    takes that of its city where nine tenths of the records of that city have it, else it is left out.
     """
-    records = records.where("number <> '' AND street <> ''")
-    asked = records.groupBy("country", "city", "postcode", "street", "stype", "number").agg(F.count("*").alias("n"))
-    home = asked.where("country <> '' AND city <> ''").groupBy("city", "country").agg(F.sum("n").alias("n")).groupBy("city").agg(F.sum("n").alias("all"), F.max(F.struct("n", "country")).alias("m"))
+    records = records.where("number <> '' AND street <> '' AND (city <> '' OR postcode <> '')")
+    records = records.withColumn("q", F.xxhash64("country", "city", "postcode", "street", "stype", "number"))
+    asked = records.groupBy("q", "country", "city", "postcode", "street", "stype", "number").agg(F.count("*").alias("n"))
+    lost = asked.where("country = '' AND city <> ''")
+    home = asked.where("country <> ''").join(lost.select("city").distinct(), "city", "left_semi").groupBy("city", "country").agg(F.sum("n").alias("n")).groupBy("city").agg(F.sum("n").alias("all"), F.max(F.struct("n", "country")).alias("m"))
     home = home.where("m.n >= 0.9 * all").select("city", F.col("m.country").alias("home"))
-    lost = asked.where("country = ''").join(home, "city").select("city", "postcode", "street", "stype", "number", "n", F.lit("").alias("as_country"), F.col("home").alias("country"))
-    asked = asked.where("country <> ''").withColumn("as_country", F.col("country")).unionByName(lost)
-    asked = cut(asked.withColumn("q", F.xxhash64("as_country", "city", "postcode", "street", "stype", "number")))
+    lost = lost.join(home, "city").withColumn("country", F.col("home")).select(asked.columns)
+    asked = cut(asked.where("country <> ''").unionByName(lost).withColumn("node", F.xxhash64("country", "city")))
 
     # Localities.
-    cities = asked.where("city <> ''").groupBy("country", "city").agg(F.sum("n").alias("n")).withColumn("node", F.xxhash64("country", "city"))
-    cities = cut(cities.join(cluster_spellings(cities, ["country"], "city"), "node").select("country", "city", F.col("root").alias("loc")))
-    spelled = asked.where("city <> ''").join(cities, ["country", "city"])
-    spelled = cut(spelled.withColumn("loc_cost", F.lit(0.0)))
-    codes = spelled.where("postcode <> ''").groupBy("country", "postcode", "loc").agg(F.sum("n").alias("k"))
+    cities = asked.where("city <> ''").groupBy("node", "country", "city").agg(F.sum("n").alias("n"))
+    loc = cluster_spellings(cities, ["country"], "city").withColumnRenamed("root", "loc")
+    spelled = asked.where("city <> ''").join(loc, "node").drop("node").withColumn("node", F.xxhash64("country", "loc", "street", "stype"))
+    spelled = cut(spelled)
     share = Window.partitionBy("country", "postcode")
-    codes = codes.withColumn("cost", -F.log(F.col("k") / F.sum("k").over(share)))
-    codes = cut(codes.groupBy("country", "postcode").agg(F.slice(F.sort_array(F.collect_list(F.struct("cost", "loc"))), 1, BEAM).alias("locs")))
+    codes = spelled.where("postcode <> ''").groupBy("country", "postcode", "loc").agg(F.sum("n").alias("k")).withColumn("cost", -F.log(F.col("k") / F.sum("k").over(share)))
+    codes = codes.groupBy("country", "postcode").agg(F.slice(F.sort_array(F.collect_list(F.struct("cost", "loc"))), 1, BEAM).alias("locs"))
 
     # Streets: typed spellings of addresses with a city, clustered within locality and type.
-    streets = spelled.where("stype <> ''").groupBy("country", "loc", "street", "stype").agg(F.sum("n").alias("n"))
-    streets = cut(streets.withColumn("node", F.xxhash64("country", "loc", "street", "stype")))
-    streets = cut(streets.join(cluster_spellings(streets, ["country", "loc", "stype"], "street"), "node").withColumnRenamed("root", "sid"))
-    at_house = spelled.join(streets.select("country", "loc", "street", "stype", "sid"), ["country", "loc", "street", "stype"])
-    streets = cut(streets.withColumnRenamed("sid", "old").join(_same_house_streets(at_house, streets), "old"))
-    houses = cut(spelled.join(streets.select("country", "loc", "street", "stype", "sid"), ["country", "loc", "street", "stype"]).select("country", "loc", "street", "sid", "number").distinct())
-    known = houses.select("sid", "number").distinct().withColumn("known", F.lit(1))
-
-    exact = spelled.where("stype <> ''").join(streets.select("country", "loc", "street", "stype", "sid"), ["country", "loc", "street", "stype"]).select("q", "sid")
-
-    # Beam over the rest: readings of the locality, then of the street.
-    no_city = asked.where("city = ''")
-    by_code = no_city.join(codes, ["country", "postcode"]).withColumn("r", F.explode("locs")).select(*asked.columns, F.col("r.loc").alias("loc"), F.col("r.cost").alias("loc_cost"))
-    no_code = no_city.join(codes.select("country", "postcode"), ["country", "postcode"], "left_anti")
-    found = no_code.join(houses.select("country", "street", "number", "loc").distinct(), ["country", "street", "number"])
-    found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("loc"))).where(F.col("r") <= BEAM).drop("r").withColumn("loc_cost", F.lit(1.0))
-    open_ = cut(spelled.where("stype = ''").select(*asked.columns, "loc", "loc_cost").unionByName(by_code).unionByName(found.select(*asked.columns, "loc", "loc_cost")))
-    entries = streets.select("country", "loc", "sid", "n", F.col("street").alias("e_street"), F.col("stype").alias("e_type"))
-    same = cut(open_.withColumnRenamed("street", "e_street").join(entries, ["country", "loc", "e_street"]).withColumn("street", F.col("e_street")))
-    e_forms = entries.where(F.length("e_street") >= 5).withColumn("d", F.explode(deletions_udf("e_street")))
-    q_forms = open_.join(same.select("q").distinct(), "q", "left_anti").where(F.length("street") >= 5).withColumn("d", F.explode(deletions_udf("street")))
-    close = q_forms.join(e_forms.withColumnRenamed("n", "e_n"), ["country", "loc", "d"]).drop("d").withColumnRenamed("e_n", "m")
-    readings = same.select("q", "number", "stype", "loc_cost", "street", "sid", "e_street", "e_type", F.col("loc")).unionByName(close.select("q", "number", "stype", "loc_cost", "street", "sid", "e_street", "e_type", "loc"))
-    readings = readings.where("stype = '' OR stype = e_type").withColumn("edits", F.when(F.col("street") == F.col("e_street"), 0).otherwise(near_udf("street", "e_street"))).where("edits <= 2")
-    readings = readings.join(known, ["sid", "number"], "left")
+    streets = spelled.where("stype <> ''").groupBy("node", "country", "loc", "street", "stype").agg(F.sum("n").alias("n"))
+    sid = cluster_spellings(streets, ["country", "loc", "stype"], "street").withColumnRenamed("root", "sid")
+    weight = sid.join(streets.select("node", "n"), "node").groupBy("sid").agg(F.sum("n").alias("weight"))
+    typed = cut(spelled.where("stype <> ''").join(sid, "node").join(weight, "sid"))
+    houses = _same_house_streets(typed)
+    typed = cut(typed.withColumnRenamed("sid", "old").join(houses.select(F.col("node").alias("old"), F.col("root").alias("sid")), "old").select("q", "country", "loc", "street", "stype", "number", "sid"))
+    entries = typed.select("country", "loc", "sid", F.col("street").alias("e_street"), F.col("stype").alias("e_type")).distinct()
+    known = typed.select(F.xxhash64("sid", "number").alias("house")).distinct().withColumn("known", F.lit(1))
+
+    # Beam over the rest: readings of the locality, then of the street, then whether the house is known.
+    by_code = asked.where("city = ''").join(codes, ["country", "postcode"]).withColumn("r", F.explode("locs"))
+    cols = ["q", "country", "street", "stype", "number"]
+    open_ = cut(spelled.where("stype = ''").select(*cols, "loc", F.lit(0.0).alias("loc_cost")).unionByName(by_code.select(*cols, F.col("r.loc").alias("loc"), F.col("r.cost").alias("loc_cost"))))
+    q_forms = open_.withColumn("d", F.explode(deletions_udf("street"))).withColumn("form", F.xxhash64("country", "loc", "d")).drop("country", "loc", "d")
+    e_forms = entries.withColumn("d", F.explode(deletions_udf("e_street"))).select(F.xxhash64("country", "loc", "d").alias("form"), "sid", "e_street", "e_type")
+    readings = q_forms.join(e_forms, "form").where("stype = '' OR stype = e_type").withColumn("edits", near_udf("street", "e_street")).where("edits <= 2")
+    readings = readings.withColumn("house", F.xxhash64("sid", "number")).join(known, "house", "left")
     cost = F.col("edits") + 0.3 * F.col("loc_cost") + F.when(F.col("known").isNull(), 2.0).otherwise(0.0)
-    beam = cut(readings.groupBy("q").agg(F.min(F.struct(cost.alias("cost"), "sid")).alias("best")).select("q", F.col("best.sid").alias("sid")))
+    beam = readings.groupBy("q").agg(F.min(F.struct(cost.alias("cost"), "sid")).alias("best")).select("q", F.col("best.sid").alias("found"))
     # What the gazetteer has no entry for stands for itself, under its likeliest locality.
-    rest = open_.join(beam, "q", "left_anti").groupBy("q", "country", "street", "stype").agg(F.min(F.struct("loc_cost", "loc")).alias("l")).select("q", F.xxhash64("country", F.col("l.loc"), "street", "stype").alias("sid"))
-    resolved = cut(exact.unionByName(beam).unionByName(rest))
-    resolved = asked.join(resolved, "q").select(F.col("as_country").alias("country"), F.col("country").alias("in_country"), "city", "postcode", "street", "stype", "number", "sid")
-    out = records.join(resolved, ["country", "city", "postcode", "street", "stype", "number"])
+    own = open_.groupBy("q", "country", "street", "stype").agg(F.min(F.struct("loc_cost", "loc")).alias("l"))
+    rest = own.join(beam, "q", "left").select("q", "country", F.coalesce("found", F.xxhash64("country", "l.loc", "street", "stype")).alias("sid"))
+    resolved = cut(typed.select("q", "country", "sid").unionByName(rest))
+    out = records.join(resolved.withColumnRenamed("country", "in_country"), "q")
     return out.withColumn("place", F.xxhash64("in_country", "sid", "number"))
 
 
