@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from weftlink.functions.similarity import common_subsequence, ratio, token_set_ratio, weighted_ratio
-from weftlink.functions.text import affix_keys, compact, digit_jaccard, id_list, length_ratio, list_cardinality, long_numbers, normalized, qgrams, split_of, word_tokens
+from weftlink.functions.text import affix_keys, compact, digit_jaccard, id_list, length_ratio, list_cardinality, long_numbers, normalize_text, normalized, qgrams, split_of, word_tokens
 
 
 def values(spark, column, *texts):
@@ -59,3 +59,8 @@ def test_ratios():
     assert token_set_ratio("", "a") == 0.0
     assert weighted_ratio("acme shop", "shop acme") >= 0.95
     assert 0 <= weighted_ratio("abc", "xyz") < 0.2
+
+
+def test_scalar_normalizer():
+    assert normalize_text(None) == "" and normalize_text("एसएस फ़ूड") == "एसएस फ़ूड"
+    assert normalize_text("École Straße", strip_marks=True) == "ecole strasse"

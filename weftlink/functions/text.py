@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,6 +21,22 @@ ROUTES = {
 THRESHOLDS = (1, 2, 5, 10, 20, 50, 100)
 
 
+def normalize_text(value: str | None, strip_marks: bool = False) -> str:
+    """Scalar form for single values: case-folded words parted by single blanks; NULL becomes "".
+
+    Unlike :func:`normalized` it folds case fully (ß becomes ss) and, with ``strip_marks``, only
+    non-spacing marks go, while other marks part words.
+
+    >>> normalize_text("  Payne--ENTERPRISES, LLC "), normalize_text("École", strip_marks=True)
+    ('payne enterprises llc', 'ecole')
+    """
+    text = unicodedata.normalize("NFKD" if strip_marks else "NFKC", value or "").casefold()
+    kinds = ((ch, unicodedata.category(ch)) for ch in text)
+    if strip_marks:
+        return " ".join("".join(ch if ch.isalnum() else " " for ch, kind in kinds if kind != "Mn").split())
+    return " ".join("".join(ch if ch.isalnum() or kind.startswith("M") else " " for ch, kind in kinds).split())
+
+
 def normalized(text: Column, strip_marks: bool = True) -> Column:
     """Lower-case words parted by single blanks; NULL becomes "".
 
