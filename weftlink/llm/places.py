@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from weftlink.llm.name_variants import country_udf
 from weftlink.llm.pairing import different_pairs, roots
 from weftlink.llm.records import deletions, near, parse_address, sound
-from weftlink.session import cut
+from weftlink.session import cut, kept
 
 #: Readings of one address that are kept at each step of the beam.
 BEAM = 4
@@ -146,6 +146,6 @@ def same_place_pairs(df: DataFrame, id_col: str = "entity_id", address_col: str
 
     Missing, empty and filler addresses, and those without a house number, are at no place.
     """
-    records = cut(address_records(df, id_col, address_col, country_col))
+    records = kept(address_records(df, id_col, address_col, country_col))
     pairs = different_pairs(resolve_addresses(records).select("place", "id", "address"), ["place"], "id", "address")
     return pairs.select(F.col("id_a").alias("entity_id_a"), F.col("id_b").alias("entity_id_b")).distinct()
