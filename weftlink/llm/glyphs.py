@@ -51,7 +51,7 @@ _REPLACE = _replacements() | dict.fromkeys((*range(9, 14), 0x85, 0x2028, 0x2029)
 _FOREIGN = re.compile("[" + "".join(TO_LATIN) + "]")
 
 
-@lru_cache(maxsize=65536)
+@lru_cache(maxsize=20_000)
 def script(ch: str) -> str | None:
     """Script of a letter by the first word of its Unicode name; None for common characters."""
     if not unicodedata.category(ch).startswith(("L", "M")):
@@ -60,7 +60,7 @@ def script(ch: str) -> str | None:
     return None if name.startswith(("COMBINING", "MODIFIER")) or not name else name.split()[0]
 
 
-@lru_cache(maxsize=65536)
+@lru_cache(maxsize=20_000)
 def script_set(ch: str) -> frozenset[str] | None:
     """Scripts in which a letter of this shape exists; None for characters common to all."""
     own = script(ch)
@@ -98,7 +98,7 @@ def is_confusable(token: str) -> bool:
     return len(used) > 1 or bool(used - {"LATIN"}) and "LATIN" in (resolved_scripts(token) or ())
 
 
-@lru_cache(maxsize=65536)
+@lru_cache(maxsize=20_000)
 def consistent_token(token: str) -> str:
     """The token spelled in one script: Latin where possible, else the only script that fits."""
     scripts = resolved_scripts(unicodedata.normalize("NFD", token))

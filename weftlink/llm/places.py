@@ -17,10 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftlink.llm.name_variants import country_udf
 from weftlink.llm.pairing import different_pairs, roots
-from weftlink.llm.records import deletions, near, parse_address, sound
-from weftlink.session import cut, kept
+from weftlink.llm.records import country_key, deletions, near, parse_address, sound
+from weftlink.session import cut
 
 #: Readings of one address that are kept at each step of the beam.
 BEAM = 4
@@ -31,12 +30,13 @@ def _sound_words(words: str) -> str:
     return " ".join(map(sound, words.split())) if " " in words else sound(words)
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ADDRESS_PARTS]))
-def parse_address_udf(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Parsed parts, street and city in one spelling of their sound and the street without blanks."""
-    for part in parts:
-        rows = [(n, _sound_words(s).replace(" ", ""), t, _sound_words(c).replace(" ", ""), p, u) for n, s, t, c, p, u in map(parse_address, part)]
-        yield pd.DataFrame(rows, columns=list(ADDRESS_PARTS))
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("country", *ADDRESS_PARTS)]))
+def parse_address_udf(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Of country and address: parts, street and city in one spelling of their sound and without blanks."""
+    for countries, addresses in parts:
+        known = {c: country_key(c) for c in countries.unique()}
+        rows = [(known[c], n, _sound_words(s).replace(" ", ""), t, _sound_words(w).replace(" ", ""), p, u) for c, (n, s, t, w, p, u) in zip(countries, map(parse_address, addresses))]
+        yield pd.DataFrame(rows, columns=["country", *ADDRESS_PARTS])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -72,8 +72,8 @@ def cluster_spellings(nodes: DataFrame, block: list[str], word: str) -> DataFram
 def address_records(df: DataFrame, id_col: str, address_col: str, country_col: str) -> DataFrame:
     """(id, address, country, number, street, stype, city, postcode, unit); NULL addresses and ids are left out."""
     rows = df.select(F.col(id_col).alias("id"), F.col(address_col).alias("address"), F.col(country_col).alias("c")).where("id IS NOT NULL AND address IS NOT NULL").distinct()
-    rows = rows.withColumn("country", country_udf("c")).withColumn("p", parse_address_udf("address"))
-    return rows.select("id", "address", "country", *(f"p.{c}" for c in ADDRESS_PARTS))
+    rows = rows.withColumn("p", parse_address_udf("c", "address"))
+    return rows.select("id", "address", "p.country", *(f"p.{c}" for c in ADDRESS_PARTS))
 
 
 def _same_house_streets(typed: DataFrame) -> DataFrame:
@@ -146,6 +146,6 @@ def same_place_pairs(df: DataFrame, id_col: str = "entity_id", address_col: str
 
     Missing, empty and filler addresses, and those without a house number, are at no place.
     """
-    records = kept(address_records(df, id_col, address_col, country_col))
+    records = cut(address_records(df, id_col, address_col, country_col))
     pairs = different_pairs(resolve_addresses(records).select("place", "id", "address"), ["place"], "id", "address")
     return pairs.select(F.col("id_a").alias("entity_id_a"), F.col("id_b").alias("entity_id_b")).distinct()

@@ -123,12 +123,12 @@ def _look_up(word: str, exact: dict[str, str], fuzzy: dict[str, tuple[str, str]]
     return None
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def trade_near(word: str) -> str | None:
     return _look_up(word, _TRADES, _TRADES_NEAR, 6)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def type_near(word: str) -> str | None:
     return _look_up(word, _TYPES, _TYPES_NEAR, 4)
 
@@ -137,7 +137,7 @@ _SOUND_LETTERS = str.maketrans("cqwy", "kkvi")
 _DOUBLED = re.compile(r"(.)\1+")
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def sound(word: str) -> str:
     """The word with spellings of one sound made equal and doubled letters single."""
     word = word.replace("oo", "u").replace("ee", "i").replace("ph", "f").translate(_SOUND_LETTERS)
