@@ -96,3 +96,14 @@ def test_features_cover_all_columns(spark):
     s1, s2 = source(spark, 1, S1), source(spark, 2, S2)
     c = g.scored_candidates(s1, [s2])
     assert c.columns == ["s1_id", "target_id", *g.FEATURES] and c.where(F.col("rivals") < 0).count() == 0
+
+
+def test_a_hot_bucket_loses_no_pair(spark, monkeypatch):
+    one = [("Totak Luhinni Hardware Co", f"{i} Rahikkuk Drive, Momnat Creek 56830" if i % 3 else None, "US") for i in range(12)]
+    two = [("Totak Luhinni Hardware Co", f"{i} Felbahor Street, Dejulville 55036" if i % 4 else "N/A", "US") for i in range(12)] + one[1:3]
+    candidates = lambda: sorted(map(tuple, g.scored_candidates(source(spark, 1, one), [source(spark, 2, two)]).collect()))
+    whole = candidates()
+    assert {(r[0], r[1]) for r in whole} >= {("S1-0", f"S2-{k}") for k in range(12)} | {(f"S1-{k}", "S2-0") for k in range(12)}
+    monkeypatch.setattr(g, "BUCKET_PAIRS", 1)
+    monkeypatch.setattr(g, "BLOCK_RECORDS", 3, raising=False)
+    assert candidates() == whole

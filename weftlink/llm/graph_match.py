@@ -42,8 +42,10 @@ NAME_BITS, ADDRESS_BITS, NUMBER_BITS = 32, 12, 15
 #: Tables: tokens of which attribute a record is hashed by.
 TABLES = ("name", "longest word", "other word and trade", "number and street", "number and city", "number and postcode")
 NAME_TABLES = 3
-#: Pairs of one bucket above which it is parted further by the other attribute's tables.
+#: Pairs of one bucket above which it is parted by house number, which loses no pair.
 BUCKET_PAIRS = 250_000
+#: Records a side of one block of what is still too large then.
+BLOCK_RECORDS = 2_000
 FEATURES = ("name", "cos_name", "cos_address", "trade", "legal", "number", "street", "stype", "city", "postcode", "no_address", "no_name", "rivals")
 #: Weights for a corpus without labels, on the features as they stand.
 UNFITTED = np.array([-14.0, 12.0, 1.0, 1.0, 1.0, 0.5, 4.0, 3.0, 1.0, 1.0, 1.0, 4.0, 2.0, -6.0])
@@ -237,10 +239,10 @@ def _at_home(records: DataFrame) -> DataFrame:
 def _meetings(records: DataFrame) -> DataFrame:
     """(a, b): ids of S1 and target records that share a bucket and whose signatures are near.
 
-    Buckets with more than BUCKET_PAIRS pairs are parted by the tables of the other attribute: a
-    pair of such a bucket must share one of those, too. That loses pairs whose one side lacks
-    the other attribute altogether, and of these a bucket of that size could not tell which of
-    hundreds of records it is.
+    Buckets with more than BUCKET_PAIRS pairs are parted by house number, as different ones
+    contradict each other: records that have one meet those of the same, and those without one
+    meet all of the bucket. Parts of more than BLOCK_RECORDS a side become a grid of blocks, of
+    which each pair of records has one, so no task holds a hot bucket and none of its pairs is lost.
     """
     # Flags: has a name, has a house number, has a name of one word or with an initial.
     flags = (F.length("core") > 0).cast("bigint") + 2 * (F.length("number") > 0).cast("bigint") + 4 * (~F.col("core").rlike(r"^\w{2,} \w{2,}")).cast("bigint")
@@ -266,6 +268,16 @@ def _meetings(records: DataFrame) -> DataFrame:
         close = F.when(named & placed, (F.col("off_number") == 0) & ((n <= 15) | weak & (p <= 4))).when(named, n <= 14).otherwise(p <= 5)
         return met.where(close).select("a", "b", "off_name", "off_address")
 
+    def in_blocks(part: DataFrame) -> DataFrame:
+        n = part.groupBy("key").agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 2).alias("n2"))
+        n = cut(n.where((F.col("n1") > 0) & (F.col("n2") > 0) & (F.greatest("n1", "n2") > BLOCK_RECORDS)))
+        grid = n.select("key", *(F.ceil(F.col(f"n{s}") / BLOCK_RECORDS).cast("int").alias(f"g{s}") for s in (1, 2)))
+        placed = part.join(F.broadcast(grid) if n.count() < 100_000 else grid, "key", "left").fillna(1, ["g1", "g2"])
+        own, other = (F.when(F.col("side") == s, F.col("g1")).otherwise(F.col("g2")) for s in (1, 2))
+        placed = placed.withColumn("own", F.pmod(F.xxhash64("rid"), own)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), other.cast("bigint") - 1)))
+        block = F.when(F.col("side") == 1, F.struct(F.col("own").alias("x"), F.col("other").alias("y"))).otherwise(F.struct(F.col("other").alias("x"), F.col("own").alias("y")))
+        return placed.withColumn("block", block).select("rid", "side", "sig", F.when(F.col("g1") * F.col("g2") > 1, F.xxhash64("key", "block.x", "block.y")).otherwise(F.col("key")).alias("key"))
+
     # Buckets are first counted by hash classes, which combine before the shuffle; only the few
     # classes that could hold a heavy bucket are counted key by key.
     entries = known.agg(F.sum(F.size("tables"))).first()[0] or 0
@@ -278,9 +290,19 @@ def _meetings(records: DataFrame) -> DataFrame:
         met = meet(rows)
     else:
         small = F.broadcast(hot) if hot.count() < 100_000 else hot
-        parted = rows.join(small, "key").withColumn("other", F.explode(F.expr(f"filter(tables, t -> (t % {len(TABLES)} < {NAME_TABLES}) <> (table % {len(TABLES)} < {NAME_TABLES}))")))
-        met = meet(rows.join(small, "key", "left_anti")).unionByName(meet(parted.withColumn("key", F.xxhash64("key", "other"))))
-    # Placed by the S1 record, as the join that follows needs them; BUCKET_PAIRS bounds those of one.
+        one, placed, named_table = F.col("side") == 1, F.col("sig").bitwiseAND(F.lit(2)) != 0, F.col("table") % len(TABLES) < NAME_TABLES
+        same = F.shiftrightunsigned("sig", at_number).bitwiseAND(F.lit((1 << NUMBER_BITS) - 1))
+        # Parts: a house number; -1, S1 records without one and all targets; -2, S1 records with one and targets without.
+        parts = F.array_compact(
+            F.array(
+                F.when(placed, same),
+                F.when(named_table & ~(one & placed), F.lit(-1).cast("bigint")),
+                F.when(named_table & (one == placed), F.lit(-2).cast("bigint")),
+            )
+        )
+        parted = rows.join(small, "key").withColumn("part", F.explode(parts)).withColumn("key", F.xxhash64("key", "part")).select("rid", "side", "sig", "key")
+        met = meet(rows.join(small, "key", "left_anti")).unionByName(meet(in_blocks(parted)))
+    # Placed by the S1 record, as the join that follows needs them.
     return met.repartition("a").dropDuplicates(["a", "b"])
 
 
