@@ -1,6 +1,7 @@
 import pytest
 
-from weftlink.llm.name_variants import canonical_core, core_likeness, rewritings, variant_pairs
+from weftlink.llm import name_variants
+from weftlink.llm.name_variants import canonical_core, core_likeness, organisation_members, rewritings, variant_pairs
 from weftlink.llm.places import same_place_pairs
 from weftlink.llm.records import near, parse_address, parse_name
 
@@ -102,6 +103,18 @@ def test_an_organisation_with_most_rows(spark):
     assert variant_pairs(df).count() == 3000
 
 
+def test_an_organisation_with_most_names(spark, monkeypatch):
+    base = "kulmotvardi"
+    names = [base] + [base[:k] + x + base[k:] for k in range(1, 11) for x in "bgnprz" if x not in base[k - 1 : k + 1]]
+    df = frame(spark, [f"{n} Foods Ltd" for n in names] + ["Tenmar Foods Ltd", f"{base} Plumbing Ltd"])
+    members = lambda: sorted((r.id, r.organisation) for r in organisation_members(df).collect())
+    got = dict(members())
+    assert len({got[f"S1-{i}"] for i in range(len(names))}) == 1 and len(set(got.values())) == 3
+    monkeypatch.setattr(name_variants, "HOT_FORM", 4, raising=False)
+    monkeypatch.setattr(name_variants, "BLOCK_NAMES", 7, raising=False)
+    assert dict(members()) == got
+
+
 def test_place_pairs(spark):
     a = ["540 Mirnikot Road, Jiviford 34685", "Flat 3, 540 Mirnikot Rd, Jiviford", "540 MIRNIKOT ROAD, 34685", "540 Mirnikot, Jiviford 34685", "540 Mirnikto Road, Jiviford 34685", "34685 Jiviford, No. 540 Mirnikot Road", "540 Mirnikot Street, Jiviford 34685", "541 Mirnikot Road, Jiviford 34685", "540 Mirnikot Road, Jiviford 34685", "N/A", "", None, "540 Mirnikot Road, Jivifrod 34685"]
     got = pairs(same_place_pairs(frame(spark, addresses=a)))
