@@ -81,6 +81,23 @@ def test_shared_spans_against_brute_force(spark, seed):
     assert got == brute_shared(docs, 64)
 
 
+def test_shared_characters_against_brute_force(spark):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    docs = []
+    for d in range(30):
+        long, short = text(rng.randrange(90, 200)), text(rng.randrange(64, 76))
+        docs += [(2 * d + k, text(rng.randrange(50)) + long + text(rng.randrange(1, 90)) + short + text(rng.randrange(50))) for k in (0, 1)]
+    docs += [(100, docs[0][1] + docs[5][1][30:140]), (101, " " * 300), (102, " " * 170 + "x"), (103, None)]
+    at = defaultdict(set)
+    for d, t in docs:
+        for k in range(len(t or "") - 63):
+            at[t[k : k + 64]].add(d)
+    want = {d: len({c for k in range(len(t) - 63) if len(at[t[k : k + 64]]) > 1 for c in range(k, k + 64)}) for d, t in docs if t}
+    got = {r.doc_id: r.shared_chars for r in shared_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), span=64).collect()}
+    assert got == {d: n for d, n in want.items() if n}
+
+
 def test_span_edges(spark, monkeypatch):
     rng = random.Random(9)
     text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))

@@ -8,7 +8,8 @@ about it, and windows that repeat to twice their length, to the right and to the
 until they are as long as the span or none survive. At full length this tries eight positions of a
 span about each anchor, which meets all spans that are a fifth longer; windows of half the length
 that repeat beside a document not yet found are then tried at every position, so shorter ones are
-found too. Windows are compared by 64-bit polynomial hashes, at full length by two.
+found too. Where shared characters are counted, windows that reach beyond what is found already
+are tried beside every document. Windows are compared by 64-bit polynomial hashes, at full length by two.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def _slide(a: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 
 
 def anchor_positions(grams: np.ndarray, width: int) -> np.ndarray:
-    """Positions that hold the least gram of some ``width`` neighbours; of equal ones in a row the ends."""
+    """Positions that hold the least gram of some ``width`` neighbours; of equal ones in a row the ends and one each half width."""
     if len(grams) < width:
         return np.zeros(0, dtype=np.int64)
     least = _slide(grams, width, np.minimum)
@@ -86,7 +87,9 @@ def anchor_positions(grams: np.ndarray, width: int) -> np.ndarray:
     chosen = grams == _slide(np.concatenate([pad, least, pad]), width, np.maximum)
     same = np.zeros(len(grams) + 1, dtype=bool)
     same[1:-1] = chosen[1:] & chosen[:-1] & (grams[1:] == grams[:-1])
-    return np.flatnonzero(chosen & ~(same[:-1] & same[1:]))
+    inner = same[:-1] & same[1:]
+    place = np.arange(len(grams))
+    return np.flatnonzero(chosen & ~(inner & ((place - np.maximum.accumulate(np.where(inner, 0, place))) % max(1, width // 2) > 0)))
 
 
 def _pieces(texts: list[tuple[int, str]], span: int) -> Iterator[tuple[list[tuple[int, int, int, int]], str]]:
@@ -169,8 +172,7 @@ def _extended(span: int):
 
 
 def _every_position(span: int):
-    """(doc, at, f0, f1): all windows of the span about repeated windows of half of it."""
-    half = span // 2
+    """(doc, at, f0, f1): all windows of the span that start in the stretches (lo, hi) given."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +181,7 @@ def _every_position(span: int):
                     hasher = Hasher(text[first : first + PIECE + span], 2)
                     mask = np.zeros(hasher.size + 1, dtype=bool)
                     for p in places:
-                        mask[max(0, p - first - (span - half)) : max(0, p - first + 1)] = True
+                        mask[max(0, p["lo"] - first) : max(0, p["hi"] - first + 1)] = True
                     starts = np.flatnonzero(mask)
                     starts = starts[starts + span <= hasher.size]
                     if len(starts):
@@ -188,19 +190,50 @@ def _every_position(span: int):
     return scan
 
 
+def _uncovered(span: int):
+    """(h, near, far): how far before a repeated half window windows of the span start that add characters to those found.
+
+    Rows are (doc, size, halves, full): the document's length, its half windows (at, h) and the
+    places of its windows found. Windows inside what these cover add nothing.
+    """
+    half = span // 2
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for size, halves, full in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                open_ = np.ones(size - span + 1, dtype=bool)
+                low = high = -1
+                for p in [*sorted(full or []), size + span]:
+                    if p <= high:
+                        high = p + span
+                        continue
+                    if low >= 0:
+                        open_[low : high - span + 1] = False
+                    low, high = p, p + span
+                for x in halves:
+                    starts = np.flatnonzero(open_[max(0, x["at"] - (span - half)) : x["at"] + 1])
+                    if len(starts):
+                        base = max(0, x["at"] - (span - half))
+                        out.append((x["h"], int(x["at"] - base - starts[-1]), int(x["at"] - base - starts[0])))
+            yield _batch([np.array(c, dtype=t) for c, t in zip(list(zip(*out)) or [()] * 3, (np.int64, np.int32, np.int32))], ["h", "near", "far"])
+
+    return scan
+
+
 def _repeated(windows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key stands in two documents. ``windows`` is read twice, so it should be kept."""
     both = windows.groupBy(*keys).agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi")).where("_lo <> _hi").select(*keys)
     return windows.join(both, keys, "left_semi")
 
 
-def shared_windows(documents: DataFrame, doc_col: str = "doc_id", text_col: str = "text", span: int = 600) -> DataFrame:
+def shared_windows(documents: DataFrame, doc_col: str = "doc_id", text_col: str = "text", span: int = 600, whole: bool = False) -> DataFrame:
     """(doc, at): places of windows of ``span`` characters that another document has too.
 
     Every document that shares ``span`` or more consecutive characters (code points, exact) with a
     document of another id has at least one row; repeats inside one document give none. NULL ids
     and texts and texts shorter than ``span`` give nothing. ``span`` is a multiple of 4 and at
-    least 64.
+    least 64. With ``whole`` the windows cover every shared stretch of ``span`` or more to its ends.
     """
     if span % 4 or span < 64:
         raise ValueError("span must be a multiple of 4 and at least 64")
@@ -216,10 +249,18 @@ def shared_windows(documents: DataFrame, doc_col: str = "doc_id", text_col: str
     wide = [F.struct((F.col("at") - j * (span // 2)).alias("at"), F.lit(j).alias("j"), F.col(f"f{j}").alias("f")) for j in (0, 1)]
     full = halves.select("doc", "h", F.explode(F.array(*wide)).alias("x")).select("doc", "h", "x.*").where("f IS NOT NULL")
     full = cut(_repeated(full, ["h", "j", "f"]).select("doc", "at").distinct())
-    # Windows of half the length beside a document not found yet, at every position.
-    open_ = halves.select("doc", "h", "at").join(full.select("doc").distinct().withColumn("done", F.lit(True)), "doc", "left")
-    keys = open_.where("done IS NULL").select("h").distinct()
-    rest = open_.join(keys, "h", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("places"))
+    if whole:
+        # Every shared stretch has a repeated half window in each of its windows; starts that add characters for any document are tried in all that have this half.
+        sizes = corpus.groupBy("doc").agg(F.max(F.length("text")).alias("size"))
+        known = halves.groupBy("doc").agg(F.collect_set(F.struct("at", "h")).alias("halves")).join(full.groupBy("doc").agg(F.collect_set("at").alias("full")), "doc", "left").join(sizes, "doc")
+        keys = known.select("doc", "size", "halves", "full").mapInArrow(_uncovered(span), "h bigint, near int, far int").groupBy("h").agg(F.min("near").alias("near"), F.max("far").alias("far"))
+        rest = halves.join(keys, "h")
+    else:
+        # Windows of half the length beside a document not found yet, at every position.
+        open_ = halves.select("doc", "h", "at").join(full.select("doc").distinct().withColumn("done", F.lit(True)), "doc", "left")
+        keys = open_.where("done IS NULL").select("h").distinct()
+        rest = open_.join(keys, "h", "left_semi").withColumns({"near": F.lit(0), "far": F.lit(span - span // 2)})
+    rest = rest.groupBy("doc").agg(F.collect_set(F.struct((F.col("at") - F.col("far")).alias("lo"), (F.col("at") - F.col("near")).alias("hi"))).alias("places"))
     every = corpus.join(rest, "doc").select("doc", "text", "places").mapInArrow(_every_position(span), "doc bigint, at int, f0 bigint, f1 bigint")
     return full.unionByName(_repeated(cut(every), ["f0", "f1"]).select("doc", "at"))
 
@@ -227,10 +268,10 @@ def shared_windows(documents: DataFrame, doc_col: str = "doc_id", text_col: str
 def shared_documents(documents: DataFrame, doc_col: str = "doc_id", text_col: str = "text", span: int = 600) -> DataFrame:
     """(doc_id, n_chars, shared_chars, shared_share): documents with spans that stand elsewhere.
 
-    ``shared_chars`` counts the characters that the repeated windows found cover, each once; at
-    either end of a shared stretch up to a fifth of ``span`` may stay uncounted.
+    ``shared_chars`` counts the characters of all stretches of ``span`` or more that stand in
+    another document, each once.
     """
-    at = shared_windows(documents, doc_col, text_col, span).distinct()
+    at = shared_windows(documents, doc_col, text_col, span, whole=True).distinct()
     ordered = at.groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("places"))
     merged = F.aggregate("places", F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")), lambda acc, p: F.struct((p + span).alias("end"), (acc["sum"] + p + span - F.greatest(p, acc["end"])).alias("sum")))
     sizes = documents.select(F.col(doc_col).cast("bigint").alias("doc"), F.length(text_col).alias("n_chars")).groupBy("doc").agg(F.max("n_chars").alias("n_chars"))
