@@ -74,6 +74,12 @@ def test_inverted_lists_find_most(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_fitted_lists_reach_their_recall(spark):
+    from weftlink.plans.linkage import ann_ivf_recall
+
+    assert ann_ivf_recall(spark, "/root/testdata/sf0.1").first().recall >= 0.9
+
+
 def test_truth_is_forced_for_train_only(spark):
     s1 = spark.createDataFrame([("S1-1", "US", "train"), ("S1-2", "US", "calibration")], "s1_id string, country string, split string")
     links = spark.createDataFrame([("S1-1", "S2-9", "S2"), ("S1-2", "S2-8", "S2")], "s1_id string, target_id string, source string")

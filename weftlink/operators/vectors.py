@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 #: Bytes of database vectors that one block of the exact search holds.
 BLOCK_BYTES = 32 << 20
+#: Vectors of a country on which centroids are fitted, and rounds of it.
+FIT_VECTORS = 8_192
+FIT_ROUNDS = 10
 #: Queries that one block meets at once.
 QUERY_ROWS = 20_000
 
@@ -68,11 +71,29 @@ def exact_top_k(queries: DataFrame, database: DataFrame, k: int) -> DataFrame:
 
 
 def centroids(database: DataFrame, lists: int) -> DataFrame:
-    """(country, cell, centroid): the first vectors by id hash, at most one list for 40 vectors."""
+    """(country, cell, centroid): unit centroids of spherical k-means, at most one list for 40 vectors.
+
+    They are fitted on the FIT_VECTORS vectors of a country that are least by id hash, from the
+    first of these; every vector is searched, whatever was fitted.
+    """
     order = Window.partitionBy("country").orderBy(F.xxhash64("id"), "id")
     size = database.groupBy("country").agg(F.greatest(F.lit(1), F.least(F.lit(lists), F.floor(F.count("*") / 40))).alias("nlist"))
-    ranked = database.withColumn("cell", F.row_number().over(order)).where(F.col("cell") <= lists)
-    return ranked.join(size, "country").where("cell <= nlist").select("country", "cell", F.col("vec").alias("centroid"))
+    ranked = database.where("vec IS NOT NULL").withColumn("cell", F.row_number().over(order)).where(F.col("cell") <= FIT_VECTORS)
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        points = np.array(part.sort_values("cell")["vec"].tolist(), dtype=np.float64)
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        points = unit(points)
+        centers = points[: int(part["nlist"].iloc[0])].copy()
+        for _ in range(FIT_ROUNDS):
+            near = np.argmax(points @ centers.T, axis=1)
+            sums = np.zeros_like(centers)
+            np.add.at(sums, near, points)
+            filled = np.bincount(near, minlength=len(centers)) > 0
+            centers[filled] = unit(sums[filled])
+        return pd.DataFrame({"country": part["country"].iloc[0], "cell": np.arange(1, len(centers) + 1, dtype=np.int32), "centroid": list(centers.astype(np.float32))})
+
+    return ranked.join(size, "country").select("country", "cell", "nlist", "vec").groupBy("country").applyInPandas(fit, "country string, cell int, centroid array<float>")
 
 
 def _cells(points: DataFrame, cells: DataFrame, probes: int) -> DataFrame:

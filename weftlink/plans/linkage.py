@@ -401,6 +401,24 @@ def ann_ivf_topk(spark, d):
     return vectors.inverted_top_k(vector_records(spark, d, 1), vector_records(spark, d), _fixed_cells(spark, d), 20, 2)
 
 
+#: Lists a country, at most, and probes of the search on fitted centroids.
+_LISTS, _PROBES = 16, 3
+
+
+@query()
+def ann_ivf_fitted_topk(spark, d):
+    base = vector_records(spark, d)
+    return vectors.inverted_top_k(vector_records(spark, d, 1), base, vectors.centroids(base, _LISTS), 20, _PROBES)
+
+
+@query()
+def ann_ivf_recall(spark, d):
+    """Share of the exact search's 20 neighbours that the search on fitted centroids finds."""
+    found = ann_ivf_fitted_topk(spark, d).select("s1_id", "target_id", F.lit(1).alias("hit"))
+    both = ann_exact_topk(spark, d).select("s1_id", "target_id").join(found, ["s1_id", "target_id"], "left")
+    return both.agg(F.count("*").alias("neighbours"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+
+
 def _vector_truth(spark, d):
     """For the reports on vectors: the record that follows an S1 vector is taken as its match."""
     a = vector_records(spark, d, 1).select(F.col("id").alias("s1_id"), (F.col("vec_id") + 1).alias("n"))
