@@ -50,8 +50,8 @@ def test_exact_top_k_against_brute_force(spark):
 
     rng = random.Random(1)
     rows = [(f"{s}-{i}", rng.choice("AB"), [rng.gauss(0, 1) for _ in range(8)]) for s in ("S1", "S2") for i in range(60)]
-    df = spark.createDataFrame(rows, "id string, country string, vec array<float>")
-    got = vectors.exact_top_k(df.where("id LIKE 'S1%'"), df.where("id LIKE 'S2%'"), 3).collect()
+    df = spark.createDataFrame(rows, "id string, country string, vec array<float>").withColumn("source", F.substring("id", 1, 2))
+    got = vectors.exact_top_k(df.where("id LIKE 'S1%'").drop("source"), df.where("id LIKE 'S2%'"), 3).collect()
     import numpy as np
 
     f32 = {i: (c, np.array(v, dtype=np.float32).astype(float)) for i, c, v in rows}
@@ -66,7 +66,7 @@ def test_inverted_lists_find_most(spark):
 
     rng = random.Random(2)
     rows = [(f"{s}-{i}", "A", [rng.gauss(0, 1) for _ in range(8)]) for s in ("S1", "S2") for i in range(200)]
-    df = spark.createDataFrame(rows, "id string, country string, vec array<float>")
+    df = spark.createDataFrame(rows, "id string, country string, vec array<float>").withColumn("source", F.substring("id", 1, 2))
     q, b = df.where("id LIKE 'S1%'"), df.where("id LIKE 'S2%'")
     exact = {(r.s1_id, r.target_id) for r in vectors.exact_top_k(q, b, 5).collect()}
     cells = vectors.centroids(b, 16)
@@ -128,9 +128,8 @@ def test_outputs(spark, tmp_path):
     e = spark.createDataFrame([("S1-1",), ("S1-3",)], "s1_id string")
     grouped = output.grouped_output(e, scored)
     assert {tuple(r) for r in grouped.collect()} == {("S1-1", "t,u"), ("S1-3", "")}
-    write_tsv(grouped.coalesce(1), str(tmp_path / "out"))
-    text = next((tmp_path / "out").glob("*.csv")).read_text()
-    assert text.splitlines()[0] == "source1_entity_id\tmatched_entity_ids" and "S1-3\t\n" in text + "\n"
+    write_tsv(grouped.repartition(3), str(tmp_path / "out.tsv"), "source1_entity_id")
+    assert (tmp_path / "out.tsv").read_text() == "source1_entity_id\tmatched_entity_ids\nS1-1\tt,u\nS1-3\t\n"
 
 
 def test_tsv_to_table(spark, tmp_path):
@@ -140,26 +139,26 @@ def test_tsv_to_table(spark, tmp_path):
     got = {r.entity_id: r for r in out.collect()}
     assert got["S1-1"].name_norm == "cafe llc" and got["S1-2"].business_name == "" and got["S1-2"].business_address == 'a "b"'
     assert truth_links(read_truth(spark, str(tmp_path / "train_matches.tsv"))).count() == 2
-    assert missing_files(str(tmp_path)) == ["train_source2.tsv", "train_source3.tsv"]
+    assert missing_files(spark, str(tmp_path)) == ["train_source2.tsv", "train_source3.tsv"]
     write_table(out, str(tmp_path / "t"), ("split",))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
 
 
-def test_manifest(tmp_path):
+def test_manifest(spark, tmp_path):
     assert signature({"a": 1, "b": [2]}) == signature({"b": [2], "a": 1})
     path = str(tmp_path / "state" / "manifest.json")
     made = tmp_path / "made"
     made.write_text("x")
-    m = StageManifest(path)
+    m = StageManifest(spark, path)
     m.complete("features", "000", "s", [str(made)], rows=4)
-    again = StageManifest(path)
+    again = StageManifest(spark, path)
     assert again.is_complete("features", "000", "s") and not again.is_complete("features", "000", "t")
     before = again.chained("model", 1, "features")
     again.complete("features", "000", "other")
     assert again.chained("model", 1, "features") != before
     made.unlink()
-    assert not StageManifest(path).is_complete("features", "001", "s")
-    write_json({"k": 1}, path)
+    assert not StageManifest(spark, path).is_complete("features", "001", "s")
+    write_json(spark, {"k": 1}, path)
     assert json.load(open(path)) == {"k": 1}
 
 
@@ -182,6 +181,67 @@ def test_eager_join_equals_join(spark):
     assert [(r.key, r.n_pairs, r.sx, r.sy) for r in got] == [tuple(r) for r in joined]
 
 
+def test_sources_do_not_crowd_each_other(spark):
+    """Forty equal S3 records leave the S2 record its place, its caps and its rank."""
+    one = normalized_source(spark.createDataFrame([("S1-1", "Acme Shop", "12 Main Street", "US")], SOURCE), 1, True)
+    two = normalized_source(spark.createDataFrame([("S2-1", "Acme Shop", "99 Main Street", "US")], SOURCE), 2)
+    three = normalized_source(spark.createDataFrame([(f"S3-{i}", "Acme Shop", "12 Main Street", "US") for i in range(600)], SOURCE), 3)
+    got = blocking.classical_candidates(one, two.unionByName(three), 5).collect()
+    assert sorted(r.classical_rank for r in got if r.source == "S3") == [1, 2, 3, 4, 5]
+    assert [(r.target_id, r.classical_rank, r.classical_route_count) for r in got if r.source == "S2"] == [("S2-1", 1, 5)]
+    many = [("S1-1", f"S3-{i:02}", "S3", 0.9, False) for i in range(9)] + [("S1-1", "S2-1", "S2", 0.1, False)]
+    df = spark.createDataFrame(many, "s1_id string, target_id string, source string, retrieval_priority double, is_match boolean")
+    for capped in (pairs.cap_negatives(df, 3), pairs.cap_candidates(df, 3)):
+        assert {r.target_id for r in capped.collect()} == {"S3-00", "S3-01", "S3-02", "S2-1"}
+    vec = lambda i, x: (f"S{i}", "A", f"S{i[0]}", [float(x), 1.0])
+    base = spark.createDataFrame([vec(f"3-{k}", 9 - k) for k in range(5)] + [vec("2-0", 0)], "id string, country string, source string, vec array<float>")
+    found = vectors.exact_top_k(spark.createDataFrame([("S1-1", "A", [1.0, 0.0])], "id string, country string, vec array<float>"), base, 2).collect()
+    assert sorted((r.source, r.target_id, r.ann_rank) for r in found) == [("S2", "S2-0", 1), ("S3", "S3-0", 1), ("S3", "S3-1", 2)]
+
+
+def test_equal_names_count_flat_and_uncapped_for_recall(spark):
+    s1 = normalized_source(spark.createDataFrame([(f"S1-{i}", "Same Name", f"{i} Road", "US") for i in range(120)], SOURCE), 1, True)
+    t = normalized_source(spark.createDataFrame([("S2-1", "Same Name", "7 Road", "US"), ("S2-2", "Same Name", "8 Road", "US")], SOURCE), 2)
+    wanted = spark.createDataFrame([("S2-1",)], "target_id string")
+    got = {r.s1_id: r for r in blocking.target_evidence(s1, t, wanted).collect()}
+    assert len(got) == 120 and all(r.target_id == "S2-1" for r in got.values())
+    assert got["S1-7"].classical_evidence > 10 and got["S1-8"].classical_evidence >= 5 and got["S1-8"].classical_best_df == 0
+
+
+def test_unknown_country_is_an_error(spark):
+    df = spark.createDataFrame([("S1-1", None)], "s1_id string, country string")
+    with pytest.raises(Exception, match="missing S1 country of S1-1"):
+        pairs.with_country(df).collect()
+
+
+def test_partial_ratio_tries_every_stretch():
+    import random
+
+    from weftlink.functions.similarity import common_subsequence, likenesses, partial_ratio
+
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcd ") for _ in range(rng.randrange(1, n))) for n in (8, 30))
+        short, long = sorted((a, b), key=len)
+        best = max(common_subsequence(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))
+        assert partial_ratio(a, b) == best / len(short)
+    assert partial_ratio("needle here 1234", "xxx a needle here 1234 yyy") == 1.0
+    assert likenesses("", "") == (1.0, 0.0, 0.0) and likenesses("a b", "a b") == (1.0, 1.0, 1.0)
+
+
+def test_large_centroids_join_instead(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    rows = [(f"S2-{i}", rng.choice("AB"), "S2", [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, country string, source string, vec array<float>")
+    cells = vectors.centroids(df, 3)
+    near = lambda: sorted((r.id, r.cell) for r in vectors._cells(df, cells, 2).collect())
+    sent = near()
+    monkeypatch.setattr(vectors, "CENTROID_BYTES", 0)
+    assert near() == sent and len(sent) == 600
+
+
 def test_features_of_missing_address(spark):
     p = spark.createDataFrame([("a b", "a b", "", "x", "S3", "US", 2.5)], "s1_name string, target_name string, s1_address string, target_address string, source string, country string, classical_evidence double")
     r = features.fuzzy_score(features.fuzzy_features(features.builtin_features(p))).first()

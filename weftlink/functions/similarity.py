@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,19 +10,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel over Python integers."""
-    if not a or not b:
-        return 0
+def _places(a: str) -> dict[str, int]:
+    """Positions of each character as bits."""
     at: dict[str, int] = {}
     for i, ch in enumerate(a):
         at[ch] = at.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return at
+
+
+def _subsequence(at: dict[str, int], size: int, b: str) -> int:
+    full = (1 << size) - 1
     row = full
     for ch in b:
         hit = row & at.get(ch, 0)
         row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+    return size - row.bit_count()
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, bit-parallel over Python integers."""
+    if a == b:
+        return len(a)
+    return _subsequence(_places(a), len(a), b) if a and b else 0
 
 
 def ratio(a: str, b: str) -> float:
@@ -43,32 +53,68 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter text with a stretch of its length in the longer one (steps of an eighth)."""
+    """Best ratio of the shorter text with any stretch of its length in the longer one.
+
+    Stretches are tried in the order of the characters they share with the shorter text, counted
+    while the stretch slides, until none left can be better.
+    """
     short, long = sorted((a, b), key=len)
+    size = len(short)
     if not short:
         return float(not long)
-    step = max(1, len(short) // 8)
-    return max(ratio(short, long[i : i + len(short)]) for i in range(0, len(long) - len(short) + step, step))
+    if short in long:
+        return 1.0
+    wanted = Counter(short)
+    shared, bounds = 0, []
+    for i, ch in enumerate(long):
+        if ch in wanted:
+            shared += wanted[ch] > 0
+            wanted[ch] -= 1
+        if i >= size:
+            gone = long[i - size]
+            if gone in wanted:
+                wanted[gone] += 1
+                shared -= wanted[gone] > 0
+        if i >= size - 1:
+            bounds.append(shared)
+    at, best = _places(short), 0
+    for i in sorted(range(len(bounds)), key=bounds.__getitem__, reverse=True):
+        if bounds[i] <= best:
+            break
+        best = max(best, _subsequence(at, size, long[i : i + size]))
+    return best / size
+
+
+def likenesses(a: str, b: str) -> tuple[float, float, float]:
+    """(plain ratio, weighted ratio, word-set ratio) of two texts, each part computed once.
+
+    The weighted one is a composite of our own: the plain ratio, 0.95 of that over sorted or shared
+    words, 0.9 of the partial one for texts of unlike lengths; 0 if a text is empty.
+    """
+    if not a or not b:
+        return ratio(a, b), 0.0, 0.0
+    if a == b:
+        return 1.0, 1.0, token_set_ratio(a, b)
+    plain, words = ratio(a, b), token_set_ratio(a, b)
+    best = max(plain, 0.95 * words)
+    if best < 0.95:
+        best = max(best, 0.95 * ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))))
+    if best < 0.9 and max(len(a), len(b)) > 1.5 * min(len(a), len(b)):
+        best = max(best, 0.9 * partial_ratio(a, b))
+    return plain, best, words
 
 
 def weighted_ratio(a: str, b: str) -> float:
-    """Composite of our own: plain ratio, 0.95 of that over sorted or shared words, 0.9 of the partial one for unlike lengths."""
-    if not a or not b:
-        return 0.0
-    words = max(ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), token_set_ratio(a, b))
-    best = max(ratio(a, b), 0.95 * words)
-    return max(best, 0.9 * partial_ratio(a, b)) if max(len(a), len(b)) > 1.5 * min(len(a), len(b)) else best
-
+    return likenesses(a, b)[1]
 
-def _udf(f):
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in parts:
-            yield pd.Series([f(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
-    run.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, T.DoubleType())
+_SIDES = [f"{side}_{kind}" for side in ("name", "address") for kind in ("ratio", "wratio", "token_set")]
 
 
-ratio_udf = _udf(ratio)
-token_set_udf = _udf(token_set_ratio)
-weighted_udf = _udf(weighted_ratio)
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in _SIDES]))
+def likenesses_udf(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """All six likenesses of two names and two addresses in one pass; equal text pairs of a batch are compared once."""
+    for columns in parts:
+        names, addresses = ([(x or "", y or "") for x, y in zip(*pair)] for pair in (columns[:2], columns[2:]))
+        known = {pair: likenesses(*pair) for pair in {*names, *addresses}}
+        yield pd.DataFrame([known[n] + known[a] for n, a in zip(names, addresses)], columns=_SIDES, dtype="float64")

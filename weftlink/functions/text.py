@@ -19,6 +19,10 @@ ROUTES = {
     "address_char5": (0.20, 50, 1000),
 }
 THRESHOLDS = (1, 2, 5, 10, 20, 50, 100)
+#: Routes of whole words and numbers, of word beginnings and ends (reported, not retrieved by), of letter runs.
+TOKEN_ROUTES = ("name_tokens", "address_tokens", "address_numbers")
+AFFIX_ROUTES = ("name_prefixes", "name_suffixes", "address_prefixes", "address_suffixes")
+GRAM_ROUTES = ("name_char4", "address_char5")
 
 
 def normalize_text(value: str | None, strip_marks: bool = False) -> str:
@@ -88,6 +92,7 @@ def route_keys(name_norm: Column, address_norm: Column) -> dict[str, Column]:
         "address_numbers": long_numbers(address_norm),
         "name_char4": qgrams(name, 4),
         "address_char5": qgrams(address, 5),
+        **{f"{side}_{end}": affix_keys(word_tokens(c), end == "suffixes") for side, c in (("name", name_norm), ("address", address_norm)) for end in ("prefixes", "suffixes")},
     }
 
 
@@ -119,9 +124,20 @@ def in_sample(entity: Column, per_mille: int) -> Column:
 
 
 def shard_of(entity: Column, shards: int) -> Column:
+    """Number of the shard of an entity, by its id."""
     return F.pmod(numeric_id(entity), F.lit(shards))
 
 
+def all_filled(*keys: Column) -> Column:
+    """True where no key is NULL or empty."""
+    return reduce(lambda a, b: a & b, [F.coalesce(k, F.lit("")) != "" for k in keys])
+
+
+def eligible(address: Column, view: str) -> Column:
+    """Whether a record has a text to search by in a view: the address view needs an address."""
+    return F.trim(F.coalesce(address, F.lit(""))) != "" if view == "address" else F.lit(True)
+
+
 def view_text(name: Column, address: Column, view: str) -> Column:
     """Text to embed for a view: name, address or both."""
     n, a = (F.regexp_replace(F.coalesce(c, F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "") for c in (name, address))
@@ -134,11 +150,6 @@ def view_text(name: Column, address: Column, view: str) -> Column:
     raise ValueError(f"unknown view: {view}")
 
 
-def all_filled(*keys: Column) -> Column:
-    """True where no key is NULL or empty."""
-    return reduce(lambda a, b: a & b, [F.coalesce(k, F.lit("")) != "" for k in keys])
-
-
 def digit_sets(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\p{Nd}+"), F.lit(0)))
 

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlink.functions.similarity import ratio_udf, token_set_udf, weighted_udf
+from weftlink.functions.similarity import likenesses_udf
 from weftlink.functions.text import digit_jaccard, length_ratio
 
 FUZZY = ("name_ratio", "name_wratio", "name_token_set", "address_ratio", "address_wratio", "address_token_set")
+VECTOR = ("name_cos", "address_cos", "combined_cos", "best_cos", "combined_minus_name", "combined_minus_address", "name_times_address")
 BUILTIN = ("name_length_ratio", "name_digit_jaccard", "name_exact", "address_length_ratio", "address_digit_jaccard", "address_exact", "address_missing", "source_is_s3", "country_is_us", "country_is_india")
 
+#: What the model is fitted on: all but the digits of names.
+MODEL = tuple(f for f in (*BUILTIN, *FUZZY, *VECTOR) if f != "name_digit_jaccard")
+
 
 def attach_texts(pairs: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
     """Normalised name and address of both sides beside each pair; unknown ids get empty text."""
@@ -45,12 +49,9 @@ def builtin_features(pairs: DataFrame) -> DataFrame:
 def fuzzy_features(pairs: DataFrame) -> DataFrame:
     """Plain, weighted and word-set ratios; a missing address zeroes the address ones."""
     missing = (F.col("s1_address") == "") | (F.col("target_address") == "")
-    out = pairs
-    for side in ("name", "address"):
-        for name, udf in (("ratio", ratio_udf), ("wratio", weighted_udf), ("token_set", token_set_udf)):
-            value = udf(f"s1_{side}", f"target_{side}")
-            out = out.withColumn(f"{side}_{name}", F.when(missing, 0.0).otherwise(value) if side == "address" else value)
-    return out
+    out = pairs.withColumn("_f", likenesses_udf("s1_name", "target_name", "s1_address", "target_address"))
+    value = lambda c: F.when(missing, 0.0).otherwise(F.col(f"_f.{c}")) if c.startswith("address") else F.col(f"_f.{c}")
+    return out.withColumns({c: value(c) for c in FUZZY}).drop("_f")
 
 
 def vector_features(pairs: DataFrame) -> DataFrame:

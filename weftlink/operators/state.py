@@ -5,49 +5,39 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
-import os
 from collections.abc import Iterable
 from typing import Any
 
-from weftlink.sources.readers import write_json
-
+from pyspark.sql import SparkSession
 
-def _plain(value: Any) -> Any:
-    if isinstance(value, dict):
-        return {str(k): _plain(v) for k, v in value.items()}
-    if isinstance(value, (list, tuple)):
-        return [_plain(v) for v in value]
-    if isinstance(value, (set, frozenset)):
-        return sorted(_plain(v) for v in value)
-    return value if value is None or isinstance(value, (str, int, float, bool)) else str(value)
+from weftlink.sources.files import Files
+from weftlink.sources.readers import write_json
 
 
 def signature(value: Any) -> str:
-    """SHA-256 of a value's canonical JSON; the order of keys does not matter."""
-    return hashlib.sha256(json.dumps(_plain(value), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    """SHA-256 of a value's JSON, whatever the order of its keys; sets count sorted, other objects by their text."""
+    text = json.dumps(value, sort_keys=True, default=lambda x: sorted(x) if isinstance(x, (set, frozenset)) else str(x))
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 class StageManifest:
-    """Stages and their parts with signature, outputs and statistics, kept in a JSON file."""
+    """Stages and their parts with signature, outputs and statistics, kept in a JSON file of any file system."""
 
-    def __init__(self, path: str) -> None:
-        self.path = path
-        self.stages: dict[str, dict[str, Any]] = {}
-        if os.path.exists(path):
-            with open(path, encoding="utf-8") as f:
-                self.stages = json.load(f)["stages"]
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path, self.files = spark, path, Files(spark)
+        self.stages: dict[str, dict[str, Any]] = json.loads(self.files.read(path))["stages"] if self.files.exists(path) else {}
 
     def is_complete(self, stage: str, part: str, sign: str) -> bool:
         """Whether the part was finished under this signature and its outputs still exist."""
         entry = self.stages.get(stage, {}).get(part)
-        return bool(entry) and entry["signature"] == sign and all(os.path.exists(p) for p in entry["outputs"])
+        return bool(entry) and entry["signature"] == sign and all(map(self.files.exists, entry["outputs"]))
 
     def complete(self, stage: str, part: str, sign: str, outputs: Iterable[str] = (), **statistics: Any) -> None:
-        entry = {"signature": sign, "outputs": list(outputs), "statistics": _plain(statistics), "at": dt.datetime.now(dt.timezone.utc).isoformat()}
+        entry = {"signature": sign, "outputs": list(outputs), "statistics": statistics, "at": dt.datetime.now(dt.timezone.utc).isoformat()}
         self.stages.setdefault(stage, {})[part] = entry
-        write_json({"stages": self.stages}, self.path)
+        write_json(self.spark, {"stages": self.stages}, self.path)
 
     def chained(self, stage: str, value: Any, *upstream: str) -> str:
         """Signature of a stage that also changes with the stages it reads."""
         before = {u: sorted(e["signature"] for e in self.stages.get(u, {}).values()) for u in upstream}
-        return signature({"stage": stage, "value": _plain(value), "upstream": before})
+        return signature({"stage": stage, "value": value, "upstream": before})

@@ -1,4 +1,4 @@
-"""Nearest neighbours by inner product within a country: exact, and over inverted lists."""
+"""Nearest neighbours by inner product within a country and source: exact, and over inverted lists."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,8 @@ FIT_VECTORS = 8_192
 FIT_ROUNDS = 10
 #: Queries that one block meets at once.
 QUERY_ROWS = 20_000
+#: Bytes of centroids that are sent to every worker; more are joined.
+CENTROID_BYTES = 64 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,59 +28,78 @@ def dot(a: Column, b: Column) -> Column:
     return F.coalesce(total, F.lit(0.0))
 
 
-def _rounded_top(pairs: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("s1_id").orderBy(F.desc("ann_score"), F.asc("target_id"))
+def _rounded_top(pairs: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    order = Window.partitionBy("s1_id", "source", *by).orderBy(F.desc("ann_score"), F.asc("target_id"))
     return pairs.withColumn("ann_rank", F.row_number().over(order)).where(F.col("ann_rank") <= k)
 
 
-def exact_top_k(queries: DataFrame, database: DataFrame, k: int) -> DataFrame:
-    """(s1_id, target_id, country, ann_score, ann_rank): ``k`` targets of the country with the largest product.
+def _blocked_top_k(queries: DataFrame, database: DataFrame, groups: list[str], k: int) -> DataFrame:
+    """Best ``k`` products of each query (s1_id, vec) within its group of the database (target_id, vec), with the group's text columns.
 
-    Inputs have id, country, vec. Within each country the database is cut into blocks and the
-    queries into parts of bounded size; each block meets each part in a task of its own as matrix
-    products, which keep the best ``k`` of a query, so k rows a query and block are shuffled and
-    not one a pair. Scores are rounded to nine places and ties go by target id.
+    Each group of the database is cut into blocks and its queries into parts of bounded size; each
+    block meets each part in a task of its own as matrix products, which keep the best ``k`` of a
+    query, so k rows a query and block are shuffled and not one a pair.
     """
     width = database.select(F.size("vec").alias("n")).where("n > 0").limit(1).collect()
     rows = max(1, BLOCK_BYTES // (8 * (width[0].n if width else 1)))
-    counts = database.groupBy("country").agg(F.count("*").alias("n"))
-    blocks = counts.select("country", F.ceil(F.col("n") / rows).cast("int").alias("blocks"))
-    placed = database.where("vec IS NOT NULL").join(blocks, "country").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    shares = queries.where("vec IS NOT NULL").groupBy("country").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("shares"))
-    packed = placed.groupBy("country", "block").agg(F.collect_list(F.struct("id", "vec")).alias("items"))
-    packed = packed.join(shares, "country").select("country", "block", "items", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    asked = queries.where("vec IS NOT NULL").select(F.col("id").alias("s1_id"), F.col("country").alias("area"), "vec").join(blocks.withColumnRenamed("country", "area"), "area")
-    asked = asked.join(shares.withColumnRenamed("country", "area"), "area").withColumn("lot", F.pmod(F.xxhash64("s1_id"), F.col("shares")).cast("int"))
-    salted = asked.select("s1_id", "area", "vec", "lot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
-    schema = "s1_id string, target_id string, country string, ann_score double"
+    base, asked = (df.where(" AND ".join(f"{c} IS NOT NULL" for c in (*groups, "vec"))) for df in (database, queries))
+    blocks = base.groupBy(*groups).agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks"))
+    shares = asked.groupBy(*groups).agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("shares"))
+    grid = blocks.join(shares, groups)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    packed = base.join(grid, groups).withColumn("block", F.pmod(F.xxhash64("target_id"), F.col("blocks")).cast("int"))
+    packed = packed.groupBy(*groups, "block", "shares").agg(F.collect_list(F.struct("target_id", "vec")).alias("items")).withColumn("share", each("shares")).drop("shares")
+    salted = asked.join(grid, groups).withColumn("share", F.pmod(F.xxhash64("s1_id"), F.col("shares")).cast("int")).withColumn("block", each("blocks"))
+    # Under other names, as both sides may come from one table.
+    salted = salted.select("s1_id", "vec", *(F.col(c).alias(f"_{c}") for c in (*groups, "block", "share")))
+    shown = [c for c in groups if c != "cell"]
+    schema = f"s1_id string, target_id string, {', '.join(f'{c} string' for c in shown)}, ann_score double"
+    place = [groups.index(c) for c in shown]
 
     def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"s1_id": [], "target_id": [], "country": [], "ann_score": []}).astype({"s1_id": str, "target_id": str, "country": str})
+            return pd.DataFrame({c: pd.Series(dtype="float64" if c == "ann_score" else "object") for c in ("s1_id", "target_id", *shown, "ann_score")})
         items = right["items"].iloc[0]
-        ids = np.array([x["id"] for x in items], dtype=object)
+        ids = np.array([x["target_id"] for x in items], dtype=object)
         order = np.argsort(ids)
-        ids, base = ids[order], np.array([x["vec"] for x in items], dtype=np.float64)[order]
+        ids, points = ids[order], np.array([x["vec"] for x in items], dtype=np.float64)[order]
         out = []
         for low in range(0, len(left), 1024):
             part = left.iloc[low : low + 1024]
-            scores = np.round(np.array(part["vec"].tolist(), dtype=np.float64) @ base.T, 9)
+            scores = np.round(np.array(part["vec"].tolist(), dtype=np.float64) @ points.T, 9) + 0.0
             best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"s1_id": np.repeat(part["s1_id"].to_numpy(), best.shape[1]), "target_id": ids[best].ravel(), "country": key[0], "ann_score": np.take_along_axis(scores, best, axis=1).ravel()}))
+            out.append(pd.DataFrame({"s1_id": np.repeat(part["s1_id"].to_numpy(), best.shape[1]), "target_id": ids[best].ravel(), **{c: key[i] for c, i in zip(shown, place)}, "ann_score": np.take_along_axis(scores, best, axis=1).ravel()}))
         return pd.concat(out)
 
-    found = salted.groupBy("area", "part", "lot").cogroup(packed.groupBy("country", "block", "share")).applyInPandas(search, schema)
-    return _rounded_top(found, k)
+    by = [*groups, "block", "share"]
+    return salted.groupBy(*(f"_{c}" for c in by)).cogroup(packed.groupBy(*by)).applyInPandas(search, schema)
+
+
+def _asked(queries: DataFrame, database: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A row a query and source that the database has in its country."""
+    sources = database.select("country", "source", *by).distinct()
+    return queries.select(F.col("id").alias("s1_id"), "country", *by, "vec").join(sources, ["country", *by])
+
+
+def exact_top_k(queries: DataFrame, database: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(s1_id, target_id, country, source, ``by``, ann_score, ann_rank): ``k`` targets of each source with the largest product.
+
+    ``queries`` have id, country, vec, the database also source. Only records of one country, and
+    of one value of the text columns ``by`` (such as the view), meet. Scores are rounded to nine
+    places and ties go by target id.
+    """
+    base = database.select(F.col("id").alias("target_id"), "country", "source", *by, "vec")
+    return _rounded_top(_blocked_top_k(_asked(queries, database, by), base, ["country", "source", *by], k), k, by)
 
 
 def centroids(database: DataFrame, lists: int) -> DataFrame:
-    """(country, cell, centroid): unit centroids of spherical k-means, at most one list for 40 vectors.
+    """(country, source, cell, centroid): unit centroids of spherical k-means, at most one list for 40 vectors.
 
-    They are fitted on the FIT_VECTORS vectors of a country that are least by id hash, from the
+    They are fitted on the FIT_VECTORS vectors of a country and source that are least by id hash, from the
     first of these; every vector is searched, whatever was fitted.
     """
-    order = Window.partitionBy("country").orderBy(F.xxhash64("id"), "id")
-    size = database.groupBy("country").agg(F.greatest(F.lit(1), F.least(F.lit(lists), F.floor(F.count("*") / 40))).alias("nlist"))
+    order = Window.partitionBy("country", "source").orderBy(F.xxhash64("id"), "id")
+    size = database.groupBy("country", "source").agg(F.greatest(F.lit(1), F.least(F.lit(lists), F.floor(F.count("*") / 40))).alias("nlist"))
     ranked = database.where("vec IS NOT NULL").withColumn("cell", F.row_number().over(order)).where(F.col("cell") <= FIT_VECTORS)
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
@@ -91,39 +113,90 @@ def centroids(database: DataFrame, lists: int) -> DataFrame:
             np.add.at(sums, near, points)
             filled = np.bincount(near, minlength=len(centers)) > 0
             centers[filled] = unit(sums[filled])
-        return pd.DataFrame({"country": part["country"].iloc[0], "cell": np.arange(1, len(centers) + 1, dtype=np.int32), "centroid": list(centers.astype(np.float32))})
+        return pd.DataFrame({"country": part["country"].iloc[0], "source": part["source"].iloc[0], "cell": np.arange(1, len(centers) + 1, dtype=np.int32), "centroid": list(centers.astype(np.float32))})
 
-    return ranked.join(size, "country").select("country", "cell", "nlist", "vec").groupBy("country").applyInPandas(fit, "country string, cell int, centroid array<float>")
+    return ranked.join(size, ["country", "source"]).select("country", "source", "cell", "nlist", "vec").groupBy("country", "source").applyInPandas(fit, "country string, source string, cell int, centroid array<float>")
 
 
 def _cells(points: DataFrame, cells: DataFrame, probes: int) -> DataFrame:
-    """Nearest cells of each point; the centroids are few by the lists' bound."""
-    near = points.join(F.broadcast(cells), "country").withColumn("s", F.round(dot(F.col("vec"), F.col("centroid")), 9))
-    order = Window.partitionBy("id").orderBy(F.desc("s"), "cell")
-    return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= probes).drop("s", "r", "centroid")
+    """``points`` (with country, source, vec) once for each of their ``probes`` nearest cells.
+
+    Centroids of up to CENTROID_BYTES go to the workers, which multiply batches of points with
+    them; more are joined by country and source instead.
+    """
+    spark = points.sparkSession
+    width = cells.select(F.size("centroid").alias("n")).limit(1).collect()
+    if width and cells.count() * width[0].n * 8 > CENTROID_BYTES:
+        key = F.struct("country", "source", points.columns[0])
+        near = points.withColumn("_k", key).join(cells, ["country", "source"]).withColumn("s", F.round(dot(F.col("vec"), F.col("centroid")), 9))
+        near = near.withColumn("r", F.row_number().over(Window.partitionBy("_k").orderBy(F.desc("s"), "cell")))
+        return near.where(F.col("r") <= probes).select(*points.columns, "cell")
+    table: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}
+    for r in cells.orderBy("country", "source", "cell").collect():
+        table.setdefault((r.country, r.source), ([], []))[0].append(r.cell)
+        table[r.country, r.source][1].append(r.centroid)
+    model = spark.sparkContext.broadcast({key: (np.array(n, dtype=np.int32), np.array(c, dtype=np.float64)) for key, (n, c) in table.items()})
+    schema = T.StructType([*(f for f in points.schema.fields), T.StructField("cell", T.IntegerType())])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            area = pd.DataFrame({"c": batch.column("country").to_pylist(), "s": batch.column("source").to_pylist()})
+            for key, rows in area.groupby(["c", "s"]).indices.items():
+                if key not in model.value:
+                    continue
+                names, centers = model.value[key]
+                part = batch.take(pa.array(rows))
+                vec = np.array(part.column("vec").to_pylist(), dtype=np.float64)
+                near = np.argsort(-np.round(vec @ centers.T, 9), axis=1, kind="stable")[:, :probes]
+                out = part.take(pa.array(np.repeat(np.arange(len(rows)), near.shape[1])))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(names[near].ravel())], names=[*out.schema.names, "cell"])
+
+    return points.where("vec IS NOT NULL").mapInArrow(assign, schema)
 
 
 def inverted_top_k(queries: DataFrame, database: DataFrame, cells: DataFrame, k: int, probes: int) -> DataFrame:
-    """As :func:`exact_top_k` over the ``probes`` lists nearest to each query."""
-    lists = _cells(database, cells, 1).select(F.col("id").alias("target_id"), "country", "cell", F.col("vec").alias("t"))
-    asked = _cells(queries, cells, probes).select(F.col("id").alias("s1_id"), "country", "cell", F.col("vec").alias("q"))
-    met = asked.join(lists, ["country", "cell"]).withColumn("ann_score", F.round(dot(F.col("q"), F.col("t")), 9))
-    return _rounded_top(met.select("s1_id", "target_id", "country", "ann_score"), k)
+    """As :func:`exact_top_k` over the ``probes`` lists nearest to each query, of each source apart."""
+    base = database.select(F.col("id").alias("target_id"), "country", "source", "vec")
+    met = _blocked_top_k(_cells(_asked(queries, database), cells, probes), _cells(base, cells, 1), ["country", "source", "cell"], k)
+    return _rounded_top(met, k)
+
 
+def targets_to_s1(queries: DataFrame, s1: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The other direction: the ``k`` S1 records nearest to each target, (target_id, source, s1_id, country, ``by``, ann_score, ann_rank).
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
+    ``queries`` are targets with id, source, country, vec; S1 records are the database.
+    """
+    found = exact_top_k(queries.select("id", "country", *by, "vec"), s1.withColumn("source", F.lit("S1")), k, by)
+    found = found.select(F.col("s1_id").alias("target_id"), F.col("target_id").alias("s1_id"), "country", *by, "ann_score", "ann_rank")
+    own = queries.select(F.col("id").alias("target_id"), "source").distinct()
+    return found.join(own, "target_id").select("target_id", "source", "s1_id", "country", *by, "ann_score", "ann_rank")
+
+
+#: Dimensions of the vectors of texts.
+TEXT_DIMENSIONS = 64
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hashed_text_vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unit vectors of 64 dimensions from hashed letter triples: an encoder that needs no model file."""
-    import zlib
+    """Unit vectors of hashed letter triples: an encoder that needs no model file.
 
+    Each triple of code points x, y, z of the text between blanks has the number 961 x + 31 y + z;
+    its last six bits are the dimension and the bit above them the sign. Texts without any have zeros.
+    """
     for part in parts:
         out = []
-        for s in part:
-            v = np.zeros(64, dtype=np.float32)
-            t = f" {s or ''} ".lower()
-            for i in range(len(t) - 2):
-                h = zlib.crc32(t[i : i + 3].encode())
-                v[h & 63] += 1 if h & 64 else -1
-            n = float(np.linalg.norm(v))
-            out.append((v / n if n else v).tolist())
+        for text in part:
+            points = np.frombuffer(f" {text or ''} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+            number = points[:-2] * 961 + points[1:-1] * 31 + points[2:]
+            v = np.bincount(number % TEXT_DIMENSIONS, 1.0 - 2 * (number // TEXT_DIMENSIONS % 2), TEXT_DIMENSIONS)
+            n = float(np.sqrt(v @ v))
+            out.append(v / n if n else v)
         yield pd.Series(out)
+
+
+def view_vectors(entities: DataFrame, views: tuple[str, ...] = ("name", "address", "combined")) -> DataFrame:
+    """(id, source, country, view, vec): a vector of each normalised record and view of it that has a text."""
+    text = {"name": F.col("name_norm"), "address": F.col("address_norm"), "combined": F.concat_ws(" ", "name_norm", "address_norm")}
+    each = F.explode(F.array(*(F.struct(F.lit(v).alias("view"), text[v].alias("text")) for v in views))).alias("x")
+    rows = entities.select(F.col("entity_id").alias("id"), "source", "country", each).where("trim(x.text) <> ''")
+    return rows.select("id", "source", "country", "x.view", hashed_text_vectors("x.text").alias("vec"))

@@ -20,9 +20,8 @@ def p4_countries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    s1 = table(spark, d, "train_source1").select("entity_id", "country")
-    profile = key_profile(s1, "country", {"n_entities": "entity_id"}, {})
-    return with_share(profile, distinct_total(s1, "entity_id"), "n_entities", 0.05).where("is_heavy").select(F.col("key").alias("country"))
+    """The heavy countries of the joined compact states of :func:`p4_countries`."""
+    return p4_countries(spark, d).where("is_heavy").select("country")
 
 
 def p4_join_totals(spark: SparkSession, d: str) -> DataFrame:

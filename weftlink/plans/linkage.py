@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.functions.text import ROUTES, THRESHOLDS, id_list, in_sample, list_cardinality, long_numbers, qgrams, split_of, view_text, word_tokens
+from weftlink.functions.text import AFFIX_ROUTES, GRAM_ROUTES, ROUTES, THRESHOLDS, TOKEN_ROUTES, eligible, id_list, in_sample, list_cardinality, long_numbers, qgrams, shard_of, split_of, view_text, word_tokens
 from weftlink.operators import blocking, evaluation, features, metrics, output, pairs, vectors
 from weftlink.operators.model import feature_importance, fit_matcher, score_pairs
 from weftlink.sources.readers import latest_entities, normalized_source, truth_links
+from weftlink.session import cut, kept
 from weftlink.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,11 +52,17 @@ def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
     return last.select("s1_id", "target_id", "m.*")
 
 
+def known_links(spark: SparkSession, d: str) -> DataFrame:
+    """Known links with the S1 record's country and the target's source."""
+    a = s1(spark, d).select(F.col("entity_id").alias("s1_id"), "country")
+    return links(spark, d).join(a, "s1_id")
+
+
 def vector_records(spark: SparkSession, d: str, number: int | None = None) -> DataFrame:
     """Vectors as records: id and source by vec_id modulo 3, the label as country."""
     e = table(spark, d, "embeddings").select(F.col("vec_id"), (F.pmod(F.col("vec_id"), F.lit(3)) + 1).alias("s"), F.col("embedding").alias("vec"), F.concat(F.lit("L"), F.col("label")).alias("country"))
     e = e.withColumn("id", F.concat(F.lit("S"), F.col("s"), F.lit("-"), F.col("vec_id")))
-    return e.where(F.col("s") == number if number else F.col("s") > 1).select("id", "country", "vec", "vec_id")
+    return e.where(F.col("s") == number if number else F.col("s") > 1).select("id", "country", F.concat(F.lit("S"), F.col("s")).alias("source"), "vec", "vec_id")
 
 
 FULL_WIDTH = "".join(chr(0xFF01 + i) for i in range(94))
@@ -77,7 +84,8 @@ e0 AS (SELECT entity_id, coalesce(business_name, '') AS business_name, coalesce(
 e AS MATERIALIZED (SELECT *, replace(name_norm, ' ', '') AS name_compact, replace(address_norm, ' ', '') AS address_compact FROM e0),
 s1 AS (SELECT *, CASE WHEN CAST(substr(entity_id, 4) AS BIGINT) % 100 < 80 THEN 'train' WHEN CAST(substr(entity_id, 4) AS BIGINT) % 100 < 90 THEN 'calibration' ELSE 'holdout' END AS split FROM e WHERE source = 'S1'),
 t AS (SELECT * FROM e WHERE source <> 'S1'),
-links AS (SELECT DISTINCT source1_entity_id AS s1_id, target_id, CASE WHEN target_id LIKE 'S2-%' THEN 'S2' WHEN target_id LIKE 'S3-%' THEN 'S3' END AS source FROM (SELECT source1_entity_id, trim(unnest(string_split(matched_entity_ids, ','))) AS target_id FROM train_matches) WHERE target_id <> '')
+links AS MATERIALIZED (SELECT DISTINCT source1_entity_id AS s1_id, target_id, CASE WHEN target_id LIKE 'S2-%' THEN 'S2' WHEN target_id LIKE 'S3-%' THEN 'S3' END AS source FROM (SELECT source1_entity_id, trim(unnest(string_split(matched_entity_ids, ','))) AS target_id FROM train_matches) WHERE target_id <> ''),
+kl AS (SELECT links.*, s1.country FROM links JOIN s1 ON s1.entity_id = s1_id)
 """
 _STRIP = "regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')".format
 _GRAM = "list_distinct(list_transform(range(1, greatest(length({c}) - {n} + 2, 1)), lambda i: substr({c}, i, {n})))"
@@ -92,25 +100,31 @@ _ROUTE_SQL = {
     "name_char4": _GRAM.format(c="name_compact", n=4),
     "address_char5": _GRAM.format(c="address_compact", n=5),
 }
+_AFFIX_SQL = {f"{side}_{end}": f"list_distinct(list_transform(list_filter({_TOKENS.format(c=side + '_norm')}, lambda x: length(x) >= 5), lambda x: {'right' if end == 'suffixes' else 'left'}(x, 4)))" for side in ("name", "address") for end in ("prefixes", "suffixes")}
+
+
+def _keys_sql(name: str, routes: dict[str, str]) -> str:
+    rows = " UNION ALL ".join(f"SELECT entity_id AS id, source, country, '{r}' AS route, unnest({x}) AS key FROM e" for r, x in routes.items())
+    return f", {name} AS MATERIALIZED (SELECT DISTINCT * FROM ({rows}) WHERE key <> '')"
+
+
 KEYS = (
     VIEWS
-    + ", k AS MATERIALIZED (SELECT DISTINCT * FROM ("
-    + " UNION ALL ".join(f"SELECT entity_id AS id, source, country, '{r}' AS route, unnest({x}) AS key FROM e" for r, x in _ROUTE_SQL.items())
-    + ") WHERE key <> '')"
+    + _keys_sql("k", _ROUTE_SQL)
     + ", caps(route, w, m1, m2) AS (VALUES "
     + ", ".join(f"('{r}', CAST({w} AS DOUBLE), {a}, {b})" for r, (w, a, b) in ROUTES.items())
     + ")"
     + """, s1k AS (SELECT * FROM k WHERE source = 'S1'), tk AS (SELECT * FROM k WHERE source <> 'S1'),
 all_df AS (SELECT route, country, key, count(*) AS df FROM s1k GROUP BY ALL),
 sdf AS (SELECT a.* FROM all_df a JOIN caps USING (route) WHERE df <= m1),
-tdf AS (SELECT route, country, key, count(*) AS target_df FROM tk JOIN sdf USING (route, country, key) GROUP BY ALL),
-idx AS (SELECT tk.id AS target_id, route, country, key, df AS s1_df, target_df FROM tk JOIN sdf USING (route, country, key) JOIN tdf USING (route, country, key) JOIN caps USING (route) WHERE target_df <= m2),
-sc AS (SELECT s1k.id AS s1_id, target_id, country, route, key, CAST(w / sqrt(s1_df) AS DECIMAL(20,12)) AS route_score, s1_df FROM s1k JOIN idx USING (route, country, key) JOIN caps USING (route)),
-ev AS (SELECT s1_id, target_id, country, CAST(sum(route_score) AS DOUBLE) AS classical_evidence, count(DISTINCT route) AS classical_route_count, count(*) AS classical_shared_keys, min(s1_df) AS classical_best_df FROM sc GROUP BY ALL)
+tdf AS (SELECT tk.source, route, country, key, count(*) AS target_df FROM tk JOIN sdf USING (route, country, key) GROUP BY ALL),
+idx AS (SELECT tk.id AS target_id, tk.source, route, country, key, df AS s1_df, target_df FROM tk JOIN sdf USING (route, country, key) JOIN tdf USING (source, route, country, key) JOIN caps USING (route) WHERE target_df <= m2),
+sc AS (SELECT s1k.id AS s1_id, target_id, idx.source, country, route, key, CAST(round(w / sqrt(s1_df) * 1e12) AS BIGINT) AS route_score, s1_df FROM s1k JOIN idx USING (route, country, key) JOIN caps USING (route)),
+ev AS (SELECT s1_id, target_id, source, country, CAST(sum(route_score) AS DOUBLE) / 1e12 AS classical_evidence, count(DISTINCT route) AS classical_route_count, count(*) AS classical_shared_keys, min(s1_df) AS classical_best_df FROM sc GROUP BY ALL)
 """
 )
 _RANK = "classical_evidence DESC, classical_route_count DESC, classical_shared_keys DESC, classical_best_df ASC"
-CANDIDATES = KEYS + f", cand AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY {_RANK}, target_id) AS INTEGER) AS classical_rank FROM ev) WHERE classical_rank <= 30)"
+CANDIDATES = KEYS + f", cand AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY s1_id, source ORDER BY {_RANK}, target_id) AS INTEGER) AS classical_rank FROM ev) WHERE classical_rank <= 30)"
 PAIRS = """WITH p0 AS (SELECT * REPLACE (CASE WHEN isnan(retrieval_priority) THEN NULL ELSE retrieval_priority END AS retrieval_priority) FROM pairs WHERE s1_id IS NOT NULL AND target_id IS NOT NULL),
 p AS MATERIALIZED (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, target_id ORDER BY scored_at DESC NULLS LAST, retrieval_priority DESC NULLS LAST, source DESC NULLS LAST, country DESC NULLS LAST, classical_evidence DESC NULLS LAST, classical_route_count DESC NULLS LAST, classical_shared_keys DESC NULLS LAST, classical_best_df DESC NULLS LAST) AS k FROM p0) WHERE k = 1)
 """
@@ -119,7 +133,7 @@ VECTORS = "WITH v AS (SELECT vec_id, 'S' || (vec_id % 3 + 1) || '-' || vec_id AS
 
 
 def _top_sql(name: str, k: int, a: str = "embedding") -> str:
-    return f"{name} AS (SELECT * FROM (SELECT a.id AS s1_id, b.id AS target_id, a.country, round({_DOT}, 9) AS ann_score, CAST(row_number() OVER (PARTITION BY a.id ORDER BY round({_DOT}, 9) DESC, b.id) AS INTEGER) AS ann_rank FROM v a JOIN v b ON a.country = b.country AND a.s = 1 AND b.s > 1) WHERE ann_rank <= {k})"
+    return f"{name} AS (SELECT * FROM (SELECT a.id AS s1_id, b.id AS target_id, a.country, 'S' || b.s AS source, round({_DOT}, 9) + 0 AS ann_score, CAST(row_number() OVER (PARTITION BY a.id, b.s ORDER BY round({_DOT}, 9) DESC, b.id) AS INTEGER) AS ann_rank FROM v a JOIN v b ON a.country = b.country AND a.s = 1 AND b.s > 1) WHERE ann_rank <= {k})"
 
 
 # ---------------------------------------------------------------- sources, normalisation, audit
@@ -136,9 +150,15 @@ def audit_source(spark, d):
     return one.unionByName(two).unionByName(three)
 
 
-@query("SELECT country, count(*) AS n_rows FROM train_source1 GROUP BY country")
+@query(" UNION ALL ".join(f"SELECT 'S{n}' AS source, country, count(*) AS n_rows FROM train_source{n} GROUP BY country" for n in (1, 2, 3)))
 def audit_countries(spark, d):
-    return table(spark, d, "train_source1").groupBy("country").agg(F.count("*").alias("n_rows"))
+    return evaluation.audit_countries({f"S{n}": table(spark, d, f"train_source{n}") for n in (1, 2, 3)})
+
+
+@query(VIEWS + "SELECT CAST(substr(entity_id, 4) AS BIGINT) % 7 AS shard, split, count(*) AS n FROM s1 GROUP BY ALL")
+def shard_counts(spark, d):
+    """Records of each of seven shards by id and of each split."""
+    return s1(spark, d).groupBy(shard_of(F.col("entity_id"), 7).alias("shard"), "split").agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) AS n_rows, count(DISTINCT source1_entity_id) AS unique_ids, count(*) FILTER (matched_entity_ids IS NULL) AS singletons, CAST(sum(c) AS BIGINT) AS links, round(avg(c), 6) AS mean_links, max(c) AS most_links FROM (SELECT *, CAST(CASE WHEN matched_entity_ids IS NULL THEN 0 ELSE length(matched_entity_ids) - length(replace(matched_entity_ids, ',', '')) + 1 END AS BIGINT) AS c FROM train_matches)")
@@ -168,13 +188,18 @@ def normalize_text_fields(spark, d):
     return s1(spark, d).select(cols).unionByName(targets(spark, d).select(cols))
 
 
-@query(VIEWS + "SELECT entity_id, name_compact, address_compact FROM s1")
+def entities(spark: SparkSession, d: str) -> DataFrame:
+    """Normalised records of all three sources."""
+    return s1(spark, d).drop("split").unionByName(targets(spark, d))
+
+
+@query(VIEWS + "SELECT entity_id, name_compact, address_compact FROM e")
 def compact_keys(spark, d):
-    return s1(spark, d).select("entity_id", "name_compact", "address_compact")
+    return entities(spark, d).select("entity_id", "name_compact", "address_compact")
 
 
 def _joined(f, column):
-    return lambda spark, d: s1(spark, d).select("entity_id", F.array_join(F.array_sort(f(F.col(column))), "|").alias("items"))
+    return lambda spark, d: entities(spark, d).select("entity_id", F.array_join(F.array_sort(f(F.col(column))), "|").alias("items"))
 
 
 for _name, _f, _col, _sql in (
@@ -185,28 +210,19 @@ for _name, _f, _col, _sql in (
     ("qgrams_5", lambda c: qgrams(c, 5), "address_compact", _GRAM.format(c="address_compact", n=5)),
 ):
     QUERIES[_name] = _joined(_f, _col)
-    ORACLE[_name] = VIEWS + f"SELECT entity_id, coalesce(array_to_string(list_sort({_sql}), '|'), '') AS items FROM s1"
+    ORACLE[_name] = VIEWS + f"SELECT entity_id, coalesce(array_to_string(list_sort({_sql}), '|'), '') AS items FROM e"
 
 
-@query(
-    VIEWS
-    + "SELECT entity_id, country, "
-    + ", ".join(
-        f"coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter({_TOKENS.format(c=s + '_norm')}, lambda x: length(x) >= 5), lambda x: {'right' if a == 'suffixes' else 'left'}(x, 4)))), '|'), '') AS {s}_{a}"
-        for s in ("name", "address")
-        for a in ("prefixes", "suffixes")
-    )
-    + " FROM s1"
-)
+@query(VIEWS + "SELECT entity_id, country, " + ", ".join(f"coalesce(array_to_string(list_sort({x}), '|'), '') AS {n}" for n, x in _AFFIX_SQL.items()) + " FROM e")
 def affix_keys(spark, d):
-    out = blocking.affixes(s1(spark, d))
+    out = blocking.affixes(entities(spark, d))
     return out.select("entity_id", "country", *(F.array_join(F.array_sort(c), "|").alias(c) for c in out.columns[2:]))
 
 
-@query(VIEWS + f"SELECT entity_id, 'query: ' || {_STRIP('business_name')} AS name_text, 'query: ' || {_STRIP('business_address')} AS address_text, 'query: business name: ' || {_STRIP('business_name')} || '; business address: ' || {_STRIP('business_address')} AS combined_text FROM s1")
+@query(VIEWS + f"SELECT entity_id, 'query: ' || {_STRIP('business_name')} AS name_text, 'query: ' || {_STRIP('business_address')} AS address_text, 'query: business name: ' || {_STRIP('business_name')} || '; business address: ' || {_STRIP('business_address')} AS combined_text FROM e")
 def view_texts(spark, d):
     n, a = F.col("business_name"), F.col("business_address")
-    return s1(spark, d).select("entity_id", *(view_text(n, a, v).alias(f"{v}_text") for v in ("name", "address", "combined")))
+    return entities(spark, d).select("entity_id", *(view_text(n, a, v).alias(f"{v}_text") for v in ("name", "address", "combined")))
 
 
 @query("SELECT source1_entity_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(coalesce(matched_entity_ids, ''), ','), lambda x: trim(x)), lambda x: x <> ''))), ',') AS ids FROM train_matches")
@@ -222,32 +238,41 @@ def truth_link_rows(spark, d):
 # ---------------------------------------------------------------- blocking and evaluation
 
 
-def _keys(spark, d):
-    return blocking.exploded_keys(s1(spark, d)), blocking.exploded_keys(targets(spark, d))
+def _normalized(spark, d):
+    """S1 and target records with their texts normalised once, for plans that explode them several times."""
+    cols = ["entity_id", "source", "country", "name_norm", "address_norm", "name_compact", "address_compact"]
+    return cut(s1(spark, d).select(cols)), cut(targets(spark, d).select(cols))
+
+
+def _keys(spark, d, routes=tuple(ROUTES)):
+    return tuple(blocking.exploded_keys(df, routes) for df in _normalized(spark, d))
 
 
 @query(KEYS + "SELECT route, country, key, df FROM all_df")
 def document_frequency(spark, d):
-    return blocking.document_frequency(_keys(spark, d)[0])
+    return blocking.document_frequency(blocking.exploded_keys(s1(spark, d)))
 
 
 @query(KEYS + "SELECT route, country, key, df AS s1_df FROM sdf")
 def s1_df_capped(spark, d):
-    return blocking.capped_frequency(_keys(spark, d)[0])
+    return blocking.capped_frequency(blocking.exploded_keys(s1(spark, d)))
 
 
-@query(KEYS + "SELECT target_id, country, route, key, s1_df, target_df FROM idx")
+@query(KEYS + "SELECT target_id, source, country, route, key, s1_df, target_df FROM idx")
 def blocking_index(spark, d):
     return blocking.blocking_index(*_keys(spark, d))
 
 
-@query(VIEWS + "SELECT s1.entity_id AS s1_id, t.entity_id AS target_id, country, CAST(5.0 AS DOUBLE) AS score, 1 AS shared, 0 AS best_df FROM s1 JOIN t USING (country, name_compact) WHERE name_compact <> ''")
+_EXACT = {"exact_name": "name_compact", "exact_address": "address_compact"}
+
+
+@query(VIEWS + " UNION ALL ".join(f"SELECT s1.entity_id AS s1_id, t.entity_id AS target_id, t.source, s1.country, '{r}' AS route, CAST(5.0 AS DOUBLE) AS score, 1 AS shared, 0 AS best_df FROM s1 JOIN t ON s1.country = t.country AND s1.{c} = t.{c} WHERE s1.{c} <> ''" for r, c in _EXACT.items()))
 def exact_pairs(spark, d):
-    return blocking.exact_pairs(s1(spark, d), targets(spark, d), "name_compact")
+    return blocking.exact_pairs(s1(spark, d), targets(spark, d), _EXACT)
 
 
 def _exact(spark, d):
-    cols = ["entity_id", "country", "name_compact", "address_compact"]
+    cols = ["entity_id", "source", "country", "name_compact", "address_compact"]
     return s1(spark, d).select(cols), targets(spark, d).select(cols)
 
 
@@ -263,40 +288,77 @@ def exact_candidate_volume(spark, d):
     return out.withColumn("union_volume", F.expr("name_volume + address_volume - both_volume"))
 
 
-@query(VIEWS + "SELECT s1.country, count(*) AS links, count(*) FILTER (s1.name_compact = t.name_compact AND s1.name_compact <> '') AS name_links, count(*) FILTER (s1.address_compact = t.address_compact AND s1.address_compact <> '') AS address_links, count(*) FILTER (s1.name_compact = t.name_compact AND s1.name_compact <> '' OR s1.address_compact = t.address_compact AND s1.address_compact <> '') AS union_links FROM links JOIN s1 ON s1.entity_id = s1_id JOIN t ON t.entity_id = target_id GROUP BY s1.country")
-def exact_recall(spark, d):
-    a, b = _exact(spark, d)
-    both = links(spark, d).join(a.toDF("s1_id", "country", "n1", "a1"), "s1_id").join(b.toDF("target_id", "c2", "n2", "a2"), "target_id")
-    name, address = F.expr("n1 = n2 AND n1 <> ''"), F.expr("a1 = a2 AND a1 <> ''")
-    return both.groupBy("country").agg(F.count("*").alias("links"), F.count_if(name).alias("name_links"), F.count_if(address).alias("address_links"), F.count_if(name | address).alias("union_links"))
+def _sql_plain(col: str) -> str:
+    text = f"nfc_normalize(translate(replace(replace(coalesce({col}, ''), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '{FULL_WIDTH}', '{ASCII}'))"
+    return f"replace(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g')), ' ', '')"
 
 
-@query(KEYS + "SELECT s1_id, target_id, country, CAST(sum(route_score) AS DOUBLE) AS evidence, count(*) AS shared, min(s1_df) AS best_df FROM sc WHERE route = 'name_tokens' GROUP BY s1_id, target_id, country")
-def key_pairs(spark, d):
-    a, b = _keys(spark, d)
-    scores = blocking.route_scores(a, blocking.blocking_index(a, b)).where("route = 'name_tokens'")
-    return scores.groupBy("s1_id", "target_id", "country").agg(F.sum("route_score").cast("double").alias("evidence"), F.count("*").alias("shared"), F.min("s1_df").alias("best_df"))
+_FOUR = "x AS MATERIALIZED (SELECT entity_id, source, country, name_compact AS name_folded, address_compact AS address_folded, " + ", ".join(f"{_sql_plain('business_' + c)} AS {c}_plain" for c in ("name", "address")) + " FROM e)"
+_SAME = {k: f"(a.{k} <> '' AND a.{k} = b.{k})" for k in blocking.EXACT_KEYS}
+
+
+@query(VIEWS.rstrip() + ", " + _FOUR + " SELECT entity_id, source, country, " + ", ".join(blocking.EXACT_KEYS) + " FROM x")
+def exact_keys(spark, d):
+    return blocking.exact_keys(entities(spark, d)).select("entity_id", "source", "country", *blocking.EXACT_KEYS)
+
+
+@query(
+    VIEWS.rstrip() + ", " + _FOUR + ", f AS (SELECT b.source, a.country, " + ", ".join(f"{c} AS {k}" for k, c in _SAME.items()) + " FROM links JOIN x a ON a.entity_id = s1_id JOIN x b ON b.entity_id = target_id)"
+    + ", r AS (SELECT source, country, count(*) AS links, " + ", ".join(f"count(*) FILTER ({k}) AS {k}_links" for k in _SAME) + f", count(*) FILTER ({' OR '.join(_SAME)}) AS union_links, grouping(country) = 1 AS is_total FROM f GROUP BY GROUPING SETS ((source, country), (source)))"
+    + " SELECT *, round(union_links / links, 6) AS union_recall FROM r"
+)
+def exact_recall(spark, d):
+    return evaluation.exact_recall(links(spark, d), blocking.exact_keys(s1(spark, d)), blocking.exact_keys(targets(spark, d)), blocking.EXACT_KEYS)
 
 
-MINIMA = KEYS + ", mins AS (SELECT s1_id, target_id, s1k.route, min(df) AS min_df FROM links JOIN s1k ON s1k.id = s1_id JOIN tk ON tk.id = target_id AND tk.country = s1k.country AND tk.route = s1k.route AND tk.key = s1k.key JOIN all_df ON all_df.route = s1k.route AND all_df.country = s1k.country AND all_df.key = s1k.key GROUP BY s1_id, target_id, s1k.route)"
+@query(KEYS + "SELECT s1_id, target_id, source, country, route, CAST(sum(route_score) AS DOUBLE) / 1e12 AS evidence, count(*) AS shared, min(s1_df) AS best_df FROM sc WHERE route NOT LIKE 'exact%' GROUP BY ALL")
+def key_pairs(spark, d):
+    """Evidence of each pair by route, of all routes that count by frequency."""
+    routes = tuple(r for r in ROUTES if not r.startswith("exact"))
+    a, b = _keys(spark, d, routes)
+    scores = blocking.route_scores(a, blocking.blocking_index(a, b))
+    return scores.groupBy("s1_id", "target_id", "source", "country", "route").agg((F.sum("route_score") / blocking.UNIT).alias("evidence"), F.count("*").alias("shared"), F.min("s1_df").alias("best_df"))
+
+
+_EVERY = tuple(ROUTES) + AFFIX_ROUTES
+MINIMA = (
+    KEYS.rstrip()
+    + _keys_sql("ak", _AFFIX_SQL)
+    + """, ks1 AS MATERIALIZED (SELECT * FROM s1k UNION ALL SELECT * FROM ak WHERE source = 'S1'), kt AS (SELECT * FROM tk UNION ALL SELECT * FROM ak WHERE source <> 'S1'),
+every_df AS (SELECT route, country, key, count(*) AS df FROM ks1 GROUP BY ALL),
+mins AS MATERIALIZED (SELECT s1_id, target_id, ks1.route, min(df) AS min_df FROM links JOIN ks1 ON ks1.id = s1_id JOIN kt ON kt.id = target_id AND kt.country = ks1.country AND kt.route = ks1.route AND kt.key = ks1.key JOIN every_df ON every_df.route = ks1.route AND every_df.country = ks1.country AND every_df.key = ks1.key GROUP BY s1_id, target_id, ks1.route)
+"""
+)
 
 
-def _minima(spark, d):
-    a, b = _keys(spark, d)
-    return evaluation.minimum_shared_df(links(spark, d), a, b, blocking.document_frequency(a))
+def _minima(spark, d, routes=_EVERY):
+    """Labelled pairs and the rarest key they share by route; target keys are exploded for labelled targets only."""
+    a, b = _normalized(spark, d)
+    known = links(spark, d)
+    few = b.join(known.select(F.col("target_id").alias("entity_id")).distinct(), "entity_id", "left_semi")
+    keys = blocking.exploded_keys(a, routes)
+    mine = blocking.exploded_keys(a.join(known.select(F.col("s1_id").alias("entity_id")).distinct(), "entity_id", "left_semi"), routes)
+    minima = evaluation.minimum_shared_df(known, mine, blocking.exploded_keys(few, routes), blocking.document_frequency(keys))
+    return evaluation.labelled_pairs(known, a, b), minima
 
 
 @query(MINIMA + "SELECT s1_id, target_id, route, min_df FROM mins")
 def min_shared_df(spark, d):
-    return _minima(spark, d)
+    return _minima(spark, d)[1]
+
+
+def _occurrences_sql(keys: str, df: str, sides: str = "ks1") -> str:
+    ths = ", ".join(f"(CAST({t} AS BIGINT))" for t in THRESHOLDS)
+    return f", tall AS (SELECT source, route, country, key, count(*) AS target_df FROM {keys} GROUP BY ALL), occ AS (SELECT tall.source, a.route, a.country, threshold, CAST(sum(a.df * target_df) AS BIGINT) AS occurrences, count(*) AS eligible_keys FROM {df} a JOIN tall USING (route, country, key) JOIN (VALUES {ths}) AS th(threshold) ON a.df <= threshold GROUP BY ALL)"
 
 
-_STEPS = KEYS + ", tall AS (SELECT route, country, key, count(*) AS target_df FROM tk GROUP BY ALL), occ AS (SELECT a.route, a.country, threshold, CAST(sum(a.df * target_df) AS BIGINT) AS occurrences, count(*) AS eligible_keys FROM all_df a JOIN tall USING (route, country, key) JOIN (VALUES " + ", ".join(f"(CAST({t} AS BIGINT))" for t in THRESHOLDS) + ") AS th(threshold) ON a.df <= threshold GROUP BY a.route, a.country, threshold)"
+_STEPS = MINIMA + _occurrences_sql("kt", "every_df")
 
 
 def _occurrences(spark, d):
-    a, b = _keys(spark, d)
-    return evaluation.candidate_occurrences(blocking.document_frequency(a), blocking.document_frequency(a, "s1_df"), blocking.document_frequency(b, "target_df"))
+    a, b = _keys(spark, d, _EVERY)
+    frequency = blocking.document_frequency(a)
+    return evaluation.candidate_occurrences(frequency, frequency.withColumnRenamed("df", "s1_df"), b)
 
 
 @query(_STEPS + "SELECT * FROM occ")
@@ -304,74 +366,116 @@ def candidate_occurrences(spark, d):
     return _occurrences(spark, d)
 
 
-@query(_STEPS + "SELECT route, threshold, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM occ GROUP BY ALL")
+@query(_STEPS + "SELECT source, route, threshold, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM occ GROUP BY ALL")
 def candidate_distribution(spark, d):
-    return _occurrences(spark, d).groupBy("route", "threshold").agg(F.sum("occurrences").alias("occurrences"))
+    return _occurrences(spark, d).groupBy("source", "route", "threshold").agg(F.sum("occurrences").alias("occurrences"))
 
 
-_RECALL_ROUTES = ["name_tokens", "address_tokens", "address_numbers", "name_char4", "address_char5"]
-_TOKEN_HIT = " OR ".join(f"coalesce({r} <= threshold, false)" for r in _RECALL_ROUTES[:3])
-_CHAR_HIT = " OR ".join(f"coalesce({r} <= threshold, false)" for r in _RECALL_ROUTES[3:])
-RECALL = (
+def _any_sql(routes, limit="threshold") -> str:
+    return "(" + " OR ".join(f"coalesce({r} <= {limit}, false)" for r in routes) + ")"
+
+
+_TOKEN_HIT, _AFFIX_HIT = _any_sql(TOKEN_ROUTES), _any_sql(AFFIX_ROUTES)
+_WIDE = (
     MINIMA
     + ", wide AS (SELECT s1_id, target_id, "
-    + ", ".join(f"min(min_df) FILTER (route = '{r}') AS {r}" for r in _RECALL_ROUTES)
+    + ", ".join(f"min(min_df) FILTER (route = '{r}') AS {r}" for r in _EVERY)
     + " FROM mins GROUP BY s1_id, target_id)"
-    + ", base AS (SELECT links.s1_id, links.target_id, s1.country, coalesce(s1.country = t.country, false) AND (s1.name_compact = t.name_compact AND s1.name_compact <> '') AS x, "
-    + ", ".join(_RECALL_ROUTES)
-    + " FROM links JOIN s1 ON s1.entity_id = s1_id JOIN t ON t.entity_id = target_id LEFT JOIN wide ON wide.s1_id = links.s1_id AND wide.target_id = links.target_id), rec AS (SELECT threshold, country, count(*) AS links, "
-    + ", ".join(f"count(*) FILTER ({r} <= threshold) AS {r}_links" for r in _RECALL_ROUTES)
-    + f", count(*) FILTER ({_TOKEN_HIT}) AS token_links, count(*) FILTER ({_CHAR_HIT}) AS char_links, count(*) FILTER (x) AS exact_links, count(*) FILTER (({_TOKEN_HIT}) AND NOT x) AS marginal_links, count(*) FILTER ({_TOKEN_HIT} OR {_CHAR_HIT} OR x) AS combined_links FROM base CROSS JOIN (VALUES "
+    + ", base AS (SELECT links.s1_id, links.target_id, t.source, s1.country, (s1.name_compact <> '' AND s1.name_compact = t.name_compact OR s1.address_compact <> '' AND s1.address_compact = t.address_compact) AS x, "
+    + ", ".join(r for r in _EVERY)
+    + " FROM links JOIN s1 ON s1.entity_id = s1_id JOIN t ON t.entity_id = target_id LEFT JOIN wide ON wide.s1_id = links.s1_id AND wide.target_id = links.target_id), th(threshold) AS (VALUES "
     + ", ".join(f"(CAST({t} AS BIGINT))" for t in THRESHOLDS)
-    + ") AS th(threshold) GROUP BY threshold, country)"
+    + ")"
 )
+_COUNTS = {f"{r}_links": _any_sql([r]) for r in TOKEN_ROUTES + AFFIX_ROUTES} | {
+    "union_links": f"{_TOKEN_HIT} OR {_AFFIX_HIT}", "token_links": _TOKEN_HIT, "char_links": _AFFIX_HIT, "exact_links": "x", "marginal_links": f"({_TOKEN_HIT} OR {_AFFIX_HIT}) AND NOT x",
+    "char_marginal_links": f"{_AFFIX_HIT} AND NOT {_TOKEN_HIT} AND NOT x", "combined_links": f"{_TOKEN_HIT} OR {_AFFIX_HIT} OR x",
+}
+_NAME_GRAM, _ADDRESS_GRAM = (_any_sql([r]) for r in GRAM_ROUTES)
+_BASE_HIT = f"(x OR {_any_sql(TOKEN_ROUTES, '100')})"
+_GRAM_COUNTS = {
+    "baseline_links": _BASE_HIT, "name_gram_links": _NAME_GRAM, "address_gram_links": _ADDRESS_GRAM, "name_gram_marginal": f"{_NAME_GRAM} AND NOT {_BASE_HIT}",
+    "address_gram_marginal": f"{_ADDRESS_GRAM} AND NOT {_NAME_GRAM} AND NOT {_BASE_HIT}", "combined_links": f"{_BASE_HIT} OR {_NAME_GRAM} OR {_ADDRESS_GRAM}",
+}
+
+
+def _recall_sql(counts: dict[str, str], shares: tuple[str, ...]) -> str:
+    rec = ", rec AS (SELECT source, threshold, country, count(*) AS links, " + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in counts.items()) + " FROM base CROSS JOIN th GROUP BY source, threshold, country)"
+    return _WIDE + rec + ", rated AS (SELECT *, " + ", ".join(f"round({n}_links / links, 6) AS {n}_recall" for n in shares) + " FROM rec)"
+
+
+RECALL = _recall_sql(_COUNTS, ("union", "exact", "combined"))
 
 
 def _recall(spark, d):
-    labelled = evaluation.labelled_pairs(links(spark, d), s1(spark, d), targets(spark, d))
-    return evaluation.recall_table(labelled, _minima(spark, d), blocking.exact_pairs(s1(spark, d), targets(spark, d), "name_compact"))
+    return evaluation.recall_table(*_minima(spark, d, TOKEN_ROUTES + AFFIX_ROUTES))
 
 
-@query(RECALL + "SELECT *, round(combined_links / links, 6) AS combined_recall FROM rec")
+@query(RECALL + "SELECT * FROM rated")
 def retrieval_recall_table(spark, d):
     return _recall(spark, d)
 
 
-@query(RECALL + "SELECT threshold, CAST(sum(links) AS BIGINT) AS links, CAST(sum(token_links) AS BIGINT) AS token_links, CAST(sum(char_links) AS BIGINT) AS char_links, CAST(sum(combined_links) AS BIGINT) AS combined_links FROM rec GROUP BY threshold")
+@query(RECALL + "SELECT source, threshold, CAST(sum(links) AS BIGINT) AS links, CAST(sum(token_links) AS BIGINT) AS token_links, CAST(sum(char_links) AS BIGINT) AS char_links, CAST(sum(combined_links) AS BIGINT) AS combined_links FROM rec GROUP BY source, threshold")
 def retrieval_recall_summary(spark, d):
-    return _recall(spark, d).groupBy("threshold").agg(*(F.sum(c).alias(c) for c in ("links", "token_links", "char_links", "combined_links")))
+    return _recall(spark, d).groupBy("source", "threshold").agg(*(F.sum(c).alias(c) for c in ("links", "token_links", "char_links", "combined_links")))
+
+
+@query(_recall_sql(_GRAM_COUNTS, ("baseline", "combined")) + "SELECT * FROM rated")
+def qgram_recall_table(spark, d):
+    return evaluation.qgram_recall_table(*_minima(spark, d, TOKEN_ROUTES + GRAM_ROUTES))
 
 
-@query(CANDIDATES + "SELECT s1_id, target_id, country, round(classical_evidence, 6) AS classical_evidence, classical_route_count, classical_shared_keys, classical_best_df, classical_rank FROM cand")
+@query(CANDIDATES + "SELECT s1_id, target_id, source, country, round(classical_evidence, 6) AS classical_evidence, classical_route_count, classical_shared_keys, classical_best_df, classical_rank FROM cand")
 def classical_candidates_topk(spark, d):
-    return blocking.classical_candidates(s1(spark, d), targets(spark, d)).withColumn("classical_evidence", F.round("classical_evidence", 6))
+    return blocking.classical_candidates(*_normalized(spark, d)).withColumn("classical_evidence", F.round("classical_evidence", 6))
 
 
-_BY_TARGET = KEYS + f", ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY target_id ORDER BY {_RANK}, s1_id) AS INTEGER) AS rank FROM ev WHERE target_id IN (SELECT target_id FROM links))"
+_BY_TARGET = (
+    KEYS.rstrip()
+    + """, wk AS (SELECT * FROM tk WHERE id IN (SELECT target_id FROM links)),
+xsc AS (SELECT s1k.id AS s1_id, wk.id AS target_id, wk.source, country, route, CASE WHEN route LIKE 'exact%' THEN 5000000000000 ELSE CAST(round(w / sqrt(df) * 1e12) AS BIGINT) END AS score, CASE WHEN route LIKE 'exact%' THEN 0 ELSE df END AS df FROM s1k JOIN wk USING (route, country, key) JOIN all_df USING (route, country, key) JOIN caps USING (route) WHERE route LIKE 'exact%' OR df <= m1),
+xev AS (SELECT s1_id, target_id, source, country, CAST(sum(score) AS DOUBLE) / 1e12 AS classical_evidence, count(DISTINCT route) AS classical_route_count, count(*) AS classical_shared_keys, min(df) AS classical_best_df FROM xsc GROUP BY ALL)"""
+    + f", ranked AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY target_id ORDER BY {_RANK}, s1_id) AS INTEGER) AS rank FROM xev)"
+)
 
 
 def _by_target(spark, d):
-    a, b = _keys(spark, d)
-    known = b.join(links(spark, d).select(F.col("target_id").alias("id")).distinct(), "id", "left_semi")
-    index = blocking.blocking_index(a, b).join(known.select(F.col("id").alias("target_id")).distinct(), "target_id", "left_semi")
-    return blocking.ranked(blocking.aggregate_evidence(blocking.route_scores(a, index)), "target_id", "s1_id", 1 << 30, "rank")
+    return blocking.ranked(blocking.target_evidence(*_normalized(spark, d), links(spark, d)), ["target_id"], "s1_id", None, "rank")
 
 
-@query(_BY_TARGET + "SELECT target_id, s1_id, round(classical_evidence, 6) AS classical_evidence, rank FROM ranked WHERE rank <= 20")
+@query(_BY_TARGET + "SELECT target_id, s1_id, source, round(classical_evidence, 6) AS classical_evidence, classical_route_count, classical_shared_keys, classical_best_df, rank FROM ranked WHERE rank <= 20")
 def ranked_by_evidence(spark, d):
-    return _by_target(spark, d).where("rank <= 20").select("target_id", "s1_id", F.round("classical_evidence", 6).alias("classical_evidence"), "rank")
+    return _by_target(spark, d).where("rank <= 20").select("target_id", "s1_id", "source", F.round("classical_evidence", 6).alias("classical_evidence"), "classical_route_count", "classical_shared_keys", "classical_best_df", "rank")
 
 
-_KS = (1, 5, 10, 20)
+_KS = (1, 2, 3, 5, 10, 20)
 _K_VALUES = "(VALUES " + ", ".join(f"(CAST({k} AS BIGINT))" for k in _KS) + ") AS kk(k)"
 
 
-@query(_BY_TARGET + f"SELECT k, count(*) AS links, count(*) FILTER (rank <= k) AS retrieved, round(count(*) FILTER (rank <= k) / count(*), 6) AS recall FROM links LEFT JOIN ranked USING (s1_id, target_id) CROSS JOIN {_K_VALUES} GROUP BY k")
+def _recall_at_sql(ranked: str, rank: str, links: str = "kl") -> str:
+    return f" SELECT {links}.source, {links}.country, k, count(*) AS links, count(*) FILTER ({rank} <= k) AS retrieved, round(count(*) FILTER ({rank} <= k) / count(*), 6) AS recall FROM {links} LEFT JOIN (SELECT s1_id, target_id, min({rank}) AS {rank} FROM {ranked} GROUP BY ALL) q USING (s1_id, target_id) CROSS JOIN {_K_VALUES} GROUP BY ALL"
+
+
+def _totals_sql(ranked: str, rank: str, links: str = "kl") -> str:
+    best = f"(SELECT source, s1_id, target_id, min({rank}) AS r FROM {ranked} GROUP BY ALL)"
+    return (
+        f" SELECT source, k, links, retrieved, round(retrieved / links, 6) AS recall, coalesce(pairs, 0) AS pairs, coalesce(mean_candidates, 0) AS mean_candidates, round(uncut / links, 6) AS uncut_recall FROM (SELECT {links}.source, k, count(*) AS links, count(*) FILTER (r <= k) AS retrieved, count(r) AS uncut FROM {links} LEFT JOIN (SELECT s1_id, target_id, r FROM {best}) q USING (s1_id, target_id) CROSS JOIN {_K_VALUES} GROUP BY ALL)"
+        f" LEFT JOIN (SELECT source, k, CAST(sum(n) AS BIGINT) AS pairs, round(avg(n), 6) AS mean_candidates FROM (SELECT source, k, target_id, count(*) AS n FROM {best} b JOIN {_K_VALUES} ON r <= k GROUP BY ALL) GROUP BY source, k) USING (source, k)"
+    )
+
+
+@query(_BY_TARGET + _recall_at_sql("ranked", "rank"))
 def recall_at_k(spark, d):
-    return evaluation.recall_at(_by_target(spark, d), links(spark, d), _KS, "rank")
+    return evaluation.recall_at(_by_target(spark, d), known_links(spark, d), _KS, "rank")
+
 
+@query(_BY_TARGET + _totals_sql("ranked", "rank"))
+def recall_totals(spark, d):
+    return evaluation.recall_totals(cut(_by_target(spark, d)), known_links(spark, d), _KS, "rank")
 
-@query(_BY_TARGET + "SELECT count(*) AS groups, round(avg(n), 6) AS mean, median(n) AS median, CAST(quantile_disc(n, 0.95) AS DOUBLE) AS p95, max(n) AS most FROM (SELECT target_id, count(*) AS n FROM ranked GROUP BY target_id)")
+
+@query(_BY_TARGET + "SELECT source, count(*) AS groups, round(avg(n), 6) AS mean, median(n) AS median, CAST(quantile_disc(n, 0.95) AS DOUBLE) AS p95, max(n) AS most FROM (SELECT source, target_id, count(*) AS n FROM ranked GROUP BY ALL) GROUP BY source")
 def candidate_count_distribution(spark, d):
     return evaluation.count_distribution(_by_target(spark, d), "target_id")
 
@@ -385,17 +489,17 @@ def ann_exact_topk(spark, d):
 
 
 def _fixed_cells(spark, d):
-    """The four lowest vectors of each country as centroids, so that SQL can name them."""
-    order = evaluation.Window.partitionBy("country").orderBy("vec_id")
+    """The four lowest vectors of each country and source as centroids, so that SQL can name them."""
+    order = evaluation.Window.partitionBy("country", "source").orderBy("vec_id")
     ranked = vector_records(spark, d).withColumn("cell", F.row_number().over(order))
-    return ranked.where("cell <= 4").select("country", "cell", F.col("vec").alias("centroid"))
+    return ranked.where("cell <= 4").select("country", "source", "cell", F.col("vec").alias("centroid"))
 
 
 @query(
     VECTORS
-    + ", c AS (SELECT country, embedding, cell FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY vec_id) AS cell FROM v WHERE s > 1) WHERE cell <= 4)"
-    + f", n AS (SELECT a.id, a.s, a.country, a.embedding, b.cell, row_number() OVER (PARTITION BY a.id ORDER BY round({_DOT}, 9) DESC, b.cell) AS r FROM v a JOIN c b ON a.country = b.country)"
-    + f" SELECT * FROM (SELECT a.id AS s1_id, b.id AS target_id, a.country, round({_DOT}, 9) AS ann_score, CAST(row_number() OVER (PARTITION BY a.id ORDER BY round({_DOT}, 9) DESC, b.id) AS INTEGER) AS ann_rank FROM n a JOIN n b ON a.country = b.country AND a.cell = b.cell AND a.s = 1 AND b.s > 1 AND a.r <= 2 AND b.r = 1) WHERE ann_rank <= 20"
+    + ", c AS (SELECT country, s AS of, embedding, cell FROM (SELECT *, row_number() OVER (PARTITION BY country, s ORDER BY vec_id) AS cell FROM v WHERE s > 1) WHERE cell <= 4)"
+    + f", n AS (SELECT a.id, a.s, b.of, a.country, a.embedding, b.cell, row_number() OVER (PARTITION BY a.id, b.of ORDER BY round({_DOT}, 9) DESC, b.cell) AS r FROM v a JOIN c b ON a.country = b.country AND (a.s = 1 OR a.s = b.of))"
+    + f" SELECT * FROM (SELECT a.id AS s1_id, b.id AS target_id, a.country, 'S' || b.s AS source, round({_DOT}, 9) AS ann_score, CAST(row_number() OVER (PARTITION BY a.id, b.s ORDER BY round({_DOT}, 9) DESC, b.id) AS INTEGER) AS ann_rank FROM n a JOIN n b ON a.country = b.country AND a.of = b.of AND a.cell = b.cell AND a.s = 1 AND b.s > 1 AND a.r <= 2 AND b.r = 1) WHERE ann_rank <= 20"
 )
 def ann_ivf_topk(spark, d):
     return vectors.inverted_top_k(vector_records(spark, d, 1), vector_records(spark, d), _fixed_cells(spark, d), 20, 2)
@@ -419,46 +523,79 @@ def ann_ivf_recall(spark, d):
     return both.agg(F.count("*").alias("neighbours"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
 
-def _vector_truth(spark, d):
-    """For the reports on vectors: the record that follows an S1 vector is taken as its match."""
-    a = vector_records(spark, d, 1).select(F.col("id").alias("s1_id"), (F.col("vec_id") + 1).alias("n"))
-    return a.join(vector_records(spark, d).select(F.col("id").alias("target_id"), F.col("vec_id").alias("n")), "n").select("s1_id", "target_id")
+_TEXT_VIEWS = ("name", "address", "combined")
+_ONE = "CASE WHEN c // 64 % 2 = 0 THEN 1 ELSE -1 END"
+TEXT_VECTORS = """, tx AS (SELECT * FROM (SELECT entity_id AS id, source, country, 'name' AS view, name_norm AS text FROM e UNION ALL SELECT entity_id, source, country, 'address', address_norm FROM e UNION ALL SELECT entity_id, source, country, 'combined', name_norm || ' ' || address_norm FROM e) WHERE trim(text) <> ''),
+tc AS (SELECT id, source, country, view, unicode(substr(t, i, 1)) * 961 + unicode(substr(t, i + 1, 1)) * 31 + unicode(substr(t, i + 2, 1)) AS c FROM (SELECT *, ' ' || text || ' ' AS t, unnest(range(1, length(text) + 1)) AS i FROM tx)),
+tv AS MATERIALIZED (SELECT id, source, country, view, CAST([""" + ", ".join(f"sum(CASE WHEN c % 64 = {k} THEN {_ONE} ELSE 0 END)" for k in range(64)) + """] AS DOUBLE[]) AS raw FROM tc GROUP BY ALL),
+tu AS MATERIALIZED (SELECT id, source, country, view, CASE WHEN n = 0 THEN raw ELSE list_transform(raw, lambda x: x / n) END AS vec FROM (SELECT *, sqrt(list_inner_product(raw, raw)) AS n FROM tv))
+"""
+
+
+@query(VIEWS.rstrip() + TEXT_VECTORS + "SELECT id, source, view, array_to_string(list_transform(vec, lambda x: CAST(round(x * 1e6) AS BIGINT)), ',') AS vec FROM tu")
+def text_view_vectors(spark, d):
+    out = vectors.view_vectors(entities(spark, d))
+    return out.select("id", "source", "view", F.array_join(F.transform("vec", lambda x: F.round(x * 1e6).cast("bigint").cast("string")), ",").alias("vec"))
+
+
+def _text_neighbours(spark, d):
+    """S1 records nearest to each labelled target by each view of its text."""
+    a, b = _normalized(spark, d)
+    few = b.join(links(spark, d).select(F.col("target_id").alias("entity_id")).distinct(), "entity_id", "left_semi")
+    base, asked = cut(vectors.view_vectors(a)), cut(vectors.view_vectors(few))
+    return vectors.targets_to_s1(asked, base, max(_KS), ("view",)).withColumnRenamed("view", "ann_view")
+
+
+_TEXT_ANN = VIEWS.rstrip() + TEXT_VECTORS.rstrip() + f""", ann AS MATERIALIZED (SELECT * FROM (SELECT b.id AS target_id, b.source, a.id AS s1_id, a.country, round(list_inner_product(a.vec, b.vec), 9) + 0 AS ann_score, CAST(row_number() OVER (PARTITION BY b.id, b.view ORDER BY round(list_inner_product(a.vec, b.vec), 9) DESC, a.id) AS INTEGER) AS ann_rank, a.view AS ann_view FROM tu a JOIN tu b ON a.country = b.country AND a.view = b.view AND a.source = 'S1' AND b.source <> 'S1' AND b.id IN (SELECT target_id FROM links)) WHERE ann_rank <= {max(_KS)})
+"""
+_ANN_VIEWS = {**{v: f"(SELECT * FROM ann WHERE ann_view = '{v}')" for v in _TEXT_VIEWS}, "union": "ann"}
 
 
-_VTRUTH = "vt AS (SELECT a.id AS s1_id, b.id AS target_id FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.s = 1)"
+@query(_TEXT_ANN + "SELECT target_id, source, s1_id, country, ann_view, ann_rank, ann_score FROM ann")
+def ann_targets_to_s1(spark, d):
+    return _text_neighbours(spark, d)
 
 
-@query(VECTORS + ", " + _top_sql("ann", 20) + ", " + _VTRUTH + f" SELECT k, count(*) AS links, count(*) FILTER (ann_rank <= k) AS retrieved, round(count(*) FILTER (ann_rank <= k) / count(*), 6) AS recall FROM vt LEFT JOIN ann USING (s1_id, target_id) CROSS JOIN {_K_VALUES} GROUP BY k")
+@query(_TEXT_ANN + " UNION ALL ".join(f"SELECT '{v}' AS ann_view, * FROM ({_recall_at_sql(x, 'ann_rank')})" for v, x in _ANN_VIEWS.items()))
 def ann_recall_at_k(spark, d):
-    return evaluation.recall_at(ann_exact_topk(spark, d), _vector_truth(spark, d), _KS, "ann_rank")
+    """Known links among the first k neighbours of each view, and of all views together."""
+    found, known = cut(_text_neighbours(spark, d)), known_links(spark, d)
+    parts = [evaluation.recall_at(found if v == "union" else found.where(F.col("ann_view") == v), known, _KS, "ann_rank").withColumn("ann_view", F.lit(v)) for v in _ANN_VIEWS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
 
+@query(_TEXT_ANN + _totals_sql("ann", "ann_rank"))
+def ann_recall_totals(spark, d):
+    return evaluation.recall_totals(cut(_text_neighbours(spark, d)), known_links(spark, d), _KS, "ann_rank")
 
-@query(VECTORS + ", " + _top_sql("ann", 20) + ", " + _VTRUTH + f", cl AS (SELECT * FROM vt WHERE CAST(substr(s1_id, 4) AS BIGINT) % 2 = 0) SELECT k, count(*) AS links, count(cl.s1_id) AS classical, count(*) FILTER (ann_rank <= k) AS ann, count(*) FILTER (ann_rank <= k AND cl.s1_id IS NULL) AS marginal, count(*) FILTER (coalesce(ann_rank <= k, false) OR cl.s1_id IS NOT NULL) AS either FROM vt LEFT JOIN ann USING (s1_id, target_id) LEFT JOIN cl USING (s1_id, target_id) CROSS JOIN {_K_VALUES} GROUP BY k")
+
+@query(
+    _BY_TARGET + TEXT_VECTORS.rstrip() + _TEXT_ANN[len(VIEWS.rstrip() + TEXT_VECTORS.rstrip()) :]
+    + f"SELECT *, round(classical / links, 6) AS classical_recall, round(ann / links, 6) AS ann_recall, round(either / links, 6) AS either_recall FROM (SELECT kl.source, k, count(*) AS links, count(c.s1_id) AS classical, count(*) FILTER (r <= k) AS ann, count(*) FILTER (r <= k AND c.s1_id IS NOT NULL) AS both, count(*) FILTER (r <= k AND c.s1_id IS NULL) AS marginal, count(*) FILTER (coalesce(r <= k, false) OR c.s1_id IS NOT NULL) AS either FROM kl LEFT JOIN (SELECT s1_id, target_id, min(ann_rank) AS r FROM ann GROUP BY ALL) q USING (s1_id, target_id) LEFT JOIN (SELECT DISTINCT s1_id, target_id FROM ranked WHERE rank <= 20) c USING (s1_id, target_id) CROSS JOIN {_K_VALUES} GROUP BY ALL)"
+)
 def ann_marginal_over_classical(spark, d):
-    truth = _vector_truth(spark, d)
-    return evaluation.marginal_over(truth, truth.where("cast(substr(s1_id, 4) AS bigint) % 2 = 0"), ann_exact_topk(spark, d), _KS, "ann_rank")
+    """What neighbours of all views add to the best 20 candidates of the classical routes."""
+    return evaluation.marginal_over(known_links(spark, d), _by_target(spark, d).where("rank <= 20"), _text_neighbours(spark, d), _KS, "ann_rank")
 
 
 def _view_candidates(spark, d):
     """Three views of a vector: its first half, its second half, the whole."""
-    out = None
-    for view, cut_ in (("name", lambda v: F.slice(v, 1, 32)), ("address", lambda v: F.slice(v, 33, 32)), ("combined", lambda v: v)):
-        q, b = (vector_records(spark, d, n).withColumn("vec", cut_(F.col("vec"))) for n in (1, None))
-        part = vectors.exact_top_k(q, b, 5).withColumn("ann_view", F.lit(view))
-        out = part if out is None else out.unionByName(part)
-    return out
+    cuts = {"name": F.slice("vec", 1, 32), "address": F.slice("vec", 33, 32), "combined": F.col("vec")}
+    views = F.explode(F.array(*(F.struct(F.lit(v).alias("ann_view"), c.alias("vec")) for v, c in cuts.items()))).alias("x")
+    q, b = (vector_records(spark, d, n).select("id", "country", "source", views).select("id", "country", "source", "x.*") for n in (1, None))
+    return vectors.exact_top_k(q, b, 5, ("ann_view",))
 
 
 def _view_sql(view: str, low: int, high: int) -> str:
     dot = _DOT.replace("range(1, 65)", f"range({low}, {high})")
-    return f"SELECT *, '{view}' AS ann_view FROM (SELECT a.id AS s1_id, b.id AS target_id, a.country, round({dot}, 9) AS ann_score, row_number() OVER (PARTITION BY a.id ORDER BY round({dot}, 9) DESC, b.id) AS ann_rank FROM v a JOIN v b ON a.country = b.country AND a.s = 1 AND b.s > 1) WHERE ann_rank <= 5"
+    return f"SELECT *, '{view}' AS ann_view FROM (SELECT a.id AS s1_id, b.id AS target_id, 'S' || b.s AS source, a.country, round({dot}, 9) AS ann_score, row_number() OVER (PARTITION BY a.id, b.s ORDER BY round({dot}, 9) DESC, b.id) AS ann_rank FROM v a JOIN v b ON a.country = b.country AND a.s = 1 AND b.s > 1) WHERE ann_rank <= 5"
 
 
 @query(
     VECTORS
-    + f", av AS ({_view_sql('name', 1, 33)} UNION ALL {_view_sql('address', 33, 65)} UNION ALL {_view_sql('combined', 1, 65)}) SELECT s1_id, target_id, country, max(ann_score) AS retrieval_ann_best_score, CAST(min(ann_rank) AS INTEGER) AS retrieval_ann_best_rank, count(DISTINCT ann_view) AS retrieval_ann_view_count, "
+    + f", av AS ({_view_sql('name', 1, 33)} UNION ALL {_view_sql('address', 33, 65)} UNION ALL {_view_sql('combined', 1, 65)}) SELECT s1_id, target_id, source, country, max(ann_score) AS retrieval_ann_best_score, CAST(min(ann_rank) AS INTEGER) AS retrieval_ann_best_rank, count(DISTINCT ann_view) AS retrieval_ann_view_count, "
     + ", ".join(f"max(ann_score) FILTER (ann_view = '{v}') AS retrieval_ann_{v}_score" for v in ("name", "address", "combined"))
-    + " FROM av GROUP BY s1_id, target_id, country"
+    + " FROM av GROUP BY s1_id, target_id, source, country"
 )
 def ann_view_rollup(spark, d):
     return pairs.roll_up_views(_view_candidates(spark, d))
@@ -508,12 +645,12 @@ def pair_union_force_all(spark, d):
     return _forced(spark, d, ("train", "calibration", "holdout"))
 
 
-@query(_forced_sql("'train'") + "SELECT s1_id, target_id, is_match, 0 AS negative_rank FROM lab WHERE is_match UNION ALL SELECT s1_id, target_id, is_match, negative_rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY retrieval_priority DESC NULLS LAST, target_id) AS INTEGER) AS negative_rank FROM lab WHERE NOT is_match) WHERE negative_rank <= 5")
+@query(_forced_sql("'train'") + "SELECT s1_id, target_id, is_match, 0 AS negative_rank FROM lab WHERE is_match UNION ALL SELECT s1_id, target_id, is_match, negative_rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY s1_id, source ORDER BY retrieval_priority DESC NULLS LAST, target_id) AS INTEGER) AS negative_rank FROM lab WHERE NOT is_match) WHERE negative_rank <= 5")
 def pairs_negative_capped(spark, d):
     return pairs.cap_negatives(_forced(spark, d, ("train",)), 5).select("s1_id", "target_id", "is_match", F.coalesce("negative_rank", F.lit(0)).alias("negative_rank"))
 
 
-@query(UNION + "SELECT s1_id, target_id, CAST(candidate_rank AS INTEGER) AS candidate_rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY retrieval_priority DESC NULLS LAST, target_id) AS candidate_rank FROM u) WHERE candidate_rank <= 40")
+@query(UNION + "SELECT s1_id, target_id, CAST(candidate_rank AS INTEGER) AS candidate_rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, source ORDER BY retrieval_priority DESC NULLS LAST, target_id) AS candidate_rank FROM u) WHERE candidate_rank <= 40")
 def pairs_test_capped(spark, d):
     return pairs.cap_candidates(pairs.unite_routes(*_routes(spark, d)), 40).select("s1_id", "target_id", "candidate_rank")
 
@@ -535,7 +672,7 @@ def _ratio_sql(x: str, y: str) -> str:
 
 
 TEXTS = VIEWS.rstrip() + ", " + PAIRS.removeprefix("WITH ").rstrip() + ", x AS (SELECT p.*, coalesce(s1.name_norm, '') AS n1, coalesce(s1.address_norm, '') AS a1, coalesce(t.name_norm, '') AS n2, coalesce(t.address_norm, '') AS a2 FROM p LEFT JOIN s1 ON s1.entity_id = p.s1_id LEFT JOIN t ON t.entity_id = p.target_id)\n"
-_ROUND = lambda c: [F.round(x, 6).alias(x) for x in c]
+_ROUND = lambda c: [(F.round(x, 6) + 0.0).alias(x) for x in c]
 
 
 @query(
@@ -546,20 +683,24 @@ def builtin_pair_features(spark, d):
     return features.builtin_features(_texts(spark, d)).select("s1_id", "target_id", *_ROUND(features.BUILTIN))
 
 
+def _with_cosines(pairs_, vecs):
+    """Products of the texts' vectors by view beside each pair; 0 where a side has no text."""
+    wide = vecs.groupBy("id").pivot("view", list(_TEXT_VIEWS)).agg(F.first("vec"))
+    for side, key in (("a", "s1_id"), ("b", "target_id")):
+        pairs_ = pairs_.join(wide.select(F.col("id").alias(key), *(F.col(v).alias(f"_{v}_{side}") for v in _TEXT_VIEWS)), key, "left")
+    cosines = {f"{v}_cos": vectors.dot(F.col(f"_{v}_a"), F.col(f"_{v}_b")) for v in _TEXT_VIEWS}
+    return pairs_.withColumns(cosines).drop(*(f"_{v}_{x}" for v in _TEXT_VIEWS for x in "ab"))
+
+
 @query(
-    VECTORS
-    + ", q AS (SELECT a.id AS s1_id, b.id AS target_id, "
-    + ", ".join(f"round({_DOT.replace('range(1, 65)', f'range({lo}, {hi})')}, 6) AS {n}_cos" for n, lo, hi in (("name", 1, 33), ("address", 33, 65), ("combined", 1, 65)))
-    + " FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.s = 1) SELECT *, greatest(name_cos, address_cos, combined_cos) AS best_cos, round(combined_cos - name_cos, 6) AS combined_minus_name, round(combined_cos - address_cos, 6) AS combined_minus_address, round(name_cos * address_cos, 6) AS name_times_address FROM q"
-)
+    VIEWS.rstrip() + TEXT_VECTORS.rstrip() + ", " + PAIRS.removeprefix("WITH ").rstrip()
+    + ", q AS (SELECT s1_id, target_id, " + ", ".join(f"coalesce(list_inner_product({v}1.vec, {v}2.vec), 0) AS {v}_cos" for v in _TEXT_VIEWS) + " FROM p "
+    + " ".join(f"LEFT JOIN (SELECT id, vec FROM tu WHERE view = '{v}') {v}{n} ON {v}{n}.id = p.{key}" for v in _TEXT_VIEWS for n, key in ((1, "s1_id"), (2, "target_id")))
+    + ") SELECT s1_id, target_id, " + ", ".join(f"round({v}_cos, 6) + 0 AS {v}_cos" for v in _TEXT_VIEWS) + ", round(greatest(name_cos, address_cos, combined_cos), 6) + 0 AS best_cos, round(combined_cos - name_cos, 6) + 0 AS combined_minus_name, round(combined_cos - address_cos, 6) + 0 AS combined_minus_address, round(name_cos * address_cos, 6) + 0 AS name_times_address FROM q"
+)
 def vector_pair_features(spark, d):
-    a = vector_records(spark, d, 1).select(F.col("id").alias("s1_id"), F.col("vec").alias("v1"))
-    b = vector_records(spark, d).select(F.col("id").alias("target_id"), F.col("vec").alias("v2"))
-    p = _vector_truth(spark, d).join(a, "s1_id").join(b, "target_id")
-    part = {"name": (1, 32), "address": (33, 32), "combined": (1, 64)}
-    p = p.select("s1_id", "target_id", *(F.round(vectors.dot(F.slice("v1", *s), F.slice("v2", *s)), 6).alias(f"{n}_cos") for n, s in part.items()))
-    out = features.vector_features(p)
-    return out.select("s1_id", "target_id", "name_cos", "address_cos", "combined_cos", "best_cos", *_ROUND(["combined_minus_name", "combined_minus_address", "name_times_address"]))
+    out = features.vector_features(_with_cosines(scored_pairs(spark, d).select("s1_id", "target_id"), vectors.view_vectors(entities(spark, d))))
+    return out.select("s1_id", "target_id", *_ROUND(["name_cos", "address_cos", "combined_cos", "best_cos", "combined_minus_name", "combined_minus_address", "name_times_address"]))
 
 
 @query()
@@ -648,11 +789,22 @@ def roc_auc(spark, d):
     return metrics.roc_auc(_labelled_scores(spark, d)).select(F.round("roc_auc", 6).alias("roc_auc"))
 
 
-_MODEL_FEATURES = [*features.BUILTIN, *features.FUZZY]
+_MODEL_FEATURES = list(features.MODEL)
+
+
+def _features(spark, d):
+    """The whole set of features of every scored pair."""
+    texts = features.fuzzy_features(features.builtin_features(_texts(spark, d)))
+    return features.vector_features(_with_cosines(texts, vectors.view_vectors(entities(spark, d))))
+
+
+@query()
+def pair_features(spark, d):
+    return _features(spark, d).select("s1_id", "target_id", *_ROUND(_MODEL_FEATURES))
 
 
 def _model(spark, d):
-    rows = features.fuzzy_features(features.builtin_features(_texts(spark, d))).select("s1_id", "target_id", "is_match", split_of(F.col("s1_id")).alias("validation_split"), *_MODEL_FEATURES).persist()
+    rows = kept(_features(spark, d).select("s1_id", "target_id", "is_match", split_of(F.col("s1_id")).alias("validation_split"), *_MODEL_FEATURES))
     return fit_matcher(rows, _MODEL_FEATURES), rows
 
 
@@ -668,6 +820,17 @@ def model_feature_importance(spark, d):
     return feature_importance(model, _MODEL_FEATURES, rows)
 
 
+@query()
+def model_matches(spark, d):
+    """Matches by the model's scores: threshold by the calibration records, one S1 record a target, a row an S1 record."""
+    model, rows = _model(spark, d)
+    scored = kept(score_pairs(model, rows, _MODEL_FEATURES).select("s1_id", "target_id", "score"))
+    held = s1(spark, d).where("split = 'calibration'").select(F.col("entity_id").alias("s1_id")).join(_entities(spark, d), "s1_id", "left_semi")
+    known = links(spark, d).join(held, "s1_id", "left_semi")
+    best = metrics.best_threshold(metrics.threshold_sweep(held, known, scored.join(held, "s1_id", "left_semi"))).first()
+    return output.grouped_output(s1(spark, d).select(F.col("entity_id").alias("s1_id")), output.exclusive_matches(scored, best.threshold if best else 0.5))
+
+
 _ALL_SCORED = VIEWS.rstrip() + ", " + PAIRS.removeprefix("WITH ").rstrip() + ", ex AS (SELECT s1_id, target_id, score FROM (SELECT s1_id, target_id, retrieval_priority AS score, row_number() OVER (PARTITION BY target_id ORDER BY retrieval_priority DESC, s1_id) AS k FROM p WHERE retrieval_priority >= 0.7) WHERE k = 1)\n"
 
 
@@ -685,6 +848,8 @@ def matching_output(spark, d):
     return output.grouped_output(s1(spark, d).select(F.col("entity_id").alias("s1_id")), _exclusive(spark, d))
 
 
-@query(_ALL_SCORED + "SELECT entity_id AS source1_entity_id, coalesce(ids, '') AS matched_entity_ids FROM s1 LEFT JOIN (SELECT s1_id, string_agg(DISTINCT target_id, ',' ORDER BY target_id) AS ids FROM p GROUP BY s1_id) g ON g.s1_id = entity_id")
+@query(UNION.rstrip() + ", cc AS (SELECT s1_id, target_id FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, source ORDER BY retrieval_priority DESC NULLS LAST, target_id) AS k FROM u) WHERE k <= 40) SELECT entity_id AS source1_entity_id, coalesce(ids, '') AS matched_entity_ids FROM s1 LEFT JOIN (SELECT s1_id, string_agg(DISTINCT target_id, ',' ORDER BY target_id) AS ids FROM cc GROUP BY s1_id) g ON g.s1_id = entity_id")
 def candidate_output(spark, d):
-    return output.grouped_output(s1(spark, d).select(F.col("entity_id").alias("s1_id")), scored_pairs(spark, d))
+    """The capped candidates of each S1 record; the cap bounds the lists."""
+    capped = pairs.cap_candidates(pairs.unite_routes(*_routes(spark, d)), 40)
+    return output.grouped_output(s1(spark, d).select(F.col("entity_id").alias("s1_id")), capped)

@@ -7,20 +7,21 @@ again. Everything between two tables is one plan.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.functions.text import view_text
+from weftlink.functions.text import eligible, view_text
 from weftlink.operators import blocking, features, metrics, model, output, pairs, vectors
 from weftlink.operators.state import StageManifest
+from weftlink.sources.files import Files
 from weftlink.sources.readers import missing_files, normalized_source, read_source, read_truth, truth_links, write_json, write_table, write_tsv
 
 VIEWS = ("name", "address", "combined")
-FEATURES = [*features.BUILTIN, *features.FUZZY, *(f"{v}_cos" for v in VIEWS), "best_cos", "combined_minus_name", "combined_minus_address", "name_times_address"]
+FEATURES = list(features.MODEL)
 
 
 @dataclass(frozen=True)
@@ -40,15 +41,16 @@ class Pipeline:
     """``data`` holds {split}_source{n}.tsv and train_matches.tsv; ``work`` gets tables, manifest and reports."""
 
     def __init__(self, spark: SparkSession, data: str, work: str, options: Options = Options()) -> None:
-        lacking = missing_files(data)
+        lacking = missing_files(spark, data)
         if lacking:
             raise FileNotFoundError(f"missing in {data}: {', '.join(lacking)}")
         self.spark, self.data, self.work, self.options = spark, data, work, options
-        self.manifest = StageManifest(os.path.join(work, "manifest.json"))
+        self.files = Files(spark)
+        self.manifest = StageManifest(spark, f"{work}/manifest.json")
 
     def stage(self, name: str, build: Callable[[], DataFrame], *upstream: str, inputs: tuple[str, ...] = ()) -> DataFrame:
-        path = os.path.join(self.work, name)
-        seen = [(p, os.path.getsize(p), os.path.getmtime(p)) for p in inputs]
+        path = f"{self.work}/{name}"
+        seen = [self.files.stamp(p) for p in inputs]
         sign = self.manifest.chained(name, [asdict(self.options), seen], *upstream)
         if not self.manifest.is_complete(name, "all", sign):
             write_table(build(), path)
@@ -56,12 +58,12 @@ class Pipeline:
         return self.spark.read.parquet(path)
 
     def _file(self, name: str) -> str:
-        return os.path.join(self.data, name)
+        return f"{self.data}/{name}"
 
     def sources(self, split: str) -> tuple[DataFrame, DataFrame]:
         def one(n: int) -> DataFrame:
             path = self._file(f"{split}_source{n}.tsv")
-            return self.stage(f"{split}_s{n}", lambda: normalized_source(read_source(self.spark, path), n, n == 1), inputs=(path,))
+            return self.stage(f"{split}_s{n}", lambda: normalized_source(read_source(self.spark, path).dropDuplicates(["entity_id"]), n, n == 1), inputs=(path,))
 
         return one(1), one(2).unionByName(one(3))
 
@@ -71,10 +73,12 @@ class Pipeline:
 
     def vectors(self, split: str, s1: DataFrame, t: DataFrame) -> DataFrame:
         def build() -> DataFrame:
-            both = s1.select("entity_id", "country", "business_name", "business_address").unionByName(t.select("entity_id", "country", "business_name", "business_address"))
-            texts = F.array(*(F.struct(F.lit(v).alias("view"), view_text(F.col("business_name"), F.col("business_address"), v).alias("text")) for v in VIEWS))
-            rows = both.select(F.col("entity_id").alias("id"), "country", F.trim("business_address").alias("a"), F.explode(texts).alias("x"))
-            return rows.where("x.view <> 'address' OR a <> ''").select("id", "country", "x.view", vectors.hashed_text_vectors("x.text").alias("vec"))
+            cols = ["entity_id", "source", "country", "business_name", "business_address"]
+            both = s1.select(cols).unionByName(t.select(cols))
+            name, address = F.col("business_name"), F.col("business_address")
+            texts = F.filter(F.array(*(F.struct(F.lit(v).alias("view"), view_text(name, address, v).alias("text"), eligible(address, v).alias("ok")) for v in VIEWS)), lambda x: x["ok"])
+            rows = both.select(F.col("entity_id").alias("id"), "source", "country", F.explode(texts).alias("x"))
+            return rows.select("id", "source", "country", "x.view", vectors.hashed_text_vectors("x.text").alias("vec"))
 
         return self.stage(f"{split}_vectors", build, f"{split}_s1", f"{split}_s2", f"{split}_s3")
 
@@ -82,22 +86,20 @@ class Pipeline:
         o = self.options
         s1, t = self.sources(split)
         names = (f"{split}_s1", f"{split}_s2", f"{split}_s3")
-        source = F.substring("target_id", 1, 2)
-        classical = self.stage(f"{split}_classical", lambda: blocking.classical_candidates(s1, t, o.classical_k).withColumn("source", source), *names)
+        classical = self.stage(f"{split}_classical", lambda: blocking.classical_candidates(s1, t, o.classical_k), *names)
         vecs = self.vectors(split, s1, t)
 
         def neighbours() -> DataFrame:
-            out = None
+            q, base = vecs.where("source = 'S1'"), vecs.where("source <> 'S1'")
+            if o.search == "exact":
+                found = vectors.exact_top_k(q.drop("source"), base, o.ann_k, ("view",)).withColumnRenamed("view", "ann_view")
+                return pairs.roll_up_views(found, VIEWS)
+            parts = []
             for v in VIEWS:
-                mine = vecs.where(F.col("view") == v)
-                q, base = mine.where("id LIKE 'S1-%'"), mine.where("id NOT LIKE 'S1-%'")
-                if o.search == "inverted":
-                    found = vectors.inverted_top_k(q, base, vectors.centroids(base, o.lists), o.ann_k, o.probes)
-                else:
-                    found = vectors.exact_top_k(q, base, o.ann_k)
-                found = found.withColumn("ann_view", F.lit(v))
-                out = found if out is None else out.unionByName(found)
-            return pairs.roll_up_views(out, VIEWS).withColumn("source", source)
+                mine, theirs = (df.where(F.col("view") == v).drop("view") for df in (q, base))
+                cells = vectors.centroids(theirs, o.lists)
+                parts.append(vectors.inverted_top_k(mine.drop("source"), theirs, cells, o.ann_k, o.probes).withColumn("ann_view", F.lit(v)))
+            return pairs.roll_up_views(reduce(DataFrame.unionByName, parts), VIEWS)
 
         known = self.links() if split == "train" else None
         ann = self.stage(f"{split}_ann", neighbours, f"{split}_vectors")
@@ -107,9 +109,13 @@ class Pipeline:
             splits = s1.select(F.col("entity_id").alias("s1_id"), "country", "split")
             if known is not None:
                 return pairs.cap_negatives(pairs.force_truth(united, known, splits), o.negative_cap)
-            return pairs.cap_candidates(united, o.test_cap)
+            capped = pairs.cap_candidates(united, o.test_cap)
+            return capped.drop("country").join(splits.drop("split"), "s1_id", "left")
+
+        def ordered() -> DataFrame:
+            return pairs.with_country(unite()).orderBy("s1_id", "source", "target_id")
 
-        return self.stage(f"{split}_pairs", unite, f"{split}_classical", f"{split}_ann", *(["links"] if split == "train" else []))
+        return self.stage(f"{split}_pairs", ordered, f"{split}_classical", f"{split}_ann", *(["links"] if split == "train" else []))
 
     def features(self, split: str) -> DataFrame:
         s1, t = self.sources(split)
@@ -144,11 +150,15 @@ class Pipeline:
         report["holdout"] = row.asDict()
         report["candidate_recall"] = metrics.candidate_recall(mine, links.join(out, "s1_id", "left_semi")).first().recall
         report["importance"] = {r.feature: r.importance for r in model.feature_importance(fitted, FEATURES, rows).collect()}
-        if not missing_files(self.data, "test"):
+        summary = self.spark.read.parquet(f"{self.work}/train_ann").groupBy("source").agg(F.count("*").alias("pairs"), F.count_distinct("s1_id").alias("records")).orderBy("source")
+        write_json(self.spark, {"search": o.search, "k": o.ann_k, "views": list(VIEWS), "sources": [r.asDict() for r in summary.collect()]}, f"{self.work}/ann_summary.json")
+        lines = [f"{f},{v!r}" for f, v in sorted(report["importance"].items(), key=lambda x: (-x[1], x[0]))]
+        self.files.write("\n".join(["feature,importance", *lines, ""]), f"{self.work}/importance.csv")
+        if not missing_files(self.spark, self.data, "test"):
             tested = self.features("test")
             entities = self.sources("test")[0].select(F.col("entity_id").alias("s1_id"))
             final = self.stage("test_scored", lambda: model.score_pairs(fitted, tested, FEATURES).select("s1_id", "target_id", "score"), "test_features", "train_features")
-            write_tsv(output.grouped_output(entities, output.exclusive_matches(final, best.threshold)), os.path.join(self.work, "matches"))
-            write_tsv(output.grouped_output(entities, final), os.path.join(self.work, "candidates"))
-        write_json(report, os.path.join(self.work, "report.json"))
+            write_tsv(output.grouped_output(entities, output.exclusive_matches(final, best.threshold)), f"{self.work}/matches.tsv", "source1_entity_id")
+            write_tsv(output.grouped_output(entities, final).withColumnRenamed("matched_entity_ids", "candidate_entity_ids"), f"{self.work}/candidates.tsv", "source1_entity_id")
+        write_json(self.spark, report, f"{self.work}/report.json")
         return report

@@ -61,6 +61,10 @@ def _remove_kept() -> None:
             return
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Shuffle partitions in use, the yardstick for salts."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def release(spark: SparkSession) -> None:
+    """Removes the kept tables of finished queries of a session; what still reads them must be over."""
+    rest = [x for x in _KEPT if x[0] is not spark]
+    mine = [x for x in _KEPT if x[0] is spark]
+    _KEPT[:] = mine
+    _remove_kept()
+    _KEPT[:] = rest

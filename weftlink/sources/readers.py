@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftlink.functions.text import compact, id_list, normalized, split_of
+from weftlink.sources.files import Files
 
 SOURCE_COLUMNS = ("entity_id", "business_name", "business_address", "country")
 TRUTH_COLUMNS = ("source1_entity_id", "matched_entity_ids")
@@ -29,10 +29,11 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return read_tsv(spark, path, TRUTH_COLUMNS)
 
 
-def missing_files(folder: str, split: str = "train") -> list[str]:
+def missing_files(spark: SparkSession, folder: str, split: str = "train") -> list[str]:
     """Names of the files of one split that a data folder lacks."""
+    files = Files(spark)
     names = [f"{split}_source{n}.tsv" for n in (1, 2, 3)] + ([f"{split}_matches.tsv"] if split == "train" else [])
-    return [n for n in names if not os.path.exists(os.path.join(folder, n))]
+    return [n for n in names if not files.exists(f"{folder}/{n}")]
 
 
 def latest_entities(df: DataFrame) -> DataFrame:
@@ -63,17 +64,17 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_tsv(df: DataFrame, path: str) -> None:
-    """Headered tab-separated parts, empty strings left empty."""
-    df.write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", quote="")
+def write_tsv(df: DataFrame, path: str, order: str) -> None:
+    """One headered tab-separated file in the order of a column, empty strings left empty.
 
+    The parts are written sorted by all tasks and then joined file by file.
+    """
+    files = Files(df.sparkSession)
+    df.orderBy(order).write.mode("overwrite").csv(f"{path}.parts", sep="\t", header=False, emptyValue="", quote="")
+    files.join(f"{path}.parts", path, "\t".join(df.columns))
+    files.delete(f"{path}.parts")
 
-def write_json(value: object, path: str) -> None:
+
+def write_json(spark: SparkSession, value: object, path: str) -> None:
     """A JSON file, in place only when complete."""
-    part = f"{path}.partial"
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(part, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=2, sort_keys=True, ensure_ascii=False)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(part, path)
+    Files(spark).write(json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False, default=str), path)

@@ -9,7 +9,7 @@ from weftlink.operators.blocking import aggregate_evidence, exploded_keys, ranke
 
 
 def start_matching(arriving: DataFrame, index: DataFrame, path: str, checkpoint: str, k: int = 30) -> StreamingQuery:
-    """Writes the best ``k`` targets of every arriving normalised S1 record under ``path``.
+    """Writes the best ``k`` targets of each source for every arriving normalised S1 record under ``path``.
 
     ``index`` is a standing blocking index (of :func:`weftlink.operators.blocking.blocking_index`).
     Each micro-batch is joined with it once; a batch that is retried overwrites its own folder, so
@@ -18,6 +18,6 @@ def start_matching(arriving: DataFrame, index: DataFrame, path: str, checkpoint:
 
     def match(batch: DataFrame, number: int) -> None:
         scores = route_scores(exploded_keys(batch), index)
-        ranked(aggregate_evidence(scores), "s1_id", "target_id", k).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        ranked(aggregate_evidence(scores), ["s1_id", "source"], "target_id", k).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return arriving.writeStream.foreachBatch(match).option("checkpointLocation", checkpoint).start()
