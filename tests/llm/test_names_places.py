@@ -51,7 +51,7 @@ def test_parse_address(text, parts):
 
 def test_very_long_texts():
     assert parse_name("word " * 50_000)[0] and parse_address("12 road " * 20_000)
-    assert rewritings("x" * 100_000, "")
+    assert rewritings("x" * 100_000, "") and len(rewritings("ab cde " * 5_000, "")) < 100_000
 
 
 def _edits(a, b):
@@ -110,11 +110,69 @@ def test_an_organisation_with_most_names(spark, monkeypatch):
     members = lambda: sorted((r.id, r.organisation) for r in organisation_members(df).collect())
     got = dict(members())
     assert len({got[f"S1-{i}"] for i in range(len(names))}) == 1 and len(set(got.values())) == 3
-    monkeypatch.setattr(name_variants, "HOT_FORM", 4, raising=False)
-    monkeypatch.setattr(name_variants, "BLOCK_NAMES", 7, raising=False)
+    monkeypatch.setattr(name_variants, "HOT_FORM", 4)
     assert dict(members()) == got
 
 
+def shares(a, b):
+    return {f for _, f, _ in rewritings(*a)} & {f for _, f, _ in rewritings(*b)}
+
+
+def test_rewritings_of_long_and_many_words():
+    import random
+
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abdegiklmnoprstuz") for _ in range(n))
+    for size in (5, 12, 24, 25, 26, 40, 70, 300):
+        for _ in range(30):
+            w = word(size)
+            k = rng.randrange(size)
+            for t in (w[:k] + w[k + 1 :], w[:k] + "x" + w[k:], w[:k] + "x" + w[k + 1 :], w[:k] + w[k : k + 2][::-1] + w[k + 2 :]):
+                if len(t) > 5 < len(w):
+                    assert shares((w, ""), (t, ""))
+                m = rng.randrange(len(t))
+                twice = t[:m] + t[m + 1 :]
+                if len(twice) > 4 < len(w):
+                    assert name_variants._edits(w, 2) & name_variants._edits(twice, 2)
+    three, initial, left, typo = "kulmot misrak vasdikor", "k misrak vasdikor", "misrak vasdikor", "kulmot misrk vasdikor"
+    for other in (initial, left, typo):
+        assert shares((three, ""), (other, "")) and core_likeness(three, other) >= 0.55
+    assert core_likeness(three, "kulmot tenmar jivford") == 0.0 and core_likeness(three, "vasdikor misrak kulmot") > 0.9
+
+
+def test_pairs_of_long_and_many_words(spark):
+    long = "kalmirsovantegdulfimokresbinjapuvolzetharundimokastelvibrangosemyutildep"
+    names = [f"{long} Foods Ltd", f"{long[:30]}{long[31:]} Foods Ltd", "Kulmot Misrak Vasdikor Foods", "K Misrak Vasdikor Foods", "Kulmot Misrk Vasdikor Foods", "Vasdikor Kulmot Misrak Foods", "Tenmar Jivford Holvum Foods"]
+    assert pairs(variant_pairs(frame(spark, names))) == {(0, 1), *((a, b) for a in range(2, 6) for b in range(2, 6) if a < b)}
+
+
+def test_common_forms_lose_no_alike_names(spark, monkeypatch):
+    """Every pair that all pairs of every form would accept is met where forms are common, too."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("bdgklmnrstvz") + rng.choice("aeiou") for _ in range(n))
+    names = []
+    for _ in range(14):
+        family = word(4)
+        k = rng.randrange(len(family) - 1)
+        for x in (family, family[:k] + family[k + 1 :], family[:k] + family[k + 1] + family[k] + family[k + 2 :]):
+            names += [f"Robert {x}", f"{x} Robert", f"Robret {x}", f"R {x}", f"Robert {x} Foods"]
+    names += ["Robert", "Robert Foods", "R Foods"]
+    df = frame(spark, names)
+    whole = {(r.id, r.organisation) for r in organisation_members(df).collect()}
+    monkeypatch.setattr(name_variants, "HOT_FORM", 2)
+    assert {(r.id, r.organisation) for r in organisation_members(df).collect()} == whole
+
+
+def test_a_chain_of_400_has_one_root(spark):
+    from weftlink.llm.pairing import roots
+
+    nodes = spark.range(400).withColumnRenamed("id", "node")
+    parents = spark.range(399).selectExpr("id AS node", "id + 1 AS parent")
+    assert [r.root for r in roots(nodes, parents).select("root").distinct().collect()] == [399]
+
+
 def test_place_pairs(spark):
     a = ["540 Mirnikot Road, Jiviford 34685", "Flat 3, 540 Mirnikot Rd, Jiviford", "540 MIRNIKOT ROAD, 34685", "540 Mirnikot, Jiviford 34685", "540 Mirnikto Road, Jiviford 34685", "34685 Jiviford, No. 540 Mirnikot Road", "540 Mirnikot Street, Jiviford 34685", "541 Mirnikot Road, Jiviford 34685", "540 Mirnikot Road, Jiviford 34685", "N/A", "", None, "540 Mirnikot Road, Jivifrod 34685"]
     got = pairs(same_place_pairs(frame(spark, addresses=a)))

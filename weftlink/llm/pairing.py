@@ -19,31 +19,27 @@ def different_pairs(rows: DataFrame, keys: list[str], id_col: str, text_col: str
     rows = rows.select(*keys, F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).dropna()
     rows = rows.withColumn("_g", F.xxhash64(*keys)).withColumn("_t", F.xxhash64("_text"))
     mixed = rows.groupBy("_g").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi")).where("_lo <> _hi").select("_g")
-    rows = cut(rows.join(mixed, "_g", "left_semi").dropDuplicates([*keys, "_id", "_text"]))
+    rows = cut(rows.join(mixed.hint("merge"), "_g", "left_semi").dropDuplicates([*keys, "_id", "_text"]))
     texts = rows.select("_g", *keys, "_text").distinct()
     a = texts.withColumnRenamed("_text", "_text_a")
     b = texts.withColumnRenamed("_text", "_text_b")
-    pairs = a.join(b, ["_g", *keys]).where("_text_a < _text_b")
+    pairs = a.join(b.hint("merge"), ["_g", *keys]).where("_text_a < _text_b")
     left = rows.select("_g", *keys, F.col("_text").alias("_text_a"), F.col("_id").alias("_ia"))
     right = rows.select("_g", *keys, F.col("_text").alias("_text_b"), F.col("_id").alias("_ib"))
-    pairs = pairs.join(left, ["_g", *keys, "_text_a"]).join(right, ["_g", *keys, "_text_b"]).where("_ia <> _ib")
+    pairs = pairs.join(left.hint("merge"), ["_g", *keys, "_text_a"]).join(right.hint("merge"), ["_g", *keys, "_text_b"]).where("_ia <> _ib")
     return pairs.select(*keys, F.least("_ia", "_ib").alias("id_a"), F.greatest("_ia", "_ib").alias("id_b")).distinct()
 
 
-def roots(nodes: DataFrame, parents: DataFrame, rounds: int = 6) -> DataFrame:
-    """Root of every node of a forest: (node, root), by pointer doubling.
+def roots(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+    """Root of every node of a forest: (node, root), by pointer doubling until nothing moves.
 
     ``parents`` has (node, parent), at most one row a node, with each parent of higher order than
-    its node, so there are no cycles. ``rounds`` doublings resolve chains of 2^(rounds + 1) links; the
-    attachment orders used here make longer ones impossible in practice, and what would be longer
-    keeps an inner node as its root rather than being lost.
+    its node, so there are no cycles. A chain of n links takes log2(n) rounds.
     """
     above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
-    at = nodes.select("node").join(parents, "node", "left").join(above, "parent", "left")
+    at = nodes.select("node").join(parents.hint("merge"), "node", "left").join(above.hint("merge"), "parent", "left")
     at = cut(at.select("node", F.coalesce("_up", "parent", "node").alias("root"), F.col("_up").isNotNull().alias("moved")))
-    for _ in range(rounds):
-        if at.where("moved").isEmpty():
-            break
+    while not at.where("moved").isEmpty():
         up = at.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("_up"))
-        at = cut(at.drop("moved").join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("moved")))
+        at = cut(at.drop("moved").join(up.hint("merge"), "root", "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("moved")))
     return at.select("node", "root")

@@ -55,7 +55,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_organisations(spark: SparkSession, d: str) -> DataFrame:
     m = organisation_members(table(spark, d, "train_source1"))
-    return m.select("id", "name", "country", F.hex("organisation").alias("organisation"), "likeness")
+    return m.select("id", "name", "country", "organisation", "likeness")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
