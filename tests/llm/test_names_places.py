@@ -3,7 +3,7 @@ import pytest
 from weftlink.llm import name_variants
 from weftlink.llm.name_variants import canonical_core, core_likeness, organisation_members, rewritings, variant_pairs
 from weftlink.llm.places import same_place_pairs
-from weftlink.llm.records import near, parse_address, parse_name
+from weftlink.llm.records import edit_keys, near, parse_address, parse_name
 
 SCHEMA = "entity_id string, business_name string, business_address string, country string, id string, node string"
 
@@ -133,7 +133,7 @@ def test_rewritings_of_long_and_many_words():
                 m = rng.randrange(len(t))
                 twice = t[:m] + t[m + 1 :]
                 if len(twice) > 4 < len(w):
-                    assert name_variants._edits(w, 2) & name_variants._edits(twice, 2)
+                    assert edit_keys(w, 2) & edit_keys(twice, 2)
     three, initial, left, typo = "kulmot misrak vasdikor", "k misrak vasdikor", "misrak vasdikor", "kulmot misrk vasdikor"
     for other in (initial, left, typo):
         assert shares((three, ""), (other, "")) and core_likeness(three, other) >= 0.55

@@ -18,20 +18,23 @@ from functools import lru_cache
 CYRILLIC_LATIN = dict(zip("АВЕЅІЈКМНОРСТУХаеорсухѕіјһӏԁԛԝԚԜҮ", "ABESIJKMHOPCTYXaeopcyxsijhldqwQWY"))
 GREEK_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναρι", "ABEZHIKMNOPTYXovapi"))
 ARMENIAN_LATIN = dict(zip("օսհՕՍ", "ouhOU"))
+CHEROKEE_LATIN = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"))
+# Other letters of the Latin script itself that are drawn alike.
+LATIN_TWINS = {"ɡ": "g"}
 # Typographic ligatures that show as the letters they join.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 # Characters without a shape beside those of category Cf.
-INVISIBLE_RANGES = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0))
+INVISIBLE_RANGES = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0100, 0xE01EF))
 # Format characters of category Cf that are drawn.
 DRAWN_FORMAT = {*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x08E2}
 
-TO_LATIN = CYRILLIC_LATIN | GREEK_LATIN | ARMENIAN_LATIN
+TO_LATIN = CYRILLIC_LATIN | GREEK_LATIN | ARMENIAN_LATIN | CHEROKEE_LATIN
 
 
 def _replacements() -> dict[int, str | None]:
-    """Character → what replaces it, by rule over the basic plane."""
+    """Character → what replaces it, by rule over all code points."""
     out: dict[int, str | None] = {}
-    for cp in range(0x80, 0x10000):
+    for cp in range(0x80, 0x110000):
         ch = chr(cp)
         kind = unicodedata.category(ch)
         wide = unicodedata.decomposition(ch)
@@ -41,9 +44,12 @@ def _replacements() -> dict[int, str | None]:
             out[cp] = None
         elif wide.startswith(("<wide>", "<narrow>")):
             out[cp] = unicodedata.normalize("NFKC", ch)
+        elif kind == "Nl" and wide.startswith("<compat>") and len(wide.split()) == 2:
+            # Roman numerals of one letter.
+            out[cp] = unicodedata.normalize("NFKC", ch)
     for first, last in INVISIBLE_RANGES:
         out.update(dict.fromkeys(range(first, last + 1)))
-    out.update({ord(k): v for k, v in LIGATURES.items()})
+    out.update({ord(k): v for k, v in (LIGATURES | LATIN_TWINS).items()})
     return out
 
 
@@ -56,24 +62,34 @@ def script(ch: str) -> str | None:
     """Script of a letter by the first word of its Unicode name; None for common characters."""
     if not unicodedata.category(ch).startswith(("L", "M")):
         return None
-    name = unicodedata.name(ch, "")
+    name = unicodedata.name(ch, "").replace("KATAKANA-HIRAGANA", "KANA")
     return None if name.startswith(("COMBINING", "MODIFIER")) or not name else name.split()[0]
 
 
+@lru_cache(maxsize=20_000)
+def natural_scripts(ch: str) -> frozenset[str] | None:
+    """Scripts that a letter itself is written in, those of mixed writing included; None for common characters."""
+    own = script(ch)
+    if own is None:
+        return None
+    sets = {"HIRAGANA", "KATAKANA"} if own == "KANA" else {own}
+    if own in ("CJK", "HIRAGANA", "KATAKANA", "KANA"):
+        sets.add("JAPANESE")
+    if own in ("CJK", "HANGUL"):
+        sets.add("KOREAN")
+    return frozenset(sets)
+
+
 @lru_cache(maxsize=20_000)
 def script_set(ch: str) -> frozenset[str] | None:
     """Scripts in which a letter of this shape exists; None for characters common to all."""
-    own = script(ch)
+    own = natural_scripts(ch)
     if own is None:
         return None
-    sets = {own}
+    sets = set(own)
     if ch in TO_LATIN:
         sets.add("LATIN")
     sets.update(script(k) for k in _FROM_LATIN.get(ch, ()))
-    if own in ("CJK", "HIRAGANA", "KATAKANA"):
-        sets.add("JAPANESE")
-    if own in ("CJK", "HANGUL"):
-        sets.add("KOREAN")
     return frozenset(sets)
 
 
@@ -82,20 +98,20 @@ for _foreign, _latin in TO_LATIN.items():
     _FROM_LATIN.setdefault(_latin, []).append(_foreign)
 
 
-def resolved_scripts(token: str) -> frozenset[str] | None:
+def resolved_scripts(token: str, of=script_set) -> frozenset[str] | None:
     """Scripts in which the whole token can be written; empty if none, None if any."""
     common: frozenset[str] | None = None
     for ch in token:
-        sets = script_set(ch)
+        sets = of(ch)
         if sets is not None:
             common = sets if common is None else common & sets
     return common
 
 
 def is_confusable(token: str) -> bool:
-    """Whether the token mixes scripts, or is of another script but could be Latin."""
-    used = {script(ch) for ch in token} - {None}
-    return len(used) > 1 or bool(used - {"LATIN"}) and "LATIN" in (resolved_scripts(token) or ())
+    """Whether the token mixes scripts that are not written together, or is of another script but could be Latin."""
+    own = resolved_scripts(token, natural_scripts)
+    return own is not None and (not own or "LATIN" not in own and "LATIN" in resolved_scripts(token))
 
 
 @lru_cache(maxsize=20_000)

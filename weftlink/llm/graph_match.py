@@ -5,8 +5,8 @@ over it train skip-gram vectors of the tokens; an attribute's vector is the weig
 tokens'. Tables of random hyperplanes hash the vectors, each table over other tokens of the record,
 so that a pair with a typing error, a word left out or a part of the address missing still falls
 into one bucket somewhere; buckets lie within a country. Pairs met are first held against short
-signatures of either attribute, then scored exactly: cosine estimates, likeness of the parsed
-parts, and what is missing. A logistic curve fitted on labelled records turns scores into
+signatures of either attribute, then scored exactly: cosines of the attributes' vectors, likeness of the
+parsed parts, and what is missing. A logistic curve fitted on labelled records turns scores into
 confidences. An exact check refuses pairs whose house numbers, street types or trades contradict
 each other; a record without an address goes to the one S1 record that its name leaves.
 """
@@ -167,8 +167,8 @@ def _packed(signs: np.ndarray) -> np.ndarray:
     return signs @ (1 << np.arange(signs.shape[1], dtype=np.int64))
 
 
-def hash_records(texts: list[tuple[str, ...]], vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(name signatures, address signatures, table hashes, which tables the record has) of a batch."""
+def group_vectors(texts: list[tuple[str, ...]], vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors of the groups of each record's tokens, tokens a record and group) of a batch."""
     flat, counts = token_table(texts)
     sums = np.zeros((counts.size, DIMENSIONS), dtype=np.float32)
     sizes = counts.ravel()
@@ -177,11 +177,26 @@ def hash_records(texts: list[tuple[str, ...]], vectors: np.ndarray) -> tuple[np.
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1][filled]
         total = np.add.reduceat(vectors[flat], starts, axis=0)
         sums[filled] = total / np.maximum(np.sqrt(np.einsum("ij,ij->i", total, total)), 1e-6)[:, None]
-    part = sums.reshape(*counts.shape, DIMENSIONS)
+    return sums.reshape(*counts.shape, DIMENSIONS), counts
+
+
+def attribute_vectors(part: np.ndarray, weights: dict[int, float]) -> np.ndarray:
+    """Vectors of an attribute: the weighted sums of its groups'."""
+    return reduce(np.add, [part[:, g] * np.float32(w) for g, w in weights.items()])
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each row of ``a`` with that of ``b``; 0 for vectors of length 0."""
+    length = np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
+    return np.einsum("ij,ij->i", a, b) / np.maximum(length, 1e-12)
+
+
+def hash_records(texts: list[tuple[str, ...]], vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name signatures, address signatures, table hashes, which tables the record has) of a batch."""
+    part, counts = group_vectors(texts, vectors)
 
     def signs(weights: dict[int, float], planes: np.ndarray) -> np.ndarray:
-        vector = reduce(np.add, [part[:, g] * np.float32(w) for g, w in weights.items()])
-        return _packed(vector @ planes > 0)
+        return _packed(attribute_vectors(part, weights) @ planes > 0)
 
     hashes = [signs(w, _planes(200 + k, BITS)) * len(TABLES) + k for k, w in TABLE_WEIGHTS]
     has = [(counts[:, list(w)] > 0).all(axis=1) for _, w in TABLE_WEIGHTS]
@@ -192,9 +207,8 @@ PARTS = ("core", "trade", "legal", "number", "street", "stype", "city", "postcod
 _RECORD_SCHEMA = "eid string, side int, country string, sig_name bigint, sig_address bigint, tables array<bigint>, " + ", ".join(f"{p} string" for p in PARTS)
 
 
-def hashed_records(records: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """``records`` (eid, side, name, address, country) parsed, with signatures and table hashes."""
-    model = records.sparkSession.sparkContext.broadcast(vectors)
+def hashed_records(records: DataFrame, model) -> DataFrame:
+    """``records`` (eid, side, name, address, country) parsed, with signatures and table hashes; ``model`` holds the vectors for all workers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str | None, str] = {}
@@ -266,7 +280,7 @@ def _meetings(records: DataFrame) -> DataFrame:
         n, p = F.col("off_name"), F.col("off_address")
         # House numbers that differ contradict each other here already, by their hash.
         close = F.when(named & placed, (F.col("off_number") == 0) & ((n <= 15) | weak & (p <= 4))).when(named, n <= 14).otherwise(p <= 5)
-        return met.where(close).select("a", "b", "off_name", "off_address")
+        return met.where(close).select("a", "b")
 
     def in_blocks(part: DataFrame) -> DataFrame:
         n = part.groupBy("key").agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 2).alias("n2"))
@@ -306,8 +320,8 @@ def _meetings(records: DataFrame) -> DataFrame:
     return met.repartition("a").dropDuplicates(["a", "b"])
 
 
-def pair_features(a: tuple[str, ...], b: tuple[str, ...], off_name: int, off_address: int) -> tuple[float, ...] | None:
-    """Features of a pair in the order of FEATURES without the last; None where parts contradict.
+def pair_features(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, ...] | None:
+    """Features of a pair in the order of FEATURES without the last, the cosines left 0; None where parts contradict.
 
     Parts are those of PARTS. Contradictions: both have house numbers and they differ; both have
     street types and they differ; trades of which neither holds the other; streets or names that
@@ -341,28 +355,40 @@ def pair_features(a: tuple[str, ...], b: tuple[str, ...], off_name: int, off_add
             return None
     legal = 1.0 if legal_a == legal_b else 0.5 if compatible(legal_a, legal_b) else 0.0
     trade = 1.0 if trade_a == trade_b else 0.5
-    cos_name = 0.0 if no_name else np.cos(np.pi * off_name / NAME_BITS)
-    cos_address = 0.0 if no_address else np.cos(np.pi * off_address / ADDRESS_BITS)
-    return name, cos_name, cos_address, trade, legal, number, street, stype, city, postcode, float(no_address), float(no_name)
+    return name, 0.0, 0.0, trade, legal, number, street, stype, city, postcode, float(no_address), float(no_name)
 
 
 _FEATURE_SCHEMA = "s1_id string, target_id string, " + ", ".join(f"{f} double" for f in FEATURES[:-1])
 
 
-def _score_pairs(pairs: DataFrame) -> DataFrame:
-    """(s1_id, target_id, features) of pairs (parts_a, parts_b, off_name, off_address), parts in one text."""
+def _score_pairs(pairs: DataFrame, model) -> DataFrame:
+    """(s1_id, target_id, features) of pairs (parts_a, parts_b), parts in one text.
+
+    Pairs whose parts contradict each other leave first; of the rest the cosines are those of the
+    attributes' whole vectors.
+    """
     width = len(PARTS)
+    at_name, at_address, at_no_address, at_no_name = (FEATURES.index(f) for f in ("cos_name", "cos_address", "no_address", "no_name"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept_rows = []
-            for left, right, off_name, off_address in zip(*(c.to_pylist() for c in batch.columns)):
+            kept_rows: list[tuple] = []
+            place: dict[tuple[str, ...], int] = {}
+            sides: list[tuple[int, int]] = []
+            for left, right in zip(*(c.to_pylist() for c in batch.columns)):
                 *a, s1_id = left.split("\t", width)
                 *b, target_id = right.split("\t", width)
-                f = pair_features(tuple(a), tuple(b), off_name, off_address)
+                f = pair_features(tuple(a), tuple(b))
                 if f is not None:
                     kept_rows.append((s1_id, target_id, *f))
-            cols = list(zip(*kept_rows)) or [()] * (2 + len(FEATURES) - 1)
+                    sides.append(tuple(place.setdefault(tuple(x), len(place)) for x in (a, b)))
+            cols: list = list(zip(*kept_rows)) or [()] * (2 + len(FEATURES) - 1)
+            if kept_rows:
+                part, _ = group_vectors([record_texts((*x, "")) for x in place], model.value)
+                left, right = np.array(sides, dtype=np.int64).T
+                for at, weights, missing in ((at_name, NAME_WEIGHTS, at_no_name), (at_address, ADDRESS_WEIGHTS, at_no_address)):
+                    vector = attribute_vectors(part, weights)
+                    cols[2 + at] = np.where(np.array(cols[2 + missing]) == 1, 0.0, cosines(vector[left], vector[right]).astype(float))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols[:2]] + [pa.array(c, pa.float64()) for c in cols[2:]], names=["s1_id", "target_id", *FEATURES[:-1]])
 
     return pairs.mapInArrow(run, _FEATURE_SCHEMA)
@@ -410,11 +436,12 @@ def scored_candidates(source1: DataFrame, targets: list[DataFrame]) -> DataFrame
     records = reduce(DataFrame.unionByName, [deliveries(source1, 1), *(deliveries(t, 2) for t in targets)])
     sample = least_by_hash(records, FIT_RECORDS, "eid", "name", "address").collect()
     vectors = train_vectors([record_texts(record_parts(r.name, r.address)) for r in sample])
-    records = kept(hashed_records(records, vectors).withColumn("rid", F.xxhash64("eid", "country", *PARTS)))
+    model = records.sparkSession.sparkContext.broadcast(vectors)
+    records = kept(hashed_records(records, model).withColumn("rid", F.xxhash64("eid", "country", *PARTS)))
     met = _meetings(records)
     parts = records.select("rid", F.concat_ws("\t", *PARTS, "eid").alias("parts"))
-    pairs = met.join(parts.toDF("a", "parts_a"), "a").join(parts.toDF("b", "parts_b"), "b").select("parts_a", "parts_b", "off_name", "off_address")
-    scored = kept(_score_pairs(pairs))
+    pairs = met.join(parts.toDF("a", "parts_a"), "a").join(parts.toDF("b", "parts_b"), "b").select("parts_a", "parts_b")
+    scored = kept(_score_pairs(pairs, model))
     # S1 records that would do as well for the target: names decide only where they leave one.
     level = F.round(F.when(F.col("no_address") == 1, F.col("name")).otherwise(F.col("street") + F.col("city")), 2)
     best = scored.groupBy("target_id", "no_address", "no_name").agg(F.max(level).alias("top"))

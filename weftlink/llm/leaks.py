@@ -11,6 +11,7 @@ are counted once.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORDS = re.compile(rb"[a-z0-9]+")
-#: Bytes of item text that one search holds; larger item sets are searched in several passes.
-ITEM_BLOCK_BYTES = 16 << 20
+#: Bytes of item text that one search holds, in tables of some thirty times as much; larger item sets are searched in several passes.
+ITEM_BLOCK_BYTES = 2 << 20
 
 
 def words_of(text: str | bytes) -> list[bytes]:
@@ -32,43 +33,51 @@ def words_of(text: str | bytes) -> list[bytes]:
 
 
 class WuManber:
-    """Shift table, suffix buckets and patterns of one block of items."""
+    """Shift table and suffix buckets of one block of items.
+
+    Patterns are not stored: a bucket holds the places (item, word) at which its two last words
+    end a pattern, and the item's own words are compared there.
+    """
 
     def __init__(self, items: list[tuple[int, str]], run: int = 8) -> None:
         self.run = run
         self.items = [item for item, _ in items]
-        self.sizes: list[int] = []
-        self.patterns: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
+        self.words: list[list[bytes]] = []
+        self.buckets: dict[tuple[bytes, bytes], array] = {}
         self.shift: dict[tuple[bytes, bytes], int] = {}
+        known: dict[bytes, bytes] = {}
         for k, (_, text) in enumerate(items):
-            words = words_of(text)
-            self.sizes.append(len(words))
-            for j in range(len(words) - run + 1):
-                pattern = tuple(words[j : j + run])
-                self.patterns.setdefault(pattern, []).append((k, j))
-        for pattern in self.patterns:
-            for k in range(1, run):
-                pair = pattern[k - 1 : k + 1]
-                self.shift[pair] = min(self.shift.get(pair, run), run - 1 - k)
+            words = [known.setdefault(w, w) for w in words_of(text)]
+            self.words.append(words)
+            for end in range(1, len(words) if len(words) >= run else 0):
+                # Behind the first pattern's end every pair ends a pattern; before it, one ends so many words later.
+                pair = words[end - 1], words[end]
+                self.shift[pair] = min(self.shift.get(pair, run), max(0, run - 1 - end))
+                if end >= run - 1:
+                    self.buckets.setdefault(pair, array("L")).extend((k, end - run + 1))
         self.last = {pair[1] for pair in self.shift}
 
     def search(self, words: list[bytes]) -> dict[int, set[int]]:
         """Place of an item → starts of its runs that the words contain."""
         found: dict[int, set[int]] = {}
-        run, shift, last, patterns = self.run, self.shift, self.last, self.patterns
-        at, size, miss = run - 1, len(words), run - 1
+        run, shift, last, buckets = self.run, self.shift, self.last, self.buckets
+        at, size, miss = self.run - 1, len(words), self.run - 1
         while at < size:
             w = words[at]
             if w not in last:
                 # No pattern has this word behind another: only as a first word could it count.
                 at += miss
                 continue
-            step = shift.get((words[at - 1], w), miss)
+            pair = words[at - 1], w
+            step = shift.get(pair, miss)
             if step:
                 at += step
                 continue
-            for k, j in patterns.get(tuple(words[at - run + 1 : at + 1]), ()):
-                found.setdefault(k, set()).add(j)
+            bucket = buckets[pair]
+            here = words[at - run + 1 : at + 1]
+            for k, j in zip(bucket[::2], bucket[1::2]):
+                if self.words[k][j : j + run] == here:
+                    found.setdefault(k, set()).add(j)
             at += 1
         return found
 
@@ -79,8 +88,8 @@ class WuManber:
             for j in sorted(starts):
                 covered += j + self.run - max(j, end)
                 end = j + self.run
-            if covered >= least * self.sizes[k]:
-                yield self.items[k], covered, self.sizes[k]
+            if covered >= least * len(self.words[k]):
+                yield self.items[k], covered, len(self.words[k])
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "item_text", run: int = 8, least: float = 0.5) -> DataFrame:

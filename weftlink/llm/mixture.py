@@ -14,9 +14,8 @@ from pyspark.sql import types as T
 
 from weftlink.session import cut
 
-#: Values of one raked margin that are kept apart; rarer ones are raked together.
-MARGIN_VALUES = 500
-OTHER = "(other)"
+#: Cells of source and margins that the driver rakes; more are an error, never cut.
+MOST_CELLS = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -99,18 +98,18 @@ def mixture(sizes: DataFrame, targets: DataFrame, margins: list[str], seed: int
     report: a row for each target source with wanted, drawn and available tokens, the shares wanted
     and reached, and whether it falls short. Token weights of the cells source x margins are raked
     to the target shares of the sources (capped where a source falls short, whose lack is not made
-    up by others) and to the corpus' own shares of the other margins. A document is taken
+    up by others) and to the corpus' own shares of the other margins, every value of a margin apart;
+    more than MOST_CELLS cells or targets are an error. A document is taken
     floor(w) times, and once more with probability w - floor(w) by a hash of its id, where w is
     its cell's weight, never above the repeats allowed. Sources without a target are not used.
     """
     spark = sizes.sparkSession
     goals = source_sizes(sizes, targets)
-    used = sizes.join(F.broadcast(goals.select("source")) if goals.count() < 10_000 else goals.select("source"), "source", "left_semi")
-    kept = {m: [r[0] for r in used.groupBy(m).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), m).limit(MARGIN_VALUES).collect()] for m in margins}
-    for m in margins:
-        used = used.withColumn(m, F.when(F.col(m).isin(kept[m]), F.col(m)).otherwise(OTHER))
-    # At most sources x MARGIN_VALUES ^ margins cells, and far fewer in use.
-    cells = used.groupBy("source", *margins).agg(F.sum("tokens").alias("tokens")).toPandas()
+    used = sizes.join(goals.select("source"), "source", "left_semi")
+    counted = cut(used.groupBy("source", *margins).agg(F.sum("tokens").alias("tokens")))
+    if max(counted.count(), goals.count()) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells of source, {', '.join(margins)}: give coarser margins")
+    cells = counted.toPandas()
     cells = cells[cells.tokens > 0].reset_index(drop=True)
     by_source = goals.toPandas().set_index("source")
     if cells.empty:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftlink.llm.pairing import different_pairs, roots
-from weftlink.llm.records import country_key, deletions, near, parse_address, sound
+from weftlink.llm.records import country_key, edit_keys, near, parse_address, sound
 from weftlink.session import cut
 
 #: Readings of one address that are kept at each step of the beam.
@@ -43,7 +43,7 @@ def parse_address_udf(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[
 def deletions_udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Forms that words within one edit share; words under five letters have only themselves."""
     for part in parts:
-        yield pd.Series([sorted(deletions(s)) if 5 <= len(s) <= 64 else [s] for s in part])
+        yield pd.Series([sorted(edit_keys(s, 1)) if len(s) >= 5 else [s] for s in part])
 
 
 @F.pandas_udf(T.IntegerType())
@@ -63,7 +63,7 @@ def cluster_spellings(nodes: DataFrame, block: list[str], word: str) -> DataFram
     forms = forms.select("node", "n", word, F.xxhash64(*block, "d").alias("form"))
     shared = forms.groupBy("form").agg(F.count("*").alias("k"), F.max(F.struct("n", F.col(word).alias("w"), "node")).alias("top")).where("k > 1")
     # Each spelling meets the most frequent one of each of its forms: a star, never all pairs.
-    met = forms.join(shared.select("form", "top"), "form").where(F.col("node") != F.col("top.node"))
+    met = forms.join(shared.select("form", "top").hint("merge"), "form").where(F.col("node") != F.col("top.node"))
     met = met.groupBy("node").agg(F.max("top").alias("top"), F.first("n").alias("n"), F.first(word).alias("w"))
     met = met.where(F.struct("n", "w", "node") < F.col("top")).withColumn("edits", near_udf("w", F.col("top.w"))).where("edits <= 2")
     return roots(nodes, cut(met.select("node", F.col("top.node").alias("parent"))))
@@ -84,7 +84,7 @@ def _same_house_streets(typed: DataFrame) -> DataFrame:
     """
     rows = typed.where("postcode <> ''").where(F.length("street") >= 5).select(F.xxhash64("country", "loc", "stype", "number", "postcode").alias("house"), "street", F.struct("weight", "sid").alias("s")).distinct()
     a, b = (rows.select("house", F.col("street").alias(f"street_{x}"), F.col("s").alias(x)) for x in "ab")
-    met = a.join(b, "house").where("a < b").withColumn("edits", near_udf("street_a", "street_b")).where("edits <= 2")
+    met = a.join(b.hint("merge"), "house").where("a < b").withColumn("edits", near_udf("street_a", "street_b")).where("edits <= 2")
     parents = cut(met.groupBy(F.col("a.sid").alias("node")).agg(F.max("b").alias("m")).select("node", F.col("m.sid").alias("parent")))
     return roots(typed.select(F.col("sid").alias("node")).distinct(), parents)
 
@@ -107,37 +107,38 @@ def resolve_addresses(records: DataFrame) -> DataFrame:
     # Localities.
     cities = asked.where("city <> ''").groupBy("node", "country", "city").agg(F.sum("n").alias("n"))
     loc = cluster_spellings(cities, ["country"], "city").withColumnRenamed("root", "loc")
-    spelled = asked.where("city <> ''").join(loc, "node").drop("node").withColumn("node", F.xxhash64("country", "loc", "street", "stype"))
+    spelled = asked.where("city <> ''").join(loc.hint("merge"), "node").drop("node").withColumn("node", F.xxhash64("country", "loc", "street", "stype"))
     spelled = cut(spelled)
     share = Window.partitionBy("country", "postcode")
     codes = spelled.where("postcode <> ''").groupBy("country", "postcode", "loc").agg(F.sum("n").alias("k")).withColumn("cost", -F.log(F.col("k") / F.sum("k").over(share)))
-    codes = codes.groupBy("country", "postcode").agg(F.slice(F.sort_array(F.collect_list(F.struct("cost", "loc"))), 1, BEAM).alias("locs"))
+    likeliest = F.row_number().over(Window.partitionBy("country", "postcode").orderBy("cost", "loc"))
+    codes = codes.withColumn("k", likeliest).where(F.col("k") <= BEAM).groupBy("country", "postcode").agg(F.collect_list(F.struct("cost", "loc")).alias("locs"))
 
     # Streets: typed spellings of addresses with a city, clustered within locality and type.
     streets = spelled.where("stype <> ''").groupBy("node", "country", "loc", "street", "stype").agg(F.sum("n").alias("n"))
     sid = cluster_spellings(streets, ["country", "loc", "stype"], "street").withColumnRenamed("root", "sid")
-    weight = sid.join(streets.select("node", "n"), "node").groupBy("sid").agg(F.sum("n").alias("weight"))
-    typed = cut(spelled.where("stype <> ''").join(sid, "node").join(weight, "sid"))
+    weight = sid.join(streets.select("node", "n").hint("merge"), "node").groupBy("sid").agg(F.sum("n").alias("weight"))
+    typed = cut(spelled.where("stype <> ''").join(sid.hint("merge"), "node").join(weight.hint("merge"), "sid"))
     houses = _same_house_streets(typed)
-    typed = cut(typed.withColumnRenamed("sid", "old").join(houses.select(F.col("node").alias("old"), F.col("root").alias("sid")), "old").select("q", "country", "loc", "street", "stype", "number", "sid"))
+    typed = cut(typed.withColumnRenamed("sid", "old").join(houses.select(F.col("node").alias("old"), F.col("root").alias("sid")).hint("merge"), "old").select("q", "country", "loc", "street", "stype", "number", "sid"))
     entries = typed.select("country", "loc", "sid", F.col("street").alias("e_street"), F.col("stype").alias("e_type")).distinct()
     known = typed.select(F.xxhash64("sid", "number").alias("house")).distinct().withColumn("known", F.lit(1))
 
     # Beam over the rest: readings of the locality, then of the street, then whether the house is known.
-    by_code = asked.where("city = ''").join(codes, ["country", "postcode"]).withColumn("r", F.explode("locs"))
+    by_code = asked.where("city = ''").join(codes.hint("merge"), ["country", "postcode"]).withColumn("r", F.explode("locs"))
     cols = ["q", "country", "street", "stype", "number"]
     open_ = cut(spelled.where("stype = ''").select(*cols, "loc", F.lit(0.0).alias("loc_cost")).unionByName(by_code.select(*cols, F.col("r.loc").alias("loc"), F.col("r.cost").alias("loc_cost"))))
     q_forms = open_.withColumn("d", F.explode(deletions_udf("street"))).withColumn("form", F.xxhash64("country", "loc", "d")).drop("country", "loc", "d")
     e_forms = entries.withColumn("d", F.explode(deletions_udf("e_street"))).select(F.xxhash64("country", "loc", "d").alias("form"), "sid", "e_street", "e_type")
-    readings = q_forms.join(e_forms, "form").where("stype = '' OR stype = e_type").withColumn("edits", near_udf("street", "e_street")).where("edits <= 2")
-    readings = readings.withColumn("house", F.xxhash64("sid", "number")).join(known, "house", "left")
+    readings = q_forms.join(e_forms.hint("merge"), "form").where("stype = '' OR stype = e_type").withColumn("edits", near_udf("street", "e_street")).where("edits <= 2")
+    readings = readings.withColumn("house", F.xxhash64("sid", "number")).join(known.hint("merge"), "house", "left")
     cost = F.col("edits") + 0.3 * F.col("loc_cost") + F.when(F.col("known").isNull(), 2.0).otherwise(0.0)
     beam = readings.groupBy("q").agg(F.min(F.struct(cost.alias("cost"), "sid")).alias("best")).select("q", F.col("best.sid").alias("found"))
     # What the gazetteer has no entry for stands for itself, under its likeliest locality.
     own = open_.groupBy("q", "country", "street", "stype").agg(F.min(F.struct("loc_cost", "loc")).alias("l"))
-    rest = own.join(beam, "q", "left").select("q", "country", F.coalesce("found", F.xxhash64("country", "l.loc", "street", "stype")).alias("sid"))
+    rest = own.join(beam.hint("merge"), "q", "left").select("q", "country", F.coalesce("found", F.xxhash64("country", "l.loc", "street", "stype")).alias("sid"))
     resolved = cut(typed.select("q", "country", "sid").unionByName(rest))
-    out = records.join(resolved.withColumnRenamed("country", "in_country"), "q")
+    out = records.join(resolved.withColumnRenamed("country", "in_country").hint("merge"), "q")
     return out.withColumn("place", F.xxhash64("in_country", "sid", "number"))
 
 

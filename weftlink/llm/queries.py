@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weftlink.llm.graph_match import match_entities
 from weftlink.llm.leaks import find_leaks
 from weftlink.llm.lookalikes import consistent_texts, lookalike_pairs
-from weftlink.llm.mixture import mixture, sized, source_sizes
+from weftlink.llm.mixture import mixture, sized
 from weftlink.llm.name_variants import organisation_members, variant_pairs
 from weftlink.llm.places import address_records, resolve_addresses, same_place_pairs
 from weftlink.llm.spans import shared_documents, shared_windows
@@ -101,7 +101,8 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return source_sizes(_sizes(spark, d), table(spark, d, "mix_targets")).where("short").select("source")
+    """The sources that the report of the raked mix names as short."""
+    return p8_report(spark, d).where("short").select("source")
 
 
 def p9_shared(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +120,30 @@ WITH clean AS (SELECT s1_id, target_id, scored_at, CASE WHEN isnan(retrieval_pri
 last AS (SELECT s1_id, target_id, p, row_number() OVER (PARTITION BY s1_id, target_id ORDER BY scored_at DESC NULLS LAST, p DESC NULLS LAST) AS k FROM clean),
 ranked AS (SELECT s1_id, target_id, p AS retrieval_priority, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, target_id ASC) AS rank FROM last WHERE k = 1 AND p IS NOT NULL)
 """
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate({{0}}, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+')"
+# Runs of eight words of items and documents, the item's words that shared runs cover.
+_LEAKS = f"""
+WITH iw AS (SELECT item_id, {_WORDS.format("item_text")} AS w FROM eval_items WHERE item_id IS NOT NULL AND item_text IS NOT NULL),
+ig AS (SELECT item_id, j, array_to_string(w[j:j + 7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 6, 1))) AS j FROM iw)),
+dw AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[j:j + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 6, 1))) AS j FROM dw)),
+hit AS (SELECT DISTINCT doc_id, item_id, unnest(range(j, j + 8)) AS at FROM dg JOIN ig USING (g)),
+leak AS (SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS covered_words, CAST(max(len(w)) AS INTEGER) AS item_words FROM hit JOIN iw USING (item_id) GROUP BY doc_id, item_id)
+SELECT * FROM leak WHERE covered_words * 2 >= item_words"""
+# Every window of 600 characters by its hash.
+_SPANS = """
+WITH w AS MATERIALIZED (SELECT doc_id, s, hash(substr(text, s, 600)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 598)) AS s FROM documents WHERE length(text) >= 600)),
+r AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+f AS (SELECT doc_id, s, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM w SEMI JOIN r USING (h))
+"""
 ORACLE = {
+    "p7_found": f"SELECT doc_id, item_id FROM ({_LEAKS})",
+    "p7_leaks": f"SELECT *, round(covered_words / item_words, 6) AS covered_share FROM ({_LEAKS})",
+    # In characters: the statement says that the choice of tokenizer does not change the result.
+    "p8_found": "WITH s AS (SELECT source, sum(length(text)) AS own FROM documents WHERE source IS NOT NULL GROUP BY source) SELECT m.source FROM mix_targets m LEFT JOIN s USING (source) CROSS JOIN (SELECT sum(own) / 2 AS mix FROM s) WHERE target_share * mix > max_repeats * coalesce(own, 0)",
+    "p9_found": _SPANS + "SELECT DISTINCT doc_id FROM f",
+    "p9_shared": _SPANS + "SELECT doc_id, length(text) AS n_chars, shared_chars, round(shared_chars / length(text), 6) AS shared_share FROM (SELECT doc_id, CAST(sum(least(600, coalesce(n - s, 600))) AS BIGINT) AS shared_chars FROM f GROUP BY doc_id) JOIN documents USING (doc_id)",
     "p6_found": _TOP + "SELECT s1_id, target_id FROM ranked WHERE rank <= 5",
     "p6_top": _TOP + "SELECT s1_id, target_id, retrieval_priority, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5",
 }
