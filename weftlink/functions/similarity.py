@@ -31,7 +31,15 @@ def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, bit-parallel over Python integers."""
     if a == b:
         return len(a)
-    return _subsequence(_places(a), len(a), b) if a and b else 0
+    # What both begin and end with belongs to one of the longest.
+    low, high = 0, min(len(a), len(b))
+    while low < high and a[low] == b[low]:
+        low += 1
+    tail = 0
+    while tail < high - low and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[low : len(a) - tail], b[low : len(b) - tail]
+    return low + tail + (_subsequence(_places(a), len(a), b) if a and b else 0)
 
 
 def ratio(a: str, b: str) -> float:
@@ -49,11 +57,13 @@ def token_set_ratio(a: str, b: str) -> float:
     left, right = (" ".join(filter(None, [both, " ".join(sorted(z))])) for z in (x - y, y - x))
     if both and (x <= y or y <= x):
         return 1.0
-    return max(ratio(left, right), ratio(both, left) if both else 0.0, ratio(both, right) if both else 0.0)
+    # The shared words begin either side, so they are what they have in common with it.
+    begins = max(2 * len(both) / (len(both) + len(x)) for x in (left, right)) if both else 0.0
+    return max(ratio(left, right), begins)
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter text with any stretch of its length in the longer one.
+def partial_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """Best ratio of the shorter text with any stretch of its length in the longer one, or ``least`` if none is above it.
 
     Stretches are tried in the order of the characters they share with the shorter text, counted
     while the stretch slides, until none left can be better.
@@ -77,7 +87,7 @@ def partial_ratio(a: str, b: str) -> float:
                 shared -= wanted[gone] > 0
         if i >= size - 1:
             bounds.append(shared)
-    at, best = _places(short), 0
+    at, best = _places(short), least * size
     for i in sorted(range(len(bounds)), key=bounds.__getitem__, reverse=True):
         if bounds[i] <= best:
             break
@@ -100,7 +110,7 @@ def likenesses(a: str, b: str) -> tuple[float, float, float]:
     if best < 0.95:
         best = max(best, 0.95 * ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))))
     if best < 0.9 and max(len(a), len(b)) > 1.5 * min(len(a), len(b)):
-        best = max(best, 0.9 * partial_ratio(a, b))
+        best = max(best, 0.9 * partial_ratio(a, b, best / 0.9))
     return plain, best, words
 
 

@@ -82,11 +82,13 @@ def candidate_recall(pairs: DataFrame, links: DataFrame) -> DataFrame:
 def _by_score(scored: DataFrame) -> DataFrame:
     """Positives and negatives of each distinct score with running totals from the highest.
 
-    Totals run over ranges of scores: each range sums itself, the few ranges add up what lies
+    Totals run over ranges of about as many scores each: each range sums itself, the few ranges add up what lies
     above them, and rows cumulate within their range, so no task sorts everything.
     """
     n = scored.groupBy("score").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
-    part = n.withColumn("range", F.floor(F.col("score") * 256))
+    ranges = max(64, int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = n.agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)]).alias("b")).first().b or []
+    part = n.withColumn("range", F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))).cast("array<double>"), lambda b: b <= F.col("score"))))
     sums = part.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("m"))
     above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("range", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("m").over(above), F.lit(0)).alias("m0"))
