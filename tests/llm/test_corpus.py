@@ -153,3 +153,23 @@ def test_mixture(spark):
     assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, again.collect()))
     empty, report = mixture(sized(docs.limit(0), vocabulary(), "doc_id", "text", "source", {"lang": F.col("lang")}), targets, ["lang"])
     assert empty.count() == 0 and report.count() == 3
+
+
+def test_every_value_of_a_margin_is_raked_apart(spark, monkeypatch):
+    rows = [(i, "word " * (i % 7 + 1), f"s{i % 2}", f"m{i % 900}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    targets = spark.createDataFrame([("s0", 0.5, 1), ("s1", 0.5, 1)], "source string, target_share double, max_repeats int")
+    sizes = sized(docs, vocabulary(), "doc_id", "text", "source", {"lang": F.col("lang")})
+    drawn, report = mixture(sizes, targets, ["lang"])
+    assert all(abs(r.actual_share - 0.5) < 0.03 for r in report.collect())
+    monkeypatch.setattr("weftlink.llm.mixture.MOST_CELLS", 100)
+    with pytest.raises(ValueError, match="coarser margins"):
+        mixture(sizes, targets, ["lang"])
+
+
+def test_shares_reached_on_the_test_tables(spark):
+    from weftlink.llm.queries import p8_report
+
+    for r in p8_report(spark, "/root/testdata/sf0.01").collect():
+        reach = min(r.wanted_tokens, r.most_tokens)
+        assert abs(r.drawn_tokens - reach) <= 0.25 * reach + 5_000

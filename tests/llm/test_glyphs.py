@@ -58,3 +58,19 @@ def test_copies_of_one_text_cost_no_square(spark):
     rows = [(f"S1-{i}", "Corp" if i else "Сorp", None) for i in range(5000)]
     df = spark.createDataFrame(rows, "entity_id string, business_name string, business_address string")
     assert lookalike_pairs(df, FIELDS, "entity_id").count() == 4999
+
+
+def test_scripts_written_together_are_no_confusables():
+    from weftlink.llm.glyphs import is_confusable, resolved_scripts
+
+    assert not any(map(is_confusable, ("東京タワー", "ー", "カー", "한국", "漢字", "hotel")))
+    assert all(map(is_confusable, ("\u0430bc", "\u13aapple", "Яndex")))
+    assert resolved_scripts("ー") == {"HIRAGANA", "KATAKANA", "JAPANESE"}
+
+
+def test_characters_beyond_the_basic_plane():
+    from weftlink.llm.glyphs import visual_key
+
+    assert visual_key("a\U000e0041b\U000e0100c") == "abc"
+    assert visual_key("\u13aapple \u0261o\u217d") == "Apple goc"
+    assert visual_key("𝕏 é") == "𝕏 é"

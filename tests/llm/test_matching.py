@@ -77,11 +77,11 @@ def test_vectors_draw_shared_contexts_together():
 
 def test_contradictions_are_refused():
     a = ("kalu misrak", "bakery", "ltd", "12", "mirnikot", "road", "jiviford", "34685")
-    assert g.pair_features(a, a, 0, 0) is not None
+    assert g.pair_features(a, a) is not None
     for k, other in ((3, "13"), (5, "street"), (1, "plumbing"), (0, "tenmar vasdikor"), (4, "kolvasdir")):
-        assert g.pair_features(a, (*a[:k], other, *a[k + 1 :]), 0, 0) is None
+        assert g.pair_features(a, (*a[:k], other, *a[k + 1 :])) is None
     none = ("", "", "", "", "", "", "", "")
-    assert g.pair_features(none, none, 0, 0) is None
+    assert g.pair_features(none, none) is None
 
 
 @pytest.mark.parametrize("name", [None, "", "x" * 50_000])
