@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftlink.functions.similarity import likenesses_udf
 from weftlink.functions.text import digit_jaccard, length_ratio
+from weftlink.session import spread
 
 FUZZY = ("name_ratio", "name_wratio", "name_token_set", "address_ratio", "address_wratio", "address_token_set")
 VECTOR = ("name_cos", "address_cos", "combined_cos", "best_cos", "combined_minus_name", "combined_minus_address", "name_times_address")
@@ -49,7 +50,7 @@ def builtin_features(pairs: DataFrame) -> DataFrame:
 def fuzzy_features(pairs: DataFrame) -> DataFrame:
     """Plain, weighted and word-set ratios; a missing address zeroes the address ones."""
     missing = (F.col("s1_address") == "") | (F.col("target_address") == "")
-    out = pairs.withColumn("_f", likenesses_udf("s1_name", "target_name", "s1_address", "target_address"))
+    out = spread(pairs).withColumn("_f", likenesses_udf("s1_name", "target_name", "s1_address", "target_address"))
     value = lambda c: F.when(missing, 0.0).otherwise(F.col(f"_f.{c}")) if c.startswith("address") else F.col(f"_f.{c}")
     return out.withColumns({c: value(c) for c in FUZZY}).drop("_f")
 

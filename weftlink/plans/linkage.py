@@ -11,7 +11,7 @@ from weftlink.functions.text import AFFIX_ROUTES, GRAM_ROUTES, ROUTES, THRESHOLD
 from weftlink.operators import blocking, evaluation, features, metrics, output, pairs, vectors
 from weftlink.operators.model import feature_importance, fit_matcher, score_pairs
 from weftlink.sources.readers import latest_entities, normalized_source, truth_links
-from weftlink.session import cut, kept
+from weftlink.session import cut, kept, spread
 from weftlink.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,11 +32,11 @@ def query(sql: str | None = None):
 
 
 def s1(spark: SparkSession, d: str) -> DataFrame:
-    return normalized_source(latest_entities(table(spark, d, "train_source1")), 1, with_split=True)
+    return normalized_source(spread(latest_entities(table(spark, d, "train_source1"))), 1, with_split=True)
 
 
 def targets(spark: SparkSession, d: str) -> DataFrame:
-    two, three = (normalized_source(latest_entities(table(spark, d, f"train_source{n}")), n) for n in (2, 3))
+    two, three = (normalized_source(spread(latest_entities(table(spark, d, f"train_source{n}"))), n) for n in (2, 3))
     return two.unionByName(three)
 
 

@@ -61,6 +61,16 @@ def _remove_kept() -> None:
             return
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores.
+
+    For rows on which the next step spends far more time a byte than adaptive execution assumes
+    when it joins small partitions into few.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def release(spark: SparkSession) -> None:
     """Removes the kept tables of finished queries of a session; what still reads them must be over."""
     rest = [x for x in _KEPT if x[0] is not spark]
