@@ -268,3 +268,62 @@ def test_arriving_records_match(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_search_meets_a_database_piece_by_piece(spark, monkeypatch):
+    """Small parts, tiles and Arrow batches, ties and NULLs give what all pairs give, and no task needs its queries beside the whole database."""
+    import random
+
+    import numpy as np
+
+    for name, value in (("QUERY_BYTES", 3 * 8 * 7), ("POINT_ROWS", 16), ("FIRST_POINTS", 4), ("TILE_ROWS", 3)):
+        monkeypatch.setattr(vectors, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        rng = random.Random(5)
+        rows = [(f"{s}-{i}", rng.choice("AB"), s, [float(rng.randint(-2, 2)) for _ in range(3)]) for s in ("S1", "S2") for i in range(150)] + [("S2-x", "A", "S2", None), ("S1-y", None, "S1", [1.0, 1.0, 1.0])]
+        df = spark.createDataFrame(rows, "id string, country string, source string, vec array<float>")
+        got = vectors.targets_to_s1(df.where("source = 'S2'"), df.where("source = 'S1'"), 6).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = set()
+    for i, c, s, v in rows:
+        if s == "S2" and v:
+            best = sorted((-float(np.dot(v, w)), j) for j, e, z, w in rows if z == "S1" and e == c)[:6]
+            want |= {(i, "S2", j, c, -p + 0.0, k) for k, (p, j) in enumerate(best, 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_search_memory_does_not_grow_with_the_database():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    found = vectors._Nearest(rng.normal(size=(2000, 64)), 20)
+    points, ids = rng.normal(size=(40_000, 64)), np.array([f"{i:06d}" for i in range(40_000)], dtype=object)
+    tracemalloc.start()
+    found.meet(ids, points)
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+    best = np.argsort(-np.round(found.vecs[:50] @ points.T, 9), axis=1, kind="stable")[:, :20]
+    assert (found.ids[:50] == ids[best]).all()
+
+
+def test_products_beyond_single_precision(spark):
+    """Large, missing and unlike vectors keep their ranks."""
+    import numpy as np
+
+    found = vectors._Nearest(np.array([[1e25, 0.0], [1.0, 1.0]]), 2)
+    found.meet(np.array(["a", "b", "c"], dtype=object), np.array([[1e25, 1.0], [2e25, 1.0], [np.nan, 0.0]]))
+    assert found.ids.tolist() == [["c", "b"], ["c", "b"]]
+
+
+def test_vectors_of_many_texts_are_those_of_each():
+    import numpy as np
+
+    texts = ["", None, "a", "acme shop", "दुकान", "\ud800x", "acme shop"]
+    many = vectors.text_vectors(texts)
+    assert many.shape == (7, 64) and (many == np.concatenate([vectors.text_vectors([t]) for t in texts])).all()
+    assert not many[:2].any() or np.allclose(np.linalg.norm(many[2:], axis=1), 1)
+    assert (many[3] == many[6]).all()

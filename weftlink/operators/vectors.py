@@ -7,17 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of database vectors that one block of the exact search holds.
-BLOCK_BYTES = 32 << 20
+#: Bytes of the queries' vectors that one task of the exact search holds.
+QUERY_BYTES = 16 << 20
+#: Points that are met at once, those met before any threshold is known, and queries of one product.
+POINT_ROWS, FIRST_POINTS, TILE_ROWS = 2_048, 256, 512
 #: Vectors of a country on which centroids are fitted, and rounds of it.
 FIT_VECTORS = 8_192
 FIT_ROUNDS = 10
-#: Queries that one block meets at once.
-QUERY_ROWS = 20_000
 #: Bytes of centroids that are sent to every worker; more are joined.
 CENTROID_BYTES = 64 << 20
 
@@ -33,51 +34,143 @@ def _rounded_top(pairs: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFram
     return pairs.withColumn("ann_rank", F.row_number().over(order)).where(F.col("ann_rank") <= k)
 
 
-def _blocked_top_k(queries: DataFrame, database: DataFrame, groups: list[str], k: int) -> DataFrame:
-    """Best ``k`` products of each query (s1_id, vec) within its group of the database (target_id, vec), with the group's text columns.
+class _Nearest:
+    """Running best ``k`` of a block of queries over points that come in the order of their ids.
 
-    Each group of the database is cut into blocks and its queries into parts of bounded size; each
-    block meets each part in a task of its own as matrix products, which keep the best ``k`` of a
-    query, so k rows a query and block are shuffled and not one a pair.
+    Products are taken in single precision where that is safe, and only those that may enter the best
+    ``k`` again in double precision. Of equal products the id that came first stays.
+    """
+
+    def __init__(self, vecs: np.ndarray, k: int) -> None:
+        self.vecs, self.narrow, self.k, self.seen = vecs, vecs.astype(np.float32), k, 0
+        self.norms = np.linalg.norm(vecs, axis=1)
+        self.scores = np.full((len(vecs), k), -np.inf)
+        self.ids = np.full((len(vecs), k), None, dtype=object)
+
+    def meet(self, ids: np.ndarray, points: np.ndarray) -> None:
+        low = 0
+        while low < len(ids):  # few points at first, until the best k tell what may be left out
+            high = min(len(ids), low + max(FIRST_POINTS, min(self.seen, POINT_ROWS)))
+            self._meet(ids[low:high], points[low:high])
+            self.seen += high - low
+            low = high
+
+    def _meet(self, ids: np.ndarray, points: np.ndarray) -> None:
+        longest = float(np.linalg.norm(points, axis=1).max())
+        safe = longest * float(self.norms.max()) < 1e30 and longest < 1e30 and self.norms.max() < 1e30
+        other = np.ascontiguousarray((points.astype(np.float32) if safe else points).T)
+        for low in range(0, len(self.vecs), TILE_ROWS):
+            tile = slice(low, low + TILE_ROWS)
+            least = self.scores[tile, -1] - 1e-8
+            if safe:  # single precision errs by less than this
+                least = (least - self.norms[tile] * longest * 3e-7 * max(8, points.shape[1] / 4)).astype(np.float32)
+            out = (self.narrow if safe else self.vecs)[tile] @ other
+            some = np.flatnonzero(~(out.max(axis=1) < least))
+            if not len(some):
+                continue
+            at = np.flatnonzero(~(out[some] < least[some, None]))
+            row, col = np.divmod(at, len(ids))
+            row = some[row]
+            mine = self.vecs[tile]
+            exact = (mine @ points.T)[row, col] if len(at) * 32 > out.size else np.einsum("ij,ij->i", mine[row], points[col])
+            exact = np.round(exact, 9) + 0.0
+            exact[np.isnan(exact)] = np.inf  # first, as in ORDER BY ... DESC
+            better = exact > self.scores[tile, -1][row]
+            if better.any():
+                self._keep(low, row[better], ids[col[better]], exact[better])
+
+    def _keep(self, low: int, row: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        rows, own = np.unique(row, return_inverse=True)
+        at = rows + low
+        group = np.concatenate([np.repeat(np.arange(len(rows)), self.k), own])
+        scores, ids = np.concatenate([self.scores[at].ravel(), scores]), np.concatenate([self.ids[at].ravel(), ids])
+        order = np.lexsort((-scores, group))
+        size = np.bincount(group)
+        best = order[(np.cumsum(size) - size)[:, None] + np.arange(self.k)]
+        self.scores[at], self.ids[at] = scores[best], ids[best]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors as they are, texts as :func:`text_vectors`."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return text_vectors(column.to_pylist())
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[int, int]]:
+    change = np.zeros(max(0, batch.num_rows - 1), dtype=bool)
+    for c in keys:
+        x = batch.column(c)
+        change |= pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False)
+    edges = [0, *(np.flatnonzero(change) + 1), batch.num_rows]
+    return zip(edges[:-1], edges[1:])
+
+
+def _top_k(queries: DataFrame, database: DataFrame, groups: list[str], k: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Best ``k`` products of each query (s1_id, vec) within its group of the database (target_id, vec), with the group's text columns and the query's ``carry``.
+
+    The queries of a group are cut into parts of bounded size. Each part meets the whole database
+    of its group, which comes sorted by id in Arrow batches beside it: a task holds one part and its best ``k``
+    and some thousand points, however large the database is, and only results leave it, with their ``ann_rank``.
+    ``vec`` may be a text, too, which is shorter to send than the vector that :func:`text_vectors` makes of it.
     """
-    width = database.select(F.size("vec").alias("n")).where("n > 0").limit(1).collect()
-    rows = max(1, BLOCK_BYTES // (8 * (width[0].n if width else 1)))
     base, asked = (df.where(" AND ".join(f"{c} IS NOT NULL" for c in (*groups, "vec"))) for df in (database, queries))
-    blocks = base.groupBy(*groups).agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks"))
-    shares = asked.groupBy(*groups).agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("shares"))
-    grid = blocks.join(shares, groups)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    packed = base.join(grid, groups).withColumn("block", F.pmod(F.xxhash64("target_id"), F.col("blocks")).cast("int"))
-    packed = packed.groupBy(*groups, "block", "shares").agg(F.collect_list(F.struct("target_id", "vec")).alias("items")).withColumn("share", each("shares")).drop("shares")
-    salted = asked.join(grid, groups).withColumn("share", F.pmod(F.xxhash64("s1_id"), F.col("shares")).cast("int")).withColumn("block", each("blocks"))
-    # Under other names, as both sides may come from one table.
-    salted = salted.select("s1_id", "vec", *(F.col(c).alias(f"_{c}") for c in (*groups, "block", "share")))
+    kinds = [df.schema["vec"].dataType for df in (database, queries)]
+    kind = kinds[0] if kinds[0] == kinds[1] else T.ArrayType(T.DoubleType())
+    width = [] if isinstance(kind, T.StringType) else database.select(F.size("vec").alias("n")).where("n > 0").limit(1).collect()
+    rows = max(1, QUERY_BYTES // (8 * (width[0].n if width else TEXT_DIMENSIONS)))
+    counts = asked.groupBy(*groups).agg(F.count("*").alias("_n"))
+    # A group with many of all queries is cut further, so that all cores have a part of it.
+    even = F.col("_n") / F.col("_all") * (4 * database.sparkSession.sparkContext.defaultParallelism)
+    shares = F.broadcast(counts.crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_all")))).select(*groups, F.ceil(F.greatest(F.col("_n") / rows, even)).cast("int").alias("_shares")))
+    keys = [*groups, "_share"]
+    nothing = [F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in carry]
+    points = base.join(shares, groups).select(*groups, F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"), F.lit(1).alias("_side"), F.col("target_id").alias("_id"), *nothing, F.col("vec").cast(kind))
+    salted = asked.join(shares, groups).select(*groups, F.pmod(F.xxhash64("s1_id"), F.col("_shares")).cast("int").alias("_share"), F.lit(0).alias("_side"), F.col("s1_id").alias("_id"), *carry, F.col("vec").cast(kind))
     shown = [c for c in groups if c != "cell"]
-    schema = f"s1_id string, target_id string, {', '.join(f'{c} string' for c in shown)}, ann_score double"
-    place = [groups.index(c) for c in shown]
-
-    def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({c: pd.Series(dtype="float64" if c == "ann_score" else "object") for c in ("s1_id", "target_id", *shown, "ann_score")})
-        items = right["items"].iloc[0]
-        ids = np.array([x["target_id"] for x in items], dtype=object)
-        order = np.argsort(ids)
-        ids, points = ids[order], np.array([x["vec"] for x in items], dtype=np.float64)[order]
-        out = []
-        for low in range(0, len(left), 1024):
-            part = left.iloc[low : low + 1024]
-            scores = np.round(np.array(part["vec"].tolist(), dtype=np.float64) @ points.T, 9) + 0.0
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"s1_id": np.repeat(part["s1_id"].to_numpy(), best.shape[1]), "target_id": ids[best].ravel(), **{c: key[i] for c, i in zip(shown, place)}, "ann_score": np.take_along_axis(scores, best, axis=1).ravel()}))
-        return pd.concat(out)
-
-    by = [*groups, "block", "share"]
-    return salted.groupBy(*(f"_{c}" for c in by)).cogroup(packed.groupBy(*by)).applyInPandas(search, schema)
+    schema = T.StructType([T.StructField("s1_id", T.StringType()), T.StructField("target_id", T.StringType()), *(queries.schema[c] for c in (*shown, *carry)), T.StructField("ann_score", T.DoubleType()), T.StructField("ann_rank", T.IntegerType())])
+
+    def results(asked_: list[pa.RecordBatch], found: _Nearest) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(asked_)
+        for low in range(0, table.num_rows, 2048):
+            part = slice(low, low + 2048)
+            there = found.scores[part] > -np.inf
+            row, rank = np.nonzero(there)
+            own = {c: table.column(c).slice(low, 2048).take(pa.array(row)).combine_chunks() for c in table.column_names}
+            made = [own["_id"], pa.array(found.ids[part][there], pa.string()), *(own[c] for c in (*shown, *carry)), pa.array(found.scores[part][there]), pa.array((rank + 1).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(made, names=schema.names)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, mine, found = None, [], None
+        for batch in batches:
+            for low, high in _runs(batch, [*keys, "_side"]) if batch.num_rows else ():
+                run = batch.slice(low, high - low)
+                here = tuple(run.column(c)[0].as_py() for c in keys)
+                if here != key:
+                    if found is not None:
+                        yield from results(mine, found)
+                    key, mine, found = here, [], None
+                if run.column("_side")[0].as_py() == 0:
+                    mine.append(run)
+                elif mine:
+                    if found is None:
+                        found = _Nearest(np.concatenate([_matrix(x.column("vec")) for x in mine]), k)
+                        mine = [x.select(["_id", *shown, *carry]) for x in mine]
+                    found.meet(np.array(run.column("_id").to_pylist(), dtype=object), _matrix(run.column("vec")))
+        if found is not None:
+            yield from results(mine, found)
+
+    met = points.unionByName(salted).repartition(_tasks(database.sparkSession), *keys).sortWithinPartitions(*keys, "_side", "_id")
+    return met.mapInArrow(search, schema)
+
+
+def _tasks(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _asked(queries: DataFrame, database: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """A row a query and source that the database has in its country."""
-    sources = database.select("country", "source", *by).distinct()
+    sources = F.broadcast(database.select("country", "source", *by).distinct())
     return queries.select(F.col("id").alias("s1_id"), "country", *by, "vec").join(sources, ["country", *by])
 
 
@@ -89,7 +182,7 @@ def exact_top_k(queries: DataFrame, database: DataFrame, k: int, by: tuple[str,
     places and ties go by target id.
     """
     base = database.select(F.col("id").alias("target_id"), "country", "source", *by, "vec")
-    return _rounded_top(_blocked_top_k(_asked(queries, database, by), base, ["country", "source", *by], k), k, by)
+    return _rounded_top(_top_k(_asked(queries, database, by), base, ["country", "source", *by], k), k, by)
 
 
 def centroids(database: DataFrame, lists: int) -> DataFrame:
@@ -157,46 +250,59 @@ def _cells(points: DataFrame, cells: DataFrame, probes: int) -> DataFrame:
 def inverted_top_k(queries: DataFrame, database: DataFrame, cells: DataFrame, k: int, probes: int) -> DataFrame:
     """As :func:`exact_top_k` over the ``probes`` lists nearest to each query, of each source apart."""
     base = database.select(F.col("id").alias("target_id"), "country", "source", "vec")
-    met = _blocked_top_k(_cells(_asked(queries, database), cells, probes), _cells(base, cells, 1), ["country", "source", "cell"], k)
+    met = _top_k(_cells(_asked(queries, database), cells, probes), _cells(base, cells, 1), ["country", "source", "cell"], k)
     return _rounded_top(met, k)
 
 
 def targets_to_s1(queries: DataFrame, s1: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """The other direction: the ``k`` S1 records nearest to each target, (target_id, source, s1_id, country, ``by``, ann_score, ann_rank).
 
-    ``queries`` are targets with id, source, country, vec; S1 records are the database.
+    ``queries`` are targets with id, source, country, vec, a row each (and value of ``by``); S1 records are the database.
+    Both may have texts as ``vec``.
     """
-    found = exact_top_k(queries.select("id", "country", *by, "vec"), s1.withColumn("source", F.lit("S1")), k, by)
-    found = found.select(F.col("s1_id").alias("target_id"), F.col("target_id").alias("s1_id"), "country", *by, "ann_score", "ann_rank")
-    own = queries.select(F.col("id").alias("target_id"), "source").distinct()
-    return found.join(own, "target_id").select("target_id", "source", "s1_id", "country", *by, "ann_score", "ann_rank")
+    base = s1.select(F.col("id").alias("target_id"), "country", *by, "vec")
+    asked = queries.select(F.col("id").alias("s1_id"), "source", "country", *by, "vec")
+    found = _top_k(asked, base, ["country", *by], k, ("source",))
+    return found.select(F.col("s1_id").alias("target_id"), "source", F.col("target_id").alias("s1_id"), "country", *by, "ann_score", "ann_rank")
 
 
 #: Dimensions of the vectors of texts.
 TEXT_DIMENSIONS = 64
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def hashed_text_vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unit vectors of hashed letter triples: an encoder that needs no model file.
+def text_vectors(texts: list[str | None]) -> np.ndarray:
+    """Unit vectors of hashed letter triples, a row a text: an encoder that needs no model file.
 
     Each triple of code points x, y, z of the text between blanks has the number 961 x + 31 y + z;
     its last six bits are the dimension and the bit above them the sign. Texts without any have zeros.
     """
+    padded = [f" {t or ''} " for t in texts]
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(padded)), np.fromiter(map(len, padded), dtype=np.int64, count=len(padded)))
+    number = points[:-2] * 961 + points[1:-1] * 31 + points[2:]
+    within = row[:-2] == row[2:]
+    number, row = number[within], row[:-2][within]
+    sign = 1.0 - 2 * (number >> 6 & 1)
+    v = np.bincount(row * TEXT_DIMENSIONS + (number & TEXT_DIMENSIONS - 1), sign, len(padded) * TEXT_DIMENSIONS).astype(np.float64).reshape(-1, TEXT_DIMENSIONS)
+    n = np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+    return np.divide(v, n, out=v, where=n > 0)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def hashed_text_vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """:func:`text_vectors` of a column."""
     for part in parts:
-        out = []
-        for text in part:
-            points = np.frombuffer(f" {text or ''} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-            number = points[:-2] * 961 + points[1:-1] * 31 + points[2:]
-            v = np.bincount(number % TEXT_DIMENSIONS, 1.0 - 2 * (number // TEXT_DIMENSIONS % 2), TEXT_DIMENSIONS)
-            n = float(np.sqrt(v @ v))
-            out.append(v / n if n else v)
-        yield pd.Series(out)
+        yield pd.Series(list(text_vectors(part.tolist())), dtype=object)
 
 
-def view_vectors(entities: DataFrame, views: tuple[str, ...] = ("name", "address", "combined")) -> DataFrame:
-    """(id, source, country, view, vec): a vector of each normalised record and view of it that has a text."""
+def view_texts(entities: DataFrame, views: tuple[str, ...] = ("name", "address", "combined")) -> DataFrame:
+    """(id, source, country, view, text): each view of each normalised record that has a text."""
     text = {"name": F.col("name_norm"), "address": F.col("address_norm"), "combined": F.concat_ws(" ", "name_norm", "address_norm")}
     each = F.explode(F.array(*(F.struct(F.lit(v).alias("view"), text[v].alias("text")) for v in views))).alias("x")
     rows = entities.select(F.col("entity_id").alias("id"), "source", "country", each).where("trim(x.text) <> ''")
-    return rows.select("id", "source", "country", "x.view", hashed_text_vectors("x.text").alias("vec"))
+    return rows.select("id", "source", "country", "x.view", "x.text")
+
+
+def view_vectors(entities: DataFrame, views: tuple[str, ...] = ("name", "address", "combined")) -> DataFrame:
+    """(id, source, country, view, vec): a vector of each text of :func:`view_texts`."""
+    return view_texts(entities, views).withColumn("vec", hashed_text_vectors("text")).drop("text")

@@ -540,9 +540,9 @@ def text_view_vectors(spark, d):
 
 def _text_neighbours(spark, d):
     """S1 records nearest to each labelled target by each view of its text."""
-    a, b = _normalized(spark, d)
-    few = b.join(links(spark, d).select(F.col("target_id").alias("entity_id")).distinct(), "entity_id", "left_semi")
-    base, asked = cut(vectors.view_vectors(a)), cut(vectors.view_vectors(few))
+    cols = ["entity_id", "source", "country", "name_norm", "address_norm"]
+    few = targets(spark, d).select(cols).join(links(spark, d).select(F.col("target_id").alias("entity_id")).distinct(), "entity_id", "left_semi")
+    base, asked = (vectors.view_texts(df).withColumnRenamed("text", "vec") for df in (kept(s1(spark, d).select(cols)), kept(few)))
     return vectors.targets_to_s1(asked, base, max(_KS), ("view",)).withColumnRenamed("view", "ann_view")
 
 
