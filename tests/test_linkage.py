@@ -327,3 +327,25 @@ def test_vectors_of_many_texts_are_those_of_each():
     assert many.shape == (7, 64) and (many == np.concatenate([vectors.text_vectors([t]) for t in texts])).all()
     assert not many[:2].any() or np.allclose(np.linalg.norm(many[2:], axis=1), 1)
     assert (many[3] == many[6]).all()
+
+
+def test_totals_count_each_pair_once_and_targets_that_have_any(spark):
+    from weftlink.operators import evaluation
+
+    found = spark.createDataFrame([("S2", "t1", "a", 4), ("S2", "t1", "a", 2), ("S2", "t1", "b", 1), ("S2", "t2", "a", 3), ("S3", "t3", "c", 9)], "source string, target_id string, s1_id string, r int")
+    known = spark.createDataFrame([("a", "t1", "S2", "US"), ("c", "t2", "S2", "US"), ("c", "t3", "S3", None)], "s1_id string, target_id string, source string, country string")
+    got = {(x.source, x.k): (x.links, x.retrieved, x.pairs, x.mean_candidates, x.uncut_recall) for x in evaluation.recall_totals(found, known, (1, 3), "r").collect()}
+    assert got == {("S2", 1): (2, 0, 1, 1.0, 0.5), ("S2", 3): (2, 1, 3, 1.5, 0.5), ("S3", 1): (1, 0, 0, 0.0, 1.0), ("S3", 3): (1, 0, 0, 0.0, 1.0)}
+    assert sorted(map(tuple, evaluation.link_ranks(found, known).select("target_id", "s1_id", "r").collect())) == [("t1", "a", 2), ("t1", "a", 4), ("t3", "c", 9)]
+
+
+def test_reports_of_neighbours_keep_no_vectors(spark, monkeypatch):
+    """What ann_recall_at_k and ann_recall_totals keep between their steps has texts or ranks, and no uncompressed checkpoint is made."""
+    from weftlink.plans import linkage
+
+    seen, real = [], linkage.kept
+    monkeypatch.setattr(linkage, "kept", lambda df: seen.append(df.columns) or real(df))
+    monkeypatch.setattr(linkage, "cut", lambda df: (_ for _ in ()).throw(AssertionError("checkpoint")))
+    for name in ("ann_recall_at_k", "ann_recall_totals"):
+        assert linkage.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert seen and not any({"ann_score", "name_compact"} & set(c) for c in seen)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink.functions.text import AFFIX_ROUTES, GRAM_ROUTES, THRESHOLDS, TOKEN_ROUTES
+from weftlink.session import kept
 
 
 def thresholds_frame(df: DataFrame, values: Sequence[float], name: str) -> DataFrame:
@@ -77,8 +78,13 @@ def qgram_recall_table(labelled: DataFrame, minima: DataFrame, baseline: int = 1
     return out.withColumns({f"{n}_recall": F.round(F.col(f"{n}_links") / F.col("links"), 6) for n in ("baseline", "combined")})
 
 
+def link_ranks(candidates: DataFrame, links: DataFrame) -> DataFrame:
+    """The candidates that are known links: few rows, kept where several reports read them."""
+    return candidates.join(links.select("s1_id", "target_id").distinct(), ["target_id", "s1_id"], "left_semi")
+
+
 def _best_ranks(candidates: DataFrame, links: DataFrame, rank: str) -> DataFrame:
-    best = candidates.groupBy("s1_id", "target_id").agg(F.min(rank).alias("r"))
+    best = link_ranks(candidates, links).groupBy("s1_id", "target_id").agg(F.min(rank).alias("r"))
     return links.select("s1_id", "target_id", "source", "country").join(best, ["s1_id", "target_id"], "left")
 
 
@@ -91,12 +97,17 @@ def recall_at(candidates: DataFrame, links: DataFrame, ks: Sequence[int], rank:
 
 def recall_totals(candidates: DataFrame, links: DataFrame, ks: Sequence[int], rank: str) -> DataFrame:
     """As :func:`recall_at` over all countries of a source, with the pairs, their mean a target that has any, and the recall of all candidates uncut."""
-    frame = thresholds_frame(links, ks, "k")
-    base = _best_ranks(candidates, links, rank).crossJoin(frame)
+    # The candidates are shuffled once, by target; what a target keeps is its counts and the ranks of its links.
+    best = candidates.select("source", "target_id", "s1_id", rank).repartition("target_id").groupBy("source", "target_id", "s1_id").agg(F.min(rank).alias("r"))
+    known = links.groupBy("target_id").agg(F.collect_set("s1_id").alias("_known"))
+    hit = F.when(F.array_contains("_known", F.col("s1_id")), F.struct("s1_id", "r"))
+    a_target = kept(best.join(known, "target_id", "left").groupBy("source", "target_id").agg(F.collect_list(hit).alias("hits"), *(F.count_if(F.col("r") <= k).alias(f"n{k}") for k in ks)))
+    hits = a_target.select("target_id", F.inline("hits"))
+    base = _best_ranks(hits, links, "r").crossJoin(thresholds_frame(links, ks, "k"))
     out = base.groupBy("source", "k").agg(F.count("*").alias("links"), F.count_if(F.col("r") <= F.col("k")).alias("retrieved"), F.count("r").alias("uncut"))
-    best = candidates.groupBy("source", "s1_id", "target_id").agg(F.min(rank).alias("r"))
-    a_target = best.join(frame, F.col("r") <= F.col("k")).groupBy("source", "k", "target_id").agg(F.count("*").alias("n"))
-    pairs = a_target.groupBy("source", "k").agg(F.sum("n").alias("pairs"), F.round(F.avg("n"), 6).alias("mean_candidates"))
+    sums = a_target.groupBy("source").agg(*(F.struct(F.sum(f"n{k}").alias("pairs"), F.count_if(F.col(f"n{k}") > 0).alias("targets")).alias(f"n{k}") for k in ks))
+    each = sums.select("source", F.explode(F.array(*(F.struct(F.lit(k).cast("bigint").alias("k"), F.col(f"n{k}.pairs"), F.col(f"n{k}.targets")) for k in ks))).alias("x")).select("source", "x.*").where("targets > 0")
+    pairs = each.select("source", "k", "pairs", F.round(F.col("pairs") / F.col("targets"), 6).alias("mean_candidates"))
     share = lambda c: F.round(F.col(c) / F.col("links"), 6)
     out = out.join(pairs, ["source", "k"], "left").fillna(0, ["pairs", "mean_candidates"])
     return out.select("source", "k", "links", "retrieved", share("retrieved").alias("recall"), "pairs", "mean_candidates", share("uncut").alias("uncut_recall"))
@@ -110,7 +121,7 @@ def count_distribution(candidates: DataFrame, by: str) -> DataFrame:
 
 def marginal_over(links: DataFrame, classical: DataFrame, ann: DataFrame, ks: Sequence[int], rank: str) -> DataFrame:
     """Known links by the classical route, by the first k neighbours, by both, by these alone and by either, for each source."""
-    c = classical.select("s1_id", "target_id").distinct().withColumn("c", F.lit(True))
+    c = link_ranks(classical, links).select("s1_id", "target_id").distinct().withColumn("c", F.lit(True))
     base = _best_ranks(ann, links, rank).join(c, ["s1_id", "target_id"], "left").crossJoin(thresholds_frame(links, ks, "k"))
     by_c, by_a = F.coalesce("c", F.lit(False)), F.coalesce(F.col("r") <= F.col("k"), F.lit(False))
     counts = {"classical": by_c, "ann": by_a, "both": by_a & by_c, "marginal": by_a & ~by_c, "either": by_a | by_c}

@@ -559,14 +559,15 @@ def ann_targets_to_s1(spark, d):
 @query(_TEXT_ANN + " UNION ALL ".join(f"SELECT '{v}' AS ann_view, * FROM ({_recall_at_sql(x, 'ann_rank')})" for v, x in _ANN_VIEWS.items()))
 def ann_recall_at_k(spark, d):
     """Known links among the first k neighbours of each view, and of all views together."""
-    found, known = cut(_text_neighbours(spark, d)), known_links(spark, d)
+    known = kept(known_links(spark, d))
+    found = kept(evaluation.link_ranks(_text_neighbours(spark, d).select("target_id", "s1_id", "ann_view", "ann_rank"), known))
     parts = [evaluation.recall_at(found if v == "union" else found.where(F.col("ann_view") == v), known, _KS, "ann_rank").withColumn("ann_view", F.lit(v)) for v in _ANN_VIEWS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query(_TEXT_ANN + _totals_sql("ann", "ann_rank"))
 def ann_recall_totals(spark, d):
-    return evaluation.recall_totals(cut(_text_neighbours(spark, d)), known_links(spark, d), _KS, "ann_rank")
+    return evaluation.recall_totals(_text_neighbours(spark, d), kept(known_links(spark, d)), _KS, "ann_rank")
 
 
 @query(
