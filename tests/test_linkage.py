@@ -349,3 +349,14 @@ def test_reports_of_neighbours_keep_no_vectors(spark, monkeypatch):
     for name in ("ann_recall_at_k", "ann_recall_totals"):
         assert linkage.QUERIES[name](spark, "/root/testdata/sf0.001").count()
     assert seen and not any({"ann_score", "name_compact"} & set(c) for c in seen)
+
+
+def test_pairs_are_shuffled_once(spark):
+    """Aggregating and ranking pairs share one shuffle, by the id that they are ranked by."""
+    a, b = sides(spark)
+    wanted = b.select(F.col("entity_id").alias("target_id"))
+    plans = {"s1_id": blocking.classical_candidates(a, b), "target_id": blocking.ranked(blocking.target_evidence(a, b, wanted), ["target_id"], "s1_id", None, "rank")}
+    for by, df in plans.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert sum(f"Exchange hashpartitioning({c}_id#" in x for x in plan.splitlines() for c in ("s1", "target")) == 1, plan
+        assert df.count() == 4, by

@@ -71,10 +71,16 @@ def route_scores(s1_keys: DataFrame, index: DataFrame, flat_exact: float | None
     return met.select("s1_id", "target_id", "source", "country", "route", "key", F.round(score * UNIT).cast("bigint").alias("route_score"), df.alias("s1_df"))
 
 
-def aggregate_evidence(scores: DataFrame) -> DataFrame:
-    """Evidence, routes, shared keys and rarest key of each pair; one aggregate, as routes are counted as bits."""
+def aggregate_evidence(scores: DataFrame, by: str | None = None) -> DataFrame:
+    """Evidence, routes, shared keys and rarest key of each pair; one aggregate, as routes are counted as bits.
+
+    With ``by``, the id that pairs are then ranked by, the scores are shuffled by it once for both steps. Pairs
+    meet by few keys, which lie in different tasks, so sums before that shuffle would save next to nothing.
+    """
     bit = F.create_map(*(F.lit(x) for i, r in enumerate(ROUTES) for x in (r, 1 << i)))[F.col("route")]
-    return scores.groupBy("s1_id", "target_id", "source", "country").agg((F.sum("route_score") / UNIT).alias("classical_evidence"), F.bit_count(F.bit_or(bit)).cast("bigint").alias("classical_route_count"), F.count("*").alias("classical_shared_keys"), F.min("s1_df").alias("classical_best_df"))
+    rows = scores.select("s1_id", "target_id", "source", "country", "route_score", bit.alias("bit"), F.col("s1_df"))
+    rows = rows.repartition(by) if by else rows
+    return rows.groupBy("s1_id", "target_id", "source", "country").agg((F.sum("route_score") / UNIT).alias("classical_evidence"), F.bit_count(F.bit_or("bit")).cast("bigint").alias("classical_route_count"), F.count("*").alias("classical_shared_keys"), F.min("s1_df").alias("classical_best_df"))
 
 
 RANK_ORDER = (F.desc, "classical_evidence"), (F.desc, "classical_route_count"), (F.desc, "classical_shared_keys"), (F.asc, "classical_best_df")
@@ -90,7 +96,7 @@ def ranked(pairs: DataFrame, by: list[str], tie: str, k: int | None, name: str =
 def classical_candidates(s1: DataFrame, targets: DataFrame, k: int = 30) -> DataFrame:
     """All routes in one join on (route, country, key), then the best ``k`` targets of each S1 record and source."""
     s1_keys, target_keys = exploded_keys(s1), exploded_keys(targets)
-    pairs = aggregate_evidence(route_scores(s1_keys, blocking_index(s1_keys, target_keys)))
+    pairs = aggregate_evidence(route_scores(s1_keys, blocking_index(s1_keys, target_keys)), "s1_id")
     return ranked(pairs, ["s1_id", "source"], "target_id", k)
 
 
@@ -106,7 +112,7 @@ def target_evidence(s1: DataFrame, targets: DataFrame, wanted: DataFrame) -> Dat
     reached = s1_keys.join(keys.select(*KEY).distinct(), KEY, "left_semi")
     frequency = document_frequency(reached, "s1_df").where(exact | (F.col("s1_df") <= _by_route(1)))
     index = keys.join(frequency, KEY).withColumnRenamed("id", "target_id")
-    return aggregate_evidence(route_scores(reached, index, flat_exact=5.0))
+    return aggregate_evidence(route_scores(reached, index, flat_exact=5.0), "target_id")
 
 
 #: Exact keys: the plain forms keep marks, the folded ones do not.

@@ -241,7 +241,7 @@ def truth_link_rows(spark, d):
 def _normalized(spark, d):
     """S1 and target records with their texts normalised once, for plans that explode them several times."""
     cols = ["entity_id", "source", "country", "name_norm", "address_norm", "name_compact", "address_compact"]
-    return cut(s1(spark, d).select(cols)), cut(targets(spark, d).select(cols))
+    return kept(s1(spark, d).select(cols)), kept(targets(spark, d).select(cols))
 
 
 def _keys(spark, d, routes=tuple(ROUTES)):
