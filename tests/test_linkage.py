@@ -360,3 +360,11 @@ def test_pairs_are_shuffled_once(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert sum(f"Exchange hashpartitioning({c}_id#" in x for x in plan.splitlines() for c in ("s1", "target")) == 1, plan
         assert df.count() == 4, by
+
+
+def test_marginal_report_makes_no_checkpoint(spark, monkeypatch):
+    from weftlink.plans import linkage
+
+    monkeypatch.setattr(linkage, "cut", lambda df: (_ for _ in ()).throw(AssertionError("checkpoint")))
+    got = linkage.ann_marginal_over_classical(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == 12 and all(r["either"] == r["classical"] + r["marginal"] for r in got)
