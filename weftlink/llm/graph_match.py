@@ -20,11 +20,11 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm.name_variants import canonical_core, compatible, core_likeness
-from weftlink.llm.records import country_key, name_words, near, parse_address, parse_name, sound
+from weftlink.llm.records import country_key, name_words, near, parse_address, parse_name, sound, sound_of
 from weftlink.session import cut, kept
 
 #: Token nodes: words and letter groups hash to so many rows of the vector table.
@@ -39,6 +39,10 @@ FIT_ROWS = 200_000
 BITS = 20
 #: Bits of the name's and the address's signature and the house number's hash; with three flags they fill one long.
 NAME_BITS, ADDRESS_BITS, NUMBER_BITS = 32, 12, 15
+#: Bits of the trades' signature: one for each trade word, by its hash.
+TRADE_BITS = 31
+#: Rows up to which a table is sent to all tasks.
+BROADCAST_ROWS = 100_000
 #: Tables: tokens of which attribute a record is hashed by.
 TABLES = ("name", "longest word", "other word and trade", "number and street", "number and city", "number and postcode")
 NAME_TABLES = 3
@@ -57,7 +61,7 @@ def record_parts(name: str | None, address: str | None) -> tuple[str, ...]:
     if not core and name:
         core, trade, legal = " ".join(name_words(name)), "", ""
     number, street, stype, city, postcode, unit = parse_address(address)
-    return canonical_core(core), trade, legal, number, sound(street.replace(" ", "")), stype, sound(city.replace(" ", "")), postcode, unit
+    return canonical_core(core), trade, legal, number, sound_of(street.replace(" ", "")), stype, sound(city.replace(" ", "")), postcode, unit
 
 
 def record_texts(parts: tuple[str, ...]) -> tuple[str, ...]:
@@ -67,14 +71,18 @@ def record_texts(parts: tuple[str, ...]) -> tuple[str, ...]:
     """
     core, trade, _, number, street, stype, city, postcode, _ = parts
     words = core.split()
-    joined = sound("".join(words))
+    if len(words) == 2:
+        one, two = words
+        longest, other = (one, two) if len(one) >= len(two) else (two, one)
+        return sound_of(one + two), sound_of(two + one), longest, other if one is not two else "", street, city, trade, number, postcode
     longest = max(words, key=len) if words else ""
-    two = len(words) == 2
     other = "".join(w for w in words if w is not longest) if len(words) > 1 else ""
-    return joined, sound(words[1] + words[0]) if two else "", longest, other, street, city, trade, number, postcode
+    return sound_of("".join(words)), "", longest, other, street, city, trade, number, postcode
 
 
 GRAM_GROUPS = 6
+#: Groups that are summed at once: their sums stay in the processor's cache.
+SUMMED = 8192
 
 
 def token_table(texts: list[tuple[str, ...]]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +110,8 @@ def token_table(texts: list[tuple[str, ...]]) -> tuple[np.ndarray, np.ndarray]:
 #: Weight of each group of tokens in the name and the address vector (groups as in record_tokens).
 NAME_WEIGHTS = {0: 1.0}
 ADDRESS_WEIGHTS = {7: 1.0, 4: 1.0, 5: 0.5, 8: 0.5}
+#: Groups whose vectors the rerank needs.
+RERANKED = frozenset(NAME_WEIGHTS) | frozenset(ADDRESS_WEIGHTS)
 #: Table (index in TABLES) and weights of the groups that a record is hashed by.
 TABLE_WEIGHTS = ((0, {0: 1.0}), (0, {1: 1.0}), (1, {2: 1.0}), (2, {3: 1.0, 6: 1.0}), (3, {7: 1.0, 4: 1.0}), (4, {7: 1.0, 5: 1.0}), (5, {7: 1.0, 8: 1.0}))
 #: Groups that make up the attributes of the graph.
@@ -172,11 +182,18 @@ def group_vectors(texts: list[tuple[str, ...]], vectors: np.ndarray) -> tuple[np
     flat, counts = token_table(texts)
     sums = np.zeros((counts.size, DIMENSIONS), dtype=np.float32)
     sizes = counts.ravel()
-    filled = np.flatnonzero(sizes)
-    if len(filled):
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1][filled]
-        total = np.add.reduceat(vectors[flat], starts, axis=0)
-        sums[filled] = total / np.maximum(np.sqrt(np.einsum("ij,ij->i", total, total)), 1e-6)[:, None]
+    starts = np.cumsum(sizes) - sizes
+    # Groups with most tokens first, so the k-th tokens are added to a first part of the sums.
+    order = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes)]
+    for low in range(0, len(order), SUMMED):
+        at = order[low : low + SUMMED]
+        first, size = starts[at], sizes[at]
+        total = vectors.take(flat[first], axis=0)
+        for k in range(1, size[0]):
+            n = np.searchsorted(-size, -k)
+            total[:n] += vectors.take(flat[first[:n] + k], axis=0)
+        total /= np.maximum(np.sqrt(np.einsum("ij,ij->i", total, total)), 1e-6)[:, None]
+        sums[at] = total
     return sums.reshape(*counts.shape, DIMENSIONS), counts
 
 
@@ -204,7 +221,7 @@ def hash_records(texts: list[tuple[str, ...]], vectors: np.ndarray) -> tuple[np.
 
 
 PARTS = ("core", "trade", "legal", "number", "street", "stype", "city", "postcode")
-_RECORD_SCHEMA = "eid string, side int, country string, sig_name bigint, sig_address bigint, tables array<bigint>, " + ", ".join(f"{p} string" for p in PARTS)
+_RECORD_SCHEMA = "eid string, side int, country string, sig_name bigint, sig_address bigint, trades int, tables array<int>, " + ", ".join(f"{p} string" for p in PARTS)
 
 
 def hashed_records(records: DataFrame, model) -> DataFrame:
@@ -212,6 +229,7 @@ def hashed_records(records: DataFrame, model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str | None, str] = {}
+        bits: dict[str, int] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -221,11 +239,14 @@ def hashed_records(records: DataFrame, model) -> DataFrame:
             for c in country:
                 if c not in known:
                     known[c] = country_key(c)
+            for p in parts:
+                if p[1] not in bits:
+                    bits[p[1]] = reduce(int.__or__, (1 << zlib.crc32(w.encode()) % TRADE_BITS for w in p[1].split()), 0)
             offsets = np.concatenate([[0], np.cumsum(has.sum(axis=1))]).astype(np.int32)
-            tables = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[has]))
-            cols = [pa.array(eid, pa.string()), pa.array(side, pa.int32()), pa.array([known[c] for c in country], pa.string()), pa.array(sig_name), pa.array(sig_address), tables]
+            tables = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[has].astype(np.int32)))
+            cols = [pa.array(eid, pa.string()), pa.array(side, pa.int32()), pa.array([known[c] for c in country], pa.string()), pa.array(sig_name), pa.array(sig_address), pa.array([bits[p[1]] for p in parts], pa.int32()), tables]
             cols += [pa.array(c, pa.string()) for c in list(zip(*parts))[: len(PARTS)]]
-            yield pa.RecordBatch.from_arrays(cols, names=["eid", "side", "country", "sig_name", "sig_address", "tables", *PARTS])
+            yield pa.RecordBatch.from_arrays(cols, names=["eid", "side", "country", "sig_name", "sig_address", "trades", "tables", *PARTS])
 
     return records.mapInArrow(run, _RECORD_SCHEMA)
 
@@ -242,28 +263,37 @@ def _at_home(records: DataFrame) -> DataFrame:
     """
     out = records.where("country <> ''")
     lost = records.where("country = ''")
+    few = lost.count() < BROADCAST_ROWS
     for place in ("city", "postcode"):
         asked = lost.where(f"{place} <> ''").select(place).distinct()
+        asked = F.broadcast(asked) if few else asked
         home = records.where(f"country <> '' AND {place} <> ''").select(place, "country").join(asked, place, "left_semi").groupBy(place, "country").agg(F.count("*").alias("n"))
         home = home.groupBy(place).agg(F.sum("n").alias("all"), F.max(F.struct("n", "country")).alias("m")).where("m.n >= 0.9 * all").select(place, F.col("m.country").alias("home"))
         lost = lost.join(home, place, "left").withColumn("country", F.when(F.col("country") == "", F.coalesce("home", F.lit(""))).otherwise(F.col("country"))).select(records.columns)
-    return out.unionByName(lost.where("country <> ''"))
+    return out.unionByName(kept(lost.where("country <> ''")))
+
+
+#: Places of the house number's, the address's and the name's bits in a record's signature.
+AT_NUMBER, AT_ADDRESS, AT_NAME = 3, 3 + NUMBER_BITS, 3 + NUMBER_BITS + ADDRESS_BITS
+
+
+def signature() -> Column:
+    """Signature of a hashed record: name, address, house number and flags in one long."""
+    # Flags: has a name, has a house number, has a name of one word or with an initial.
+    flags = (F.length("core") > 0).cast("bigint") + 2 * (F.length("number") > 0).cast("bigint") + 4 * (~F.col("core").rlike(r"^\w{2,} \w{2,}")).cast("bigint")
+    number = F.pmod(F.xxhash64("number"), F.lit(1 << NUMBER_BITS))
+    return F.shiftleft("sig_name", AT_NAME).bitwiseOR(F.shiftleft("sig_address", AT_ADDRESS)).bitwiseOR(F.shiftleft(number, AT_NUMBER)).bitwiseOR(flags)
 
 
 def _meetings(records: DataFrame) -> DataFrame:
-    """(a, b): ids of S1 and target records that share a bucket and whose signatures are near.
+    """(a, b): ids of S1 and target records that share a bucket and whose signatures are near and trades compatible.
 
     Buckets with more than BUCKET_PAIRS pairs are parted by house number, as different ones
     contradict each other: records that have one meet those of the same, and those without one
     meet all of the bucket. Parts of more than BLOCK_RECORDS a side become a grid of blocks, of
     which each pair of records has one, so no task holds a hot bucket and none of its pairs is lost.
     """
-    # Flags: has a name, has a house number, has a name of one word or with an initial.
-    flags = (F.length("core") > 0).cast("bigint") + 2 * (F.length("number") > 0).cast("bigint") + 4 * (~F.col("core").rlike(r"^\w{2,} \w{2,}")).cast("bigint")
-    number = F.pmod(F.xxhash64("number"), F.lit(1 << NUMBER_BITS))
-    at_number, at_address, at_name = 3, 3 + NUMBER_BITS, 3 + NUMBER_BITS + ADDRESS_BITS
-    signature = F.shiftleft("sig_name", at_name).bitwiseOR(F.shiftleft("sig_address", at_address)).bitwiseOR(F.shiftleft(number, at_number)).bitwiseOR(flags).alias("sig")
-    known = kept(_at_home(records.select("rid", "side", "country", "city", "postcode", "tables", signature)).select("rid", "side", "country", "tables", "sig"))
+    known = _at_home(records.select("rid", "side", "country", "city", "postcode", "tables", "sig", "trades"))
     rows = known.withColumn("table", F.explode("tables")).withColumn("key", F.xxhash64("country", "table"))
 
     def heavy(part: DataFrame, by: str) -> DataFrame:
@@ -271,11 +301,13 @@ def _meetings(records: DataFrame) -> DataFrame:
         return cut(n.where(F.col("n1") * F.col("n2") > BUCKET_PAIRS).select(by))
 
     def meet(part: DataFrame) -> DataFrame:
-        a, b = (part.where(f"side = {s}").select("key", F.col("rid").alias(x), F.col("sig").alias(f"sig_{x}")) for s, x in ((1, "a"), (2, "b")))
+        a, b = (part.where(f"side = {s}").select("key", F.col("sig").alias(f"sig_{x}"), F.col("rid").alias(x), F.col("trades").alias(f"trades_{x}")) for s, x in ((1, "a"), (2, "b")))
         off = F.col("sig_a").bitwiseXOR(F.col("sig_b"))
         part = lambda low, bits: F.shiftrightunsigned(off, low).bitwiseAND(F.lit((1 << bits) - 1))
-        off_name, off_address, off_number = F.bit_count(part(at_name, NAME_BITS)), F.bit_count(part(at_address, ADDRESS_BITS)), part(at_number, NUMBER_BITS)
-        met = a.join(b, "key").select("a", "b", off_name.alias("off_name"), off_address.alias("off_address"), off_number.alias("off_number"), F.col("sig_a").bitwiseAND(F.col("sig_b")).alias("both"), F.col("sig_a").bitwiseOR(F.col("sig_b")).alias("any"))
+        off_name, off_address, off_number = F.bit_count(part(AT_NAME, NAME_BITS)), F.bit_count(part(AT_ADDRESS, ADDRESS_BITS)), part(AT_NUMBER, NUMBER_BITS)
+        # Of trades neither of which holds the other, the bits do so only where they fall together.
+        common = F.col("trades_a").bitwiseAND(F.col("trades_b"))
+        met = a.join(b, "key").where((common == F.col("trades_a")) | (common == F.col("trades_b"))).select("a", "b", off_name.alias("off_name"), off_address.alias("off_address"), off_number.alias("off_number"), F.col("sig_a").bitwiseAND(F.col("sig_b")).alias("both"), F.col("sig_a").bitwiseOR(F.col("sig_b")).alias("any"))
         named, placed, weak = F.expr("both & 1 <> 0"), F.expr("both & 2 <> 0"), F.expr("any & 4 <> 0")
         n, p = F.col("off_name"), F.col("off_address")
         # House numbers that differ contradict each other here already, by their hash.
@@ -286,11 +318,11 @@ def _meetings(records: DataFrame) -> DataFrame:
         n = part.groupBy("key").agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 2).alias("n2"))
         n = cut(n.where((F.col("n1") > 0) & (F.col("n2") > 0) & (F.greatest("n1", "n2") > BLOCK_RECORDS)))
         grid = n.select("key", *(F.ceil(F.col(f"n{s}") / BLOCK_RECORDS).cast("int").alias(f"g{s}") for s in (1, 2)))
-        placed = part.join(F.broadcast(grid) if n.count() < 100_000 else grid, "key", "left").fillna(1, ["g1", "g2"])
+        placed = part.join(F.broadcast(grid) if n.count() < BROADCAST_ROWS else grid, "key", "left").fillna(1, ["g1", "g2"])
         own, other = (F.when(F.col("side") == s, F.col("g1")).otherwise(F.col("g2")) for s in (1, 2))
         placed = placed.withColumn("own", F.pmod(F.xxhash64("rid"), own)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), other.cast("bigint") - 1)))
         block = F.when(F.col("side") == 1, F.struct(F.col("own").alias("x"), F.col("other").alias("y"))).otherwise(F.struct(F.col("other").alias("x"), F.col("own").alias("y")))
-        return placed.withColumn("block", block).select("rid", "side", "sig", F.when(F.col("g1") * F.col("g2") > 1, F.xxhash64("key", "block.x", "block.y")).otherwise(F.col("key")).alias("key"))
+        return placed.withColumn("block", block).select("rid", "side", "sig", "trades", F.when(F.col("g1") * F.col("g2") > 1, F.xxhash64("key", "block.x", "block.y")).otherwise(F.col("key")).alias("key"))
 
     # Buckets are first counted by hash classes, which combine before the shuffle; only the few
     # classes that could hold a heavy bucket are counted key by key.
@@ -299,13 +331,13 @@ def _meetings(records: DataFrame) -> DataFrame:
     classed = rows.select("key", "side", F.pmod("key", F.lit(classes)).alias("class"))
     suspect = heavy(classed, "class")
     many = suspect.count()
-    hot = heavy(classed.join(F.broadcast(suspect) if many < 100_000 else suspect, "class", "left_semi"), "key") if many else None
+    hot = heavy(classed.join(F.broadcast(suspect) if many < BROADCAST_ROWS else suspect, "class", "left_semi"), "key") if many else None
     if hot is None or hot.isEmpty():
         met = meet(rows)
     else:
-        small = F.broadcast(hot) if hot.count() < 100_000 else hot
+        small = F.broadcast(hot) if hot.count() < BROADCAST_ROWS else hot
         one, placed, named_table = F.col("side") == 1, F.col("sig").bitwiseAND(F.lit(2)) != 0, F.col("table") % len(TABLES) < NAME_TABLES
-        same = F.shiftrightunsigned("sig", at_number).bitwiseAND(F.lit((1 << NUMBER_BITS) - 1))
+        same = F.shiftrightunsigned("sig", AT_NUMBER).bitwiseAND(F.lit((1 << NUMBER_BITS) - 1))
         # Parts: a house number; -1, S1 records without one and all targets; -2, S1 records with one and targets without.
         parts = F.array_compact(
             F.array(
@@ -314,10 +346,9 @@ def _meetings(records: DataFrame) -> DataFrame:
                 F.when(named_table & (one == placed), F.lit(-2).cast("bigint")),
             )
         )
-        parted = rows.join(small, "key").withColumn("part", F.explode(parts)).withColumn("key", F.xxhash64("key", "part")).select("rid", "side", "sig", "key")
+        parted = rows.join(small, "key").withColumn("part", F.explode(parts)).withColumn("key", F.xxhash64("key", "part")).select("rid", "side", "sig", "trades", "key")
         met = meet(rows.join(small, "key", "left_anti")).unionByName(meet(in_blocks(parted)))
-    # Placed by the S1 record, as the join that follows needs them.
-    return met.repartition("a").dropDuplicates(["a", "b"])
+    return kept(met.dropDuplicates(["a", "b"]))
 
 
 def pair_features(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, ...] | None:
@@ -384,7 +415,7 @@ def _score_pairs(pairs: DataFrame, model) -> DataFrame:
                     sides.append(tuple(place.setdefault(tuple(x), len(place)) for x in (a, b)))
             cols: list = list(zip(*kept_rows)) or [()] * (2 + len(FEATURES) - 1)
             if kept_rows:
-                part, _ = group_vectors([record_texts((*x, "")) for x in place], model.value)
+                part, _ = group_vectors([tuple(t if k in RERANKED else "" for k, t in enumerate(record_texts((*x, "")))) for x in place], model.value)
                 left, right = np.array(sides, dtype=np.int64).T
                 for at, weights, missing in ((at_name, NAME_WEIGHTS, at_no_name), (at_address, ADDRESS_WEIGHTS, at_no_address)):
                     vector = attribute_vectors(part, weights)
@@ -437,25 +468,29 @@ def scored_candidates(source1: DataFrame, targets: list[DataFrame]) -> DataFrame
     sample = least_by_hash(records, FIT_RECORDS, "eid", "name", "address").collect()
     vectors = train_vectors([record_texts(record_parts(r.name, r.address)) for r in sample])
     model = records.sparkSession.sparkContext.broadcast(vectors)
-    records = kept(hashed_records(records, model).withColumn("rid", F.xxhash64("eid", "country", *PARTS)))
+    records = kept(hashed_records(records, model).select("eid", "side", "country", "trades", "tables", *PARTS, signature().alias("sig"), F.monotonically_increasing_id().alias("rid")))
     met = _meetings(records)
-    parts = records.select("rid", F.concat_ws("\t", *PARTS, "eid").alias("parts"))
-    pairs = met.join(parts.toDF("a", "parts_a"), "a").join(parts.toDF("b", "parts_b"), "b").select("parts_a", "parts_b")
+    a, b = (records.where(f"side = {s}").select(F.col("rid").alias(x), F.concat_ws("\t", *PARTS, "eid").alias(f"parts_{x}")) for s, x in ((1, "a"), (2, "b")))
+    pairs = met.join(a, "a").join(b, "b").select("parts_a", "parts_b")
     scored = kept(_score_pairs(pairs, model))
     # S1 records that would do as well for the target: names decide only where they leave one.
     level = F.round(F.when(F.col("no_address") == 1, F.col("name")).otherwise(F.col("street") + F.col("city")), 2)
-    best = scored.groupBy("target_id", "no_address", "no_name").agg(F.max(level).alias("top"))
-    tied = scored.join(best, ["target_id", "no_address", "no_name"]).where(level >= F.col("top") - 0.11).groupBy("target_id", "no_address", "no_name").agg((F.count_distinct("s1_id") - 1).cast("double").alias("r"))
+    # Only pairs that lack a name or an address are counted, as the others have no use for it.
     incomplete = (F.col("no_address") == 1) | (F.col("no_name") == 1)
-    return scored.join(tied, ["target_id", "no_address", "no_name"]).withColumn("rivals", F.when(incomplete, F.least("r", F.lit(5.0))).otherwise(0.0)).select("s1_id", "target_id", *FEATURES)
+    partial = scored.where(incomplete)
+    best = partial.groupBy("target_id", "no_address", "no_name").agg(F.max(level).alias("top"))
+    tied = partial.join(best, ["target_id", "no_address", "no_name"]).where(level >= F.col("top") - 0.11).groupBy("target_id", "no_address", "no_name").agg((F.count_distinct("s1_id") - 1).cast("double").alias("r"))
+    partial = partial.join(tied, ["target_id", "no_address", "no_name"]).withColumn("rivals", F.least("r", F.lit(5.0))).select("s1_id", "target_id", *FEATURES)
+    return scored.where(~incomplete).withColumn("rivals", F.lit(0.0)).unionByName(partial)
 
 
 def calibrated(candidates: DataFrame, matches: DataFrame | None) -> DataFrame:
     """Adds ``confidence``, by a logistic curve fitted on FIT_ROWS candidates, at most, of FIT_LABELLED labelled records."""
     weights = UNFITTED
     if matches is not None:
-        links = match_links(matches)
-        labelled = least_by_hash(links.select("s1_id").distinct(), FIT_LABELLED, "s1_id")
+        labelled = F.trim("source1_entity_id").alias("s1_id")
+        labelled = least_by_hash(matches.select(labelled).dropna().distinct(), FIT_LABELLED, "s1_id")
+        links = match_links(matches.join(F.broadcast(labelled), F.trim("source1_entity_id") == labelled.s1_id, "left_semi"))
         known = candidates.join(F.broadcast(labelled), "s1_id").join(links.where("target_id IS NOT NULL").withColumn("y", F.lit(1.0)), ["s1_id", "target_id"], "left").fillna(0.0, ["y"])
         fit = least_by_hash(kept(known), FIT_ROWS, "s1_id", "target_id").select(*FEATURES, "y").toPandas()
         if fit.y.nunique() > 1:
@@ -473,6 +508,7 @@ def match_entities(source1: DataFrame, targets: list[DataFrame], matches: DataFr
     confidence, or all of one highest confidence.
     """
     scored = calibrated(scored_candidates(source1, targets), matches).where(F.col("confidence") >= least)
-    scored = scored.groupBy("s1_id", "target_id").agg(F.max("confidence").alias("confidence"))
+    # By target, so that one shuffle serves all that follows.
+    scored = scored.select("s1_id", "target_id", "confidence").repartition("target_id").groupBy("s1_id", "target_id").agg(F.max("confidence").alias("confidence"))
     best = scored.groupBy("target_id").agg(F.max("confidence").alias("top"))
     return scored.join(best, "target_id").where("confidence >= top - 1e-9").select("s1_id", "target_id", "confidence")
