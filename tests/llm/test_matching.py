@@ -2,7 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftlink import session
 from weftlink.llm import graph_match as g
+from weftlink.llm.records import near, sound
 
 SCHEMA = "entity_id string, business_name string, business_address string, country string, eid string"
 
@@ -107,3 +109,66 @@ def test_a_hot_bucket_loses_no_pair(spark, monkeypatch):
     monkeypatch.setattr(g, "BUCKET_PAIRS", 1)
     monkeypatch.setattr(g, "BLOCK_RECORDS", 3, raising=False)
     assert candidates() == whole
+
+
+def test_pairs_of_other_trades_are_not_shuffled_for_scoring(spark, monkeypatch):
+    trades = ["Bakery", "Plumbing", "Logistics", "Textiles", "Pharmacy"]
+    rows = [(f"Totak Luhinni {t} Ltd", "417 Rahikkuk Drive, Momnat Creek 56830", "US") for t in trades]
+    met = []
+    meetings = g._meetings
+    monkeypatch.setattr(g, "_meetings", lambda records: met.append(meetings(records)) or met[0])
+    got = {(r[0], r[1]) for r in g.scored_candidates(source(spark, 1, rows), [source(spark, 2, [*rows, ("Totak Luhinni", rows[0][1], "US")])]).collect()}
+    assert got == {(f"S1-{i}", f"S2-{j}") for i in range(5) for j in (i, 5)}
+    assert met[0].count() == len(got)
+
+
+def test_trades_whose_bits_fall_together_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(g, "TRADE_BITS", 1)
+    s1, s2 = source(spark, 1, S1), source(spark, 2, S2)
+    got = {(r.s1_id, r.target_id) for r in g.match_entities(s1, [s2], None).collect()}
+    assert got == {("S1-0", "S2-0"), ("S1-1", "S2-1"), ("S1-2", "S2-2"), ("S1-2", "S2-3"), ("S1-4", "S2-6")}
+
+
+def test_a_kept_table_leaves_no_shuffle_files(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    setting = spark.conf.get(session._CLEAN_UP, None)
+    t = session.kept(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not files() - before
+    assert spark.conf.get(session._CLEAN_UP, None) == setting
+    assert t.count() == 7 and t.agg(F.sum("count")).first()[0] == 1000
+
+
+def test_sums_of_vectors_do_not_depend_on_the_batch():
+    texts = [g.record_texts(g.record_parts(n, a)) for n, a, _ in [*S1, *S2]] + [g.record_texts(g.record_parts("x" * 3000, None))]
+    vectors = g.train_vectors([])
+    whole, counts = g.group_vectors(texts, vectors)
+    flat, _ = g.token_table(texts)
+    ends = np.cumsum(counts.ravel())
+    for (row, group), n, end in zip(np.ndindex(counts.shape), counts.ravel(), ends):
+        total = vectors[flat[end - n : end]].sum(axis=0)
+        assert np.allclose(whole[row, group], total / max(np.linalg.norm(total), 1e-6), atol=1e-4)
+    assert all(np.array_equal(g.group_vectors([x], vectors)[0][0], whole[i]) for i, x in enumerate(texts))
+
+
+def test_words_in_one_spelling_join_as_they_sound():
+    for core in ("abap hola", "kalu umisra", "abo oke", "abe eki", "kalu misrak", "a a", "abk kol"):
+        one, two = core.split()
+        texts = g.record_texts((core, *[""] * 8))
+        assert texts[:2] == (sound(one + two), sound(two + one))
+
+
+def test_distances_agree_with_plain_edit_distance():
+    def plain(a, b):
+        d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rng = np.random.default_rng(3)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice(list("abcdef"), rng.integers(0, 7))) for _ in range(2))
+        assert all(near(a, b, most) == min(plain(a, b), most + 1) for most in (1, 2, 3))

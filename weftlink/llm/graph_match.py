@@ -13,6 +13,7 @@ each other; a record without an address goes to the one S1 record that its name
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -20,12 +21,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink.llm.name_variants import canonical_core, compatible, core_likeness
 from weftlink.llm.records import country_key, name_words, near, parse_address, parse_name, sound, sound_of
-from weftlink.session import cut, kept
+from weftlink.session import cut, kept, uncollected
 
 #: Token nodes: words and letter groups hash to so many rows of the vector table.
 TOKENS = 1 << 15
@@ -73,16 +74,18 @@ def record_texts(parts: tuple[str, ...]) -> tuple[str, ...]:
     words = core.split()
     if len(words) == 2:
         one, two = words
+        # Words in one spelling of their sounds change at most where they meet.
+        plain = one[-1] != two[0] and one[0] != two[-1] and two[0] != "h" != one[0]
         longest, other = (one, two) if len(one) >= len(two) else (two, one)
-        return sound_of(one + two), sound_of(two + one), longest, other if one is not two else "", street, city, trade, number, postcode
+        return one + two if plain else sound_of(one + two), two + one if plain else sound_of(two + one), longest, other if one is not two else "", street, city, trade, number, postcode
     longest = max(words, key=len) if words else ""
     other = "".join(w for w in words if w is not longest) if len(words) > 1 else ""
     return sound_of("".join(words)), "", longest, other, street, city, trade, number, postcode
 
 
 GRAM_GROUPS = 6
-#: Groups that are summed at once: their sums stay in the processor's cache.
-SUMMED = 8192
+#: Records hashed and groups summed at once: their vectors stay in the processor's cache.
+HASHED, SUMMED = 2000, 8192
 
 
 def token_table(texts: list[tuple[str, ...]]) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +202,7 @@ def group_vectors(texts: list[tuple[str, ...]], vectors: np.ndarray) -> tuple[np
 
 def attribute_vectors(part: np.ndarray, weights: dict[int, float]) -> np.ndarray:
     """Vectors of an attribute: the weighted sums of its groups'."""
-    return reduce(np.add, [part[:, g] * np.float32(w) for g, w in weights.items()])
+    return reduce(np.add, [part[:, g] if w == 1 else part[:, g] * np.float32(w) for g, w in weights.items()])
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -221,11 +224,26 @@ def hash_records(texts: list[tuple[str, ...]], vectors: np.ndarray) -> tuple[np.
 
 
 PARTS = ("core", "trade", "legal", "number", "street", "stype", "city", "postcode")
-_RECORD_SCHEMA = "eid string, side int, country string, sig_name bigint, sig_address bigint, trades int, tables array<int>, " + ", ".join(f"{p} string" for p in PARTS)
+_RECORD_SCHEMA = "side int, country string, city string, postcode string, sig bigint, trades int, tables array<int>, parts string"
+#: Places of the house number's, the address's and the name's bits in a record's signature.
+AT_NUMBER, AT_ADDRESS, AT_NAME = 3, 3 + NUMBER_BITS, 3 + NUMBER_BITS + ADDRESS_BITS
+_TWO_WORDS = re.compile(r"\w{2,} \w{2,}")
+
+
+def number_and_flags(core: str, number: str) -> int:
+    """Low bits of a signature: hash of the house number; has a name, has a number, has a name of one word or with an initial."""
+    return zlib.crc32(number.encode()) % (1 << NUMBER_BITS) << AT_NUMBER | bool(core) | 2 * bool(number) | 4 * (not _TWO_WORDS.match(core))
+
+
+def texts_of(column: pa.Array) -> list[str | None]:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 def hashed_records(records: DataFrame, model) -> DataFrame:
-    """``records`` (eid, side, name, address, country) parsed, with signatures and table hashes; ``model`` holds the vectors for all workers."""
+    """``records`` (eid, side, name, address, country) parsed, with signatures and table hashes; ``model`` holds the vectors for all workers.
+
+    ``parts`` are those of PARTS and the id in one text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str | None, str] = {}
@@ -233,9 +251,10 @@ def hashed_records(records: DataFrame, model) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            eid, side, name, address, country = (c.to_pylist() for c in batch.columns)
+            eid, name, address, country = (texts_of(batch.column(c)) for c in (0, 2, 3, 4))
             parts = [record_parts(n, a) for n, a in zip(name, address)]
-            sig_name, sig_address, hashes, has = hash_records([record_texts(p) for p in parts], model.value)
+            texts = [record_texts(p) for p in parts]
+            sig_name, sig_address, hashes, has = map(np.concatenate, zip(*(hash_records(texts[low : low + HASHED], model.value) for low in range(0, len(texts), HASHED))))
             for c in country:
                 if c not in known:
                     known[c] = country_key(c)
@@ -244,11 +263,13 @@ def hashed_records(records: DataFrame, model) -> DataFrame:
                     bits[p[1]] = reduce(int.__or__, (1 << zlib.crc32(w.encode()) % TRADE_BITS for w in p[1].split()), 0)
             offsets = np.concatenate([[0], np.cumsum(has.sum(axis=1))]).astype(np.int32)
             tables = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[has].astype(np.int32)))
-            cols = [pa.array(eid, pa.string()), pa.array(side, pa.int32()), pa.array([known[c] for c in country], pa.string()), pa.array(sig_name), pa.array(sig_address), pa.array([bits[p[1]] for p in parts], pa.int32()), tables]
-            cols += [pa.array(c, pa.string()) for c in list(zip(*parts))[: len(PARTS)]]
-            yield pa.RecordBatch.from_arrays(cols, names=["eid", "side", "country", "sig_name", "sig_address", "trades", "tables", *PARTS])
+            sig = sig_name << AT_NAME | sig_address << AT_ADDRESS | np.array([number_and_flags(p[0], p[3]) for p in parts])
+            city, postcode = ([p[PARTS.index(c)] for p in parts] for c in ("city", "postcode"))
+            joined = ["\t".join((*p[: len(PARTS)], e)) for p, e in zip(parts, eid)]
+            cols = [batch.column(1), *(pa.array(c, pa.string()) for c in ([known[c] for c in country], city, postcode)), pa.array(sig), pa.array([bits[p[1]] for p in parts], pa.int32()), tables, pa.array(joined, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["side", "country", "city", "postcode", "sig", "trades", "tables", "parts"])
 
-    return records.mapInArrow(run, _RECORD_SCHEMA)
+    return records.mapInArrow(uncollected(run), _RECORD_SCHEMA)
 
 
 def deliveries(df: DataFrame, side: int) -> DataFrame:
@@ -273,18 +294,6 @@ def _at_home(records: DataFrame) -> DataFrame:
     return out.unionByName(kept(lost.where("country <> ''")))
 
 
-#: Places of the house number's, the address's and the name's bits in a record's signature.
-AT_NUMBER, AT_ADDRESS, AT_NAME = 3, 3 + NUMBER_BITS, 3 + NUMBER_BITS + ADDRESS_BITS
-
-
-def signature() -> Column:
-    """Signature of a hashed record: name, address, house number and flags in one long."""
-    # Flags: has a name, has a house number, has a name of one word or with an initial.
-    flags = (F.length("core") > 0).cast("bigint") + 2 * (F.length("number") > 0).cast("bigint") + 4 * (~F.col("core").rlike(r"^\w{2,} \w{2,}")).cast("bigint")
-    number = F.pmod(F.xxhash64("number"), F.lit(1 << NUMBER_BITS))
-    return F.shiftleft("sig_name", AT_NAME).bitwiseOR(F.shiftleft("sig_address", AT_ADDRESS)).bitwiseOR(F.shiftleft(number, AT_NUMBER)).bitwiseOR(flags)
-
-
 def _meetings(records: DataFrame) -> DataFrame:
     """(a, b): ids of S1 and target records that share a bucket and whose signatures are near and trades compatible.
 
@@ -346,7 +355,7 @@ def _meetings(records: DataFrame) -> DataFrame:
                 F.when(named_table & (one == placed), F.lit(-2).cast("bigint")),
             )
         )
-        parted = rows.join(small, "key").withColumn("part", F.explode(parts)).withColumn("key", F.xxhash64("key", "part")).select("rid", "side", "sig", "trades", "key")
+        parted = kept(rows.join(small, "key")).withColumn("part", F.explode(parts)).withColumn("key", F.xxhash64("key", "part")).select("rid", "side", "sig", "trades", "key")
         met = meet(rows.join(small, "key", "left_anti")).unionByName(meet(in_blocks(parted)))
     return kept(met.dropDuplicates(["a", "b"]))
 
@@ -406,7 +415,7 @@ def _score_pairs(pairs: DataFrame, model) -> DataFrame:
             kept_rows: list[tuple] = []
             place: dict[tuple[str, ...], int] = {}
             sides: list[tuple[int, int]] = []
-            for left, right in zip(*(c.to_pylist() for c in batch.columns)):
+            for left, right in zip(*map(texts_of, batch.columns)):
                 *a, s1_id = left.split("\t", width)
                 *b, target_id = right.split("\t", width)
                 f = pair_features(tuple(a), tuple(b))
@@ -422,7 +431,7 @@ def _score_pairs(pairs: DataFrame, model) -> DataFrame:
                     cols[2 + at] = np.where(np.array(cols[2 + missing]) == 1, 0.0, cosines(vector[left], vector[right]).astype(float))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols[:2]] + [pa.array(c, pa.float64()) for c in cols[2:]], names=["s1_id", "target_id", *FEATURES[:-1]])
 
-    return pairs.mapInArrow(run, _FEATURE_SCHEMA)
+    return pairs.mapInArrow(uncollected(run), _FEATURE_SCHEMA)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> np.ndarray:
@@ -468,9 +477,9 @@ def scored_candidates(source1: DataFrame, targets: list[DataFrame]) -> DataFrame
     sample = least_by_hash(records, FIT_RECORDS, "eid", "name", "address").collect()
     vectors = train_vectors([record_texts(record_parts(r.name, r.address)) for r in sample])
     model = records.sparkSession.sparkContext.broadcast(vectors)
-    records = kept(hashed_records(records, model).select("eid", "side", "country", "trades", "tables", *PARTS, signature().alias("sig"), F.monotonically_increasing_id().alias("rid")))
+    records = kept(hashed_records(records, model).withColumn("rid", F.monotonically_increasing_id()))
     met = _meetings(records)
-    a, b = (records.where(f"side = {s}").select(F.col("rid").alias(x), F.concat_ws("\t", *PARTS, "eid").alias(f"parts_{x}")) for s, x in ((1, "a"), (2, "b")))
+    a, b = (records.where(f"side = {s}").select(F.col("rid").alias(x), F.col("parts").alias(f"parts_{x}")) for s, x in ((1, "a"), (2, "b")))
     pairs = met.join(a, "a").join(b, "b").select("parts_a", "parts_b")
     scored = kept(_score_pairs(pairs, model))
     # S1 records that would do as well for the target: names decide only where they leave one.
@@ -508,7 +517,6 @@ def match_entities(source1: DataFrame, targets: list[DataFrame], matches: DataFr
     confidence, or all of one highest confidence.
     """
     scored = calibrated(scored_candidates(source1, targets), matches).where(F.col("confidence") >= least)
-    # By target, so that one shuffle serves all that follows.
-    scored = scored.select("s1_id", "target_id", "confidence").repartition("target_id").groupBy("s1_id", "target_id").agg(F.max("confidence").alias("confidence"))
-    best = scored.groupBy("target_id").agg(F.max("confidence").alias("top"))
-    return scored.join(best, "target_id").where("confidence >= top - 1e-9").select("s1_id", "target_id", "confidence")
+    # By target, so that one shuffle and one sort serve all that follows.
+    scored = scored.select("s1_id", "target_id", "confidence").withColumn("top", F.max("confidence").over(Window.partitionBy("target_id")))
+    return scored.where("confidence >= top - 1e-9").groupBy("s1_id", "target_id").agg(F.max("confidence").alias("confidence"))
