@@ -368,3 +368,21 @@ def test_marginal_report_makes_no_checkpoint(spark, monkeypatch):
     monkeypatch.setattr(linkage, "cut", lambda df: (_ for _ in ()).throw(AssertionError("checkpoint")))
     got = linkage.ann_marginal_over_classical(spark, "/root/testdata/sf0.001").collect()
     assert len(got) == 12 and all(r["either"] == r["classical"] + r["marginal"] for r in got)
+
+
+def _stored(spark, tmp_path):
+    """Sides whose sizes the planner estimates from files, and the wanted targets."""
+    out = []
+    for n, df in enumerate(sides(spark)):
+        df.write.parquet(str(tmp_path / str(n)))
+        out.append(spark.read.parquet(str(tmp_path / str(n))))
+    return *out, out[1].select(F.col("entity_id").alias("target_id"))
+
+
+def test_recall_ranking_broadcasts_no_keys(spark, tmp_path):
+    """Keys exploded from a small file are not collected on the driver, whatever their estimated size, nor shuffled for each use."""
+    a, b, wanted = _stored(spark, tmp_path)
+    df = blocking.target_evidence(a, b, wanted)
+    assert df.count() == 4 and len(df.collect()) == 4
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "ReusedExchange" in plan, plan

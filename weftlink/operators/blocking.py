@@ -33,6 +33,28 @@ def document_frequency(keys: DataFrame, name: str = "df") -> DataFrame:
     return keys.groupBy(*KEY).agg(F.count("*").alias(name))
 
 
+def by_key(keys: DataFrame) -> DataFrame:
+    """``keys`` shuffled by (route, country, key), for plans that count and join the same keys.
+
+    Where each use reads the same columns, ids too, Spark explodes and shuffles the keys once for all of them.
+    """
+    return keys.repartition(*KEY)
+
+
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is sorted and merged, however small it seems.
+
+    The planner takes exploded rows for as many as those they are made of, and would collect all of
+    them on the driver to broadcast them.
+    """
+    return df.hint("merge")
+
+
+def _records() -> Column:
+    """Rows, counted by their ids, NULL or not, so that joins of the same keys read the same columns."""
+    return F.count_if(F.col("id").isNotNull()) + F.count_if(F.col("id").isNull())
+
+
 def _by_route(position: int) -> Column:
     return F.create_map(*(F.lit(x) for r, v in ROUTES.items() for x in (r, v[position])))[F.col("route")]
 
@@ -67,8 +89,8 @@ def route_scores(s1_keys: DataFrame, index: DataFrame, flat_exact: float | None
     if flat_exact is not None:
         exact = F.col("route").isin("exact_name", "exact_address")
         score, df = F.when(exact, F.lit(flat_exact)).otherwise(score), F.when(exact, F.lit(0)).otherwise(df)
-    met = s1_keys.drop("source").withColumnRenamed("id", "s1_id").join(index, KEY)
-    return met.select("s1_id", "target_id", "source", "country", "route", "key", F.round(score * UNIT).cast("bigint").alias("route_score"), df.alias("s1_df"))
+    met = s1_keys.drop("source").join(merged(index), KEY)
+    return met.select(F.col("id").alias("s1_id"), "target_id", "source", "country", "route", "key", F.round(score * UNIT).cast("bigint").alias("route_score"), df.alias("s1_df"))
 
 
 def aggregate_evidence(scores: DataFrame, by: str | None = None) -> DataFrame:
@@ -106,12 +128,12 @@ def target_evidence(s1: DataFrame, targets: DataFrame, wanted: DataFrame) -> Dat
     This is the ranking that recall is measured on: an equal name or address counts a flat 5,
     however common it is, and other keys count up to the route's S1 cap. Only wanted targets are exploded.
     """
-    few = targets.join(wanted.select(F.col("target_id").alias("entity_id")).distinct(), "entity_id", "left_semi")
-    s1_keys, keys = exploded_keys(s1), exploded_keys(few)
+    few = targets.join(merged(wanted.select(F.col("target_id").alias("entity_id")).distinct()), "entity_id", "left_semi")
+    s1_keys, few_keys = by_key(exploded_keys(s1)), exploded_keys(few)
     exact = F.col("route").isin("exact_name", "exact_address")
-    reached = s1_keys.join(keys.select(*KEY).distinct(), KEY, "left_semi")
-    frequency = document_frequency(reached, "s1_df").where(exact | (F.col("s1_df") <= _by_route(1)))
-    index = keys.join(frequency, KEY).withColumnRenamed("id", "target_id")
+    reached = s1_keys.join(merged(few_keys.select(*KEY).distinct()), KEY, "left_semi")
+    frequency = reached.groupBy(*KEY).agg(_records().alias("s1_df")).where(exact | (F.col("s1_df") <= _by_route(1)))
+    index = few_keys.join(merged(frequency), KEY).withColumnRenamed("id", "target_id")
     return aggregate_evidence(route_scores(reached, index, flat_exact=5.0), "target_id")
 
 

@@ -55,7 +55,7 @@ def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
 def known_links(spark: SparkSession, d: str) -> DataFrame:
     """Known links with the S1 record's country and the target's source."""
     a = s1(spark, d).select(F.col("entity_id").alias("s1_id"), "country")
-    return links(spark, d).join(a, "s1_id")
+    return links(spark, d).join(blocking.merged(a), "s1_id")
 
 
 def vector_records(spark: SparkSession, d: str, number: int | None = None) -> DataFrame:
@@ -541,7 +541,7 @@ def text_view_vectors(spark, d):
 def _text_neighbours(spark, d):
     """S1 records nearest to each labelled target by each view of its text."""
     cols = ["entity_id", "source", "country", "name_norm", "address_norm"]
-    few = targets(spark, d).select(cols).join(links(spark, d).select(F.col("target_id").alias("entity_id")).distinct(), "entity_id", "left_semi")
+    few = targets(spark, d).select(cols).join(blocking.merged(links(spark, d).select(F.col("target_id").alias("entity_id")).distinct()), "entity_id", "left_semi")
     base, asked = (vectors.view_texts(df).withColumnRenamed("text", "vec") for df in (kept(s1(spark, d).select(cols)), kept(few)))
     return vectors.targets_to_s1(asked, base, max(_KS), ("view",)).withColumnRenamed("view", "ann_view")
 
