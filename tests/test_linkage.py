@@ -386,3 +386,12 @@ def test_recall_ranking_broadcasts_no_keys(spark, tmp_path):
     assert df.count() == 4 and len(df.collect()) == 4
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "ReusedExchange" in plan, plan
+
+
+def test_candidates_broadcast_no_keys(spark, tmp_path):
+    a, b, _ = _stored(spark, tmp_path)
+    df = blocking.classical_candidates(a, b)
+    assert len(df.collect()) == 4
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.partition("Initial Plan")[0]
+    assert "Broadcast" not in plan and final.count("Generate explode") == 2 and final.count("ReusedExchange") == 2, plan

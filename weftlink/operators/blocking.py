@@ -50,9 +50,10 @@ def merged(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def _records() -> Column:
-    """Rows, counted by their ids, NULL or not, so that joins of the same keys read the same columns."""
-    return F.count_if(F.col("id").isNotNull()) + F.count_if(F.col("id").isNull())
+def _records(where: Column | None = None) -> Column:
+    """Rows (``where``), counted by their ids, NULL or not, so that joins of the same keys read the same columns."""
+    which = F.lit(True) if where is None else where
+    return F.count_if(which & F.col("id").isNotNull()) + F.count_if(which & F.col("id").isNull())
 
 
 def _by_route(position: int) -> Column:
@@ -61,21 +62,20 @@ def _by_route(position: int) -> Column:
 
 def capped_frequency(s1_keys: DataFrame) -> DataFrame:
     """S1 frequencies up to the route's cap: rarer keys carry evidence, commoner ones none."""
-    return document_frequency(s1_keys, "s1_df").where(F.col("s1_df") <= _by_route(1))
+    return s1_keys.groupBy(*KEY).agg(_records().alias("s1_df")).where(F.col("s1_df") <= _by_route(1))
 
 
 def blocking_index(s1_keys: DataFrame, target_keys: DataFrame, sources: tuple[str, ...] = TARGETS) -> DataFrame:
     """(target_id, source, country, route, key, s1_df, target_df) of keys within both caps.
 
     ``target_df`` counts the records of the target's own source, and the cap holds for each source
-    apart. Both frequencies are aggregates by the same columns, combined before they are shuffled;
-    the index is one join on these columns, so each target key is shuffled once and no window holds all records of a common
-    key. Adaptive execution splits the partition of a hot key in the join.
+    apart. Both frequencies are aggregates by the join's own columns, so no window holds all records of a common
+    key; keys that come :func:`by_key` are shuffled once for frequencies and join.
     """
-    counts = target_keys.groupBy(*KEY).agg(*(F.count_if(F.col("source") == s).alias(f"n_{s}") for s in sources))
-    eligible = capped_frequency(s1_keys).join(counts, KEY)
+    counts = target_keys.groupBy(*KEY).agg(*(_records(F.col("source") == s).alias(f"n_{s}") for s in sources))
+    eligible = capped_frequency(s1_keys).join(merged(counts), KEY)
     own = F.coalesce(*(F.when(F.col("source") == s, F.col(f"n_{s}")) for s in sources))
-    index = target_keys.join(eligible, KEY).withColumn("target_df", own).where(F.col("target_df") <= _by_route(2))
+    index = target_keys.join(merged(eligible), KEY).withColumn("target_df", own).where(F.col("target_df") <= _by_route(2))
     return index.select(F.col("id").alias("target_id"), "source", "country", "route", "key", "s1_df", "target_df")
 
 
@@ -117,7 +117,7 @@ def ranked(pairs: DataFrame, by: list[str], tie: str, k: int | None, name: str =
 
 def classical_candidates(s1: DataFrame, targets: DataFrame, k: int = 30) -> DataFrame:
     """All routes in one join on (route, country, key), then the best ``k`` targets of each S1 record and source."""
-    s1_keys, target_keys = exploded_keys(s1), exploded_keys(targets)
+    s1_keys, target_keys = by_key(exploded_keys(s1)), by_key(exploded_keys(targets))
     pairs = aggregate_evidence(route_scores(s1_keys, blocking_index(s1_keys, target_keys)), "s1_id")
     return ranked(pairs, ["s1_id", "source"], "target_id", k)
 
